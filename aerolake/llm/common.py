@@ -1,4 +1,5 @@
-"""What the corpus operators share: reading tables, shipping the package, staging tables."""
+"""What the corpus operators share: reading tables, shipping the package, staging tables, and
+word hashes of whole Arrow batches in numpy."""
 
 from __future__ import annotations
 
@@ -7,10 +8,16 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch; with them a batch of very long texts stays in a worker's memory.
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,3 +74,162 @@ def _quietly(spark: SparkSession, path: str) -> None:
             remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             pass
+
+
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with this package on the executors and batches of a bounded number of rows."""
+    ship(df.sparkSession)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key, "10000")) > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(work, schema)
+
+
+# --- words of a batch, in numpy -------------------------------------------------------------
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_WORD = np.zeros(256, bool)
+_WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
+#: Powers of an odd number modulo 2**64; places beyond them wrap round.
+_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all (the usual xor-shift finish)."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string array and where each text begins (one more for the end); null: empty."""
+    texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+    return raw, at - at[0]
+
+
+def blocks(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``size`` bytes, each of one row at least."""
+    _, at = utf8(texts)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def hash_runs(raw: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """A hash, never 0, of each run of bytes from one start to the next; only bytes ``inside`` count."""
+    place = np.arange(len(raw), dtype=np.int32)
+    place -= np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(raw))))
+    value = (raw.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 4095]
+    value[~inside] = 0
+    out = mix(np.add.reduceat(value, starts))
+    out[out == 0] = 1
+    return out
+
+
+def word_starts(inside: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where runs of True begin; a run ends where a text does."""
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    borders = at[1:-1]
+    borders = borders[borders < len(inside)]
+    begins[borders] = inside[borders]
+    return np.flatnonzero(begins)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of each text in order, and where each text's words begin (one
+    more for the end). A word is a run of ASCII letters, digits and non-ASCII characters; ASCII and
+    Latin-1 letters count as small ones."""
+    raw, at = utf8(texts)
+    low = _LOWER[raw]
+    accents = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    accents = accents[(raw[accents] >= 0x80) & (raw[accents] <= 0x9E) & (raw[accents] != 0x97)]
+    low[accents] += 32
+    inside = _WORD[low]
+    starts = word_starts(inside, at)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    return hash_runs(low[starts[0] :], starts - starts[0], inside[starts[0] :]), np.searchsorted(starts, at)
+
+
+class HashTable:
+    """Numbers 0, 1, ... for 64-bit hashes, open addressing in two arrays."""
+
+    def __init__(self, size: int):
+        self.bits = max(4, int(2 * size).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.values = np.zeros(1 << self.bits, np.int32)
+        self.used = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each hash; -1 where it has none."""
+        out = np.full(len(keys), -1, np.int32)
+        left, slot = np.arange(len(keys)), (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Give distinct new hashes the next numbers."""
+        values = np.arange(self.used, self.used + len(keys), dtype=np.int32)
+        self.used += len(keys)
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            won = self.keys[slot] == keys
+            self.values[slot[won]] = values[won]
+            keys, values, slot = keys[~won], values[~won], (slot[~won] + 1) & (len(self.keys) - 1)
+
+
+class Ragged:
+    """Runs of numbers in one growing array."""
+
+    def __init__(self, kind: str = "<i4"):
+        self.flat, self.starts, self.used, self.runs = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64), 0, 0
+        self.lengths = np.zeros(1 << 14, np.int32)
+
+    def append(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.runs + len(lengths) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[self.runs : self.runs + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.runs : self.runs + len(lengths)] = lengths
+        self.used += len(flat)
+        self.runs += len(lengths)
+
+    def gather(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of these runs one after the other, and how many each has."""
+        lengths = self.lengths[runs]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        return self.flat[np.repeat(self.starts[runs] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
+
+def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of n words of each text in order, and where each text's runs begin. A
+    text of 1 to n - 1 words has one run, all its words; a text without a word has none."""
+    words, at = word_hashes(texts)
+    counts = np.diff(at)
+    runs = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    out = np.concatenate([[0], np.cumsum(runs)])
+    start = np.repeat(at[:-1] - out[:-1], runs) + np.arange(out[-1])
+    end = np.repeat(at[1:], runs)
+    total = np.zeros(out[-1], np.uint64)
+    for j in range(n):
+        there = start + j < end
+        total = total * np.uint64(0xD1342543DE82EF95) + np.where(there, words[np.minimum(start + j, max(len(words) - 1, 0))] if len(words) else np.uint64(0), np.uint64(j + 1))
+    return mix(total), out
