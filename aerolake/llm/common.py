@@ -14,6 +14,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; with them a batch of very long texts stays in a worker's memory.
 BATCH_ROWS = 1000
@@ -76,6 +77,21 @@ def _quietly(spark: SparkSession, path: str) -> None:
             pass
 
 
+#: Rows of a table of ids that may be broadcast; beyond them the join shuffles.
+MOST_BROADCAST = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a staged table of a few short columns, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among ids (one column, doc_id); null is an id as well."""
+    gone = small(stage(ids.distinct())).withColumnRenamed("doc_id", "gone_id")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with this package on the executors and batches of a bounded number of rows."""
     ship(df.sparkSession)

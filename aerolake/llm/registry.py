@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontaminate, langid, quality_model, quality_rules, token_counts, training_order
+from . import bpe, common, decontaminate, jaccard_join, langid, quality_model, quality_rules, suffix_dedup, surrogates, token_counts, training_order
 
 table = common.table
 
@@ -17,6 +17,18 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.materialise(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -39,5 +51,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_training_order, op6_language_id, op7_bpe, op8_quality_classifier, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_training_order, op3_jaccard_join, op4_pii_surrogates, op5_suffix_dedup, op6_language_id, op7_bpe, op8_quality_classifier, op9_quality_rules, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ such a cut (checked when the model is loaded), so a text has as many tokens as i
 have. A broadcast hash table gives the lengths of frequent pre-tokens under their 64-bit hashes;
 what it lacks is encoded once and kept in a cache of the Python worker. No pre-token is shuffled.
 
-The table comes from TABLE_ROWS rows at most and holds TABLE_SIZE entries of 12 bytes at most, so
+The table comes from TABLE_ROWS rows at most, on the driver, and holds TABLE_SIZE entries of 12 bytes at most, so
 its size has a fixed bound. It decides only where a length is looked up, never which.
 
 Cases: a null text counts as empty and has no token; texts of blanks, of one endless word, or with
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MODEL = "piece_bpe_32k.model"
-TABLE_ROWS = 2000
+TABLE_ROWS, TABLE_BYTES = 1000, 100_000
 TABLE_SIZE = 50_000
 #: Entries of a worker's cache; it starts again from the table when they are reached.
 CACHE_SIZE = 500_000
@@ -142,24 +142,20 @@ _workers: dict[str, Pieces] = {}
 
 
 def frequent_lengths(docs: DataFrame, model: str = MODEL) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and lengths of the most frequent pre-tokens of at most TABLE_ROWS rows."""
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
-        seen = np.zeros(0, np.int64)
-        for b in batches:
-            for i, j in common.blocks(b.column(0)):
-                numbers, _ = pieces.numbers(b.column(0).slice(i, j - i))
-                seen = np.concatenate([seen, np.zeros(max(0, pieces.table.used - len(seen)), np.int64)])
-                seen += np.bincount(numbers, minlength=len(seen))
-        top = np.argsort(-seen, kind="stable")[:TABLE_SIZE]
-        keys = np.zeros(len(seen), np.uint64)
-        full = pieces.table.keys != 0
-        keys[pieces.table.values[full]] = pieces.table.keys[full]
-        yield pa.RecordBatch.from_pydict({"h": keys[top].view(np.int64), "n": pieces.lengths[top].astype(np.int32)})
-
-    rows = common.map_batches(docs.select("text").limit(TABLE_ROWS).coalesce(1), tally, "h bigint, n int").collect()
-    return np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int32)
+    """Hashes and lengths of the most frequent pre-tokens of the first TABLE_ROWS rows of up to
+    TABLE_BYTES; Spark reads no more partitions than these need."""
+    rows = docs.select("text").where(F.octet_length("text") <= TABLE_BYTES).limit(TABLE_ROWS).collect()
+    texts = pa.array([r["text"] for r in rows], pa.large_string())
+    pieces, seen = Pieces(model), np.zeros(0, np.int64)
+    for i, j in common.blocks(texts):
+        numbers, _ = pieces.numbers(texts.slice(i, j - i))
+        seen = np.concatenate([seen, np.zeros(max(0, pieces.table.used - len(seen)), np.int64)])
+        seen += np.bincount(numbers, minlength=len(seen))
+    top = np.argsort(-seen, kind="stable")[:TABLE_SIZE]
+    keys = np.zeros(len(seen), np.uint64)
+    full = pieces.table.keys != 0
+    keys[pieces.table.values[full]] = pieces.table.keys[full]
+    return keys[top], pieces.lengths[top]
 
 
 def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> DataFrame:
