@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("entity").orderBy("time")
+
+def _series() -> Window:
+    return Window.partitionBy("entity").orderBy("time")
+
 
 
 def hour(ts: Column) -> Column:
@@ -27,13 +30,14 @@ def trailing_mean(value: Column, rows: int, by: str = "entity", time: str = "tim
 def episodes(df: DataFrame, threshold: float, gap: int = 3, shortest: int = 2) -> DataFrame:
     """Runs of rows over the threshold, bridged over up to ``gap`` rows that are not; rows count, not
     hours. Ranked by peak and duration."""
-    d = df.where("value IS NOT NULL").withColumn("p", F.row_number().over(SERIES))
-    over = d.where(F.col("value") > threshold).withColumn("new", (F.col("p") - F.lag("p").over(SERIES) - 1 > gap).cast("int"))
-    over = over.withColumn("seg", F.sum(F.coalesce("new", F.lit(0))).over(SERIES))
+    series = _series()
+    d = df.where("value IS NOT NULL").withColumn("p", F.row_number().over(series))
+    over = d.where(F.col("value") > threshold).withColumn("new", (F.col("p") - F.lag("p").over(series) - 1 > gap).cast("int"))
+    over = over.withColumn("seg", F.sum(F.coalesce("new", F.lit(0))).over(series))
     bounds = over.groupBy("entity", "seg").agg(F.min("p").alias("first"), F.max("p").alias("last"))
     # A row lies in the last segment that began at or before it, if that hasn't ended.
     marked = d.join(bounds.withColumnRenamed("first", "p"), ["entity", "p"], "left")
-    w = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    w = series.rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumns({"seg": F.last("seg", True).over(w), "last": F.last("last", True).over(w)}).where("p <= last")
     out = marked.groupBy("entity", "seg").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count("*").alias("duration"), F.max("value").alias("peak"), F.max_by("time", F.struct("value", -F.col("p"))).alias("peak_time"), F.avg("value").alias("mean"), F.count_if(F.col("value") > threshold).alias("n_over"))
     out = out.where(F.col("duration") >= shortest).drop("seg")
