@@ -2,8 +2,8 @@
 
 Documents with equal n-gram sets are one node, so copies cost nothing beyond their count. Nodes that
 share a band hash are candidates; ``bands_for`` picks rows and bands for a target recall. No pair of
-nodes ever becomes a row: a node lives in one block of about BLOCK nodes, chosen by its most popular
-band; two blocks meet if some band has nodes of both, and one task compares their full sets with a
+nodes ever becomes a row: a node lives in one block of about BLOCK nodes, chosen by popular bands;
+two blocks meet if some band has nodes of both, and one task compares their full sets with a
 matrix product. A task returns for each of its nodes the number of linked documents and one edge of a
 spanning forest. Classes are the connected components of those edges.
 
@@ -21,7 +21,7 @@ from math import ceil, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -179,6 +179,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _blocks(shared: DataFrame) -> DataFrame:
+    """node and block of every candidate (shared: node, band, n). A node's home is its most popular
+    band. Homes follow the most popular home met in their band, twice; those that come together are
+    packed into blocks of about BLOCK nodes, and a larger home is split by hash."""
+    home = common.stage(shared.groupBy("node").agg(F.max(F.struct("n", "band")).alias("h")).select("node", "h.n", "h.band"))
+    met = shared.select("node", F.col("band").alias("via")).join(home, "node").groupBy("via").agg(F.max(F.struct("n", "band")).alias("t"))
+    homes = common.stage(home.groupBy("band").agg(F.count("*").alias("size")).join(met.select(F.col("via").alias("band"), F.col("t.band").alias("next")), "band"))
+    for _ in range(2):
+        jump = homes.select(F.col("band").alias("next"), F.col("next").alias("jumped"))
+        homes = homes.join(jump, "next", "left").select("band", "size", F.coalesce("jumped", "next").alias("next"))
+    before = Window.partitionBy("next", F.col("size") > BLOCK).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    packed = F.when(F.col("size") > BLOCK, -1).otherwise(F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / BLOCK))
+    homes = common.stage(homes.withColumn("chunk", packed.cast("long")))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
+    block = F.when(F.col("chunk") < 0, F.xxhash64("band", F.lit(1), part)).otherwise(F.xxhash64("next", F.lit(0), "chunk"))
+    return home.drop("n").join(homes, "band").select("node", block.alias("block"))
+
+
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = N) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and n_links (other documents that reach the
     similarity) of every row."""
@@ -188,10 +206,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     bands = nodes.select("node", F.explode("bands").alias("band"))
     popular = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = common.stage(bands.join(popular, "band"))
-    home = shared.groupBy("node").agg(F.max(F.struct("n", "band")).alias("home")).select("node", "home.band")
-    home = common.stage(home)
-    sizes = home.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    blocks = common.stage(home.join(sizes, "band").select("node", F.xxhash64("band", F.pmod(F.xxhash64("node"), "parts")).alias("block")))
+    blocks = common.stage(_blocks(shared))
     # Which blocks meet: by band over blocks, not over nodes.
     there = shared.join(blocks, "node").select("band", "block").distinct()
     one, two = there.select("band", F.col("block").alias("one")), there.select("band", F.col("block").alias("two"))
