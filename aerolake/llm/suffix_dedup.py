@@ -264,7 +264,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     spark = docs.sparkSession
     found = common.stage(_occurrences(docs, length, gram), made)
     twice = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
-    found = common.stage(found.join(twice, "anchor"))
+    twice = common.stage(twice, made)  # a table of its own, so that a join with a hot anchor can be split
+    found = common.stage(found.join(common.small(twice), "anchor"))
     for path in made:
         common.remove(spark, path)
     settled = found.where("NOT mixed").select("key", "bytes", "first", "last").distinct()
