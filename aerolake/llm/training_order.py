@@ -10,19 +10,20 @@ end mark. Spark's own writer makes the files, so they may lie on any store and s
 
 Cases: a null text counts as empty; an empty text is one sequence with just the end mark; repeated
 rows and ids are sequences of their own; an empty table gives no shard and an empty result; an input
-that isn't read from files counts in the order of its partitions; further columns are ignored.
+that isn't read from files is staged and counts in the order of its partitions; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -54,34 +55,44 @@ def slots(index: np.ndarray, total: int, key: str = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_workers: dict[str, Pieces] = {}
+_workers: dict[tuple[str, bool], Pieces] = {}
 
 
-def sequences(docs: DataFrame, model: str = MODEL, length: int = LENGTH) -> DataFrame:
-    """run_file, run_row and local (a sequence's number in its run), doc_id, part, n_tokens, tokens."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the place of each row; what isn't read from files is staged first."""
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
     try:
-        d = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return docs.select("doc_id", "text", *place)
     except AnalysisException:
-        d = docs.select("doc_id", "text", F.format_string("%012d", F.spark_partition_id()).alias("file"), (F.monotonically_increasing_id() % (1 << 33)).alias("row"))
+        return common.stage(docs.select("doc_id", "text")).select("doc_id", "text", *place)
+
+
+def sequences(rows: DataFrame, tokens: bool, model: str = MODEL, length: int = LENGTH) -> DataFrame:
+    """run_file, run_row and local (a sequence's number in its run), with the tokens of each sequence
+    or with its doc_id, part and n_tokens."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (pieces := _workers.get(model)) is None:
-            pieces = _workers[model] = Pieces(model, keep_ids=True)
+        if (pieces := _workers.get((model, tokens))) is None:
+            pieces = _workers[model, tokens] = Pieces(model, keep_ids=tokens)
         if pieces.sp.get_piece_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits don't fit the records")
         run, last, local = ("", 0), ("", -2), 0
         for b in batches:
             for i, j in common.blocks(b.column(1)):
-                ids, at = pieces.stream(b.column(1).slice(i, j - i), END)
+                texts = b.column(1).slice(i, j - i)
+                if tokens:
+                    ids, at = pieces.stream(texts, END)
+                else:
+                    at = np.concatenate([[0], np.cumsum(pieces.counts(texts) + 1)])
                 per = -(-np.diff(at) // length)
                 owner = np.repeat(np.arange(j - i), per)
                 part = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
                 starts = at[owner] + part * length
                 ends = np.minimum(starts + length, at[owner + 1])
-                files, rows = b.column(2).slice(i, j - i).to_pylist(), b.column(3).slice(i, j - i).to_pylist()
+                files, places = b.column(2).slice(i, j - i).to_pylist(), b.column(3).slice(i, j - i).to_pylist()
                 own_file, own_row, number = [], [], []
-                for f, r, n in zip(files, rows, per.tolist(), strict=True):
+                for f, r, n in zip(files, places, per.tolist(), strict=True):
                     if (f, r) != (last[0], last[1] + 1):
                         run, local = (f, r), 0
                     last = (f, r)
@@ -89,38 +100,58 @@ def sequences(docs: DataFrame, model: str = MODEL, length: int = LENGTH) -> Data
                     own_row += [run[1]] * n
                     number += range(local, local + n)
                     local += n
-                offsets = np.append(starts, ends[-1:]).astype(np.int32) * 2
-                tokens = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own_file, pa.string()), pa.array(own_row, pa.int64()), pa.array(number, pa.int64()), b.column(0).slice(i, j - i).take(pa.array(owner)), pa.array(part, pa.int32()), pa.array(ends - starts, pa.int32()), tokens],
-                    ["run_file", "run_row", "local", "doc_id", "part", "n_tokens", "tokens"],
-                )
-
-    return common.map_batches(d, work, f"run_file string, run_row bigint, local bigint, doc_id {kind}, part int, n_tokens int, tokens binary")
+                out = {"run_file": pa.array(own_file, pa.string()), "run_row": pa.array(own_row, pa.int64()), "local": pa.array(number, pa.int64())}
+                if tokens:
+                    offsets = np.append(starts, ends[-1:]).astype(np.int32) * 2
+                    out["tokens"] = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+                else:
+                    out |= {"doc_id": b.column(0).slice(i, j - i).take(pa.array(owner)), "part": pa.array(part, pa.int32()), "n_tokens": pa.array(ends - starts, pa.int32())}
+                yield pa.RecordBatch.from_pydict(out)
+
+    return common.map_batches(rows, work, "run_file string, run_row bigint, local bigint, " + ("tokens binary" if tokens else f"doc_id {kind}, part int, n_tokens int"))
+
+
+@contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans in here are split alike, even if executors come or go between them."""
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
 def materialise(docs: DataFrame, path: str | None = None, model: str = MODEL, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY) -> DataFrame:
     """Write the shards under ``path`` (a new shared folder if None) and return one row for each
     sequence: slot, doc_id, part, n_tokens, shard, byte_offset in it. Shard k is the k-th file of
     the folder by name; slot s begins at byte (s % per_shard) * stride of shard s // per_shard, so
-    that reading can resume anywhere."""
+    that reading can resume anywhere.
+
+    The texts are read twice: a first pass only counts, so that no token is kept on disk between
+    the passes; a second pass whose runs the first didn't see fails."""
     spark = docs.sparkSession
-    staged = common.stage(sequences(docs, model, length))
-    runs = staged.groupBy("run_file", "run_row").agg(F.count("*").alias("n"))
-    before = Window.orderBy("run_file", "run_row").rowsBetween(Window.unboundedPreceding, -1)
-    runs = common.stage(runs.select("run_file", "run_row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), "n"))
-    count, total = runs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    placed = F.pandas_udf(lambda i: pd.Series(slots(i.to_numpy(), total, key)), "bigint")
-    offsets = runs.drop("n")
-    d = staged.join(F.broadcast(offsets) if count <= MOST_RUNS else offsets, ["run_file", "run_row"])
-    d = d.withColumn("slot", placed(F.col("offset") + F.col("local")))
-    d = d.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-    stride = 2 * (length + 1)
-    mark = END.to_bytes(2, "little")
-    record = F.rpad(F.col("tokens"), 2 * length, F.lit(mark)).cast("string").alias("record")
-    shards = -(-total // per_shard)
-    if shards:
-        dealt = d.select("slot", "shard", "tokens").repartitionById(shards, "shard").sortWithinPartitions("slot")
-        out = path or common.shared_dir(spark)
-        dealt.select(record).write.option("lineSep", mark.decode("latin-1")).text(out)
-    return d.select("slot", "doc_id", "part", "n_tokens", "shard", ((F.col("slot") % per_shard) * stride).alias("byte_offset"))
+    rows = _rows(docs)
+    with _same_splits(spark):
+        numbered = common.stage(sequences(rows, False, model, length))
+        runs = numbered.groupBy("run_file", "run_row").agg(F.count("*").alias("n"))
+        before = Window.orderBy("run_file", "run_row").rowsBetween(Window.unboundedPreceding, -1)
+        runs = common.stage(runs.select("run_file", "run_row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), "n"))
+        count, total = runs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        placed = F.pandas_udf(lambda i: pd.Series(slots(i.to_numpy(), total, key)), "bigint")
+        offsets = runs.drop("n")
+        offsets = F.broadcast(offsets) if count <= MOST_RUNS else offsets
+
+        def dealt(d: DataFrame) -> DataFrame:
+            offset = F.coalesce("offset", F.raise_error(F.lit("a run of rows that the first pass didn't see: the input or its splits changed")).cast("bigint"))
+            d = d.join(offsets, ["run_file", "run_row"], "left").withColumn("slot", placed(offset + F.col("local")))
+            return d.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
+
+        mark = END.to_bytes(2, "little")
+        if shards := -(-total // per_shard):
+            record = F.rpad(F.col("tokens"), 2 * length, F.lit(mark)).cast("string").alias("record")
+            d = dealt(sequences(rows, True, model, length)).select("slot", "shard", "tokens")
+            d = d.repartitionById(shards, "shard").sortWithinPartitions("slot").select(record)
+            d.write.option("lineSep", mark.decode("latin-1")).text(path or common.shared_dir(spark))
+    return dealt(numbered).select("slot", "doc_id", "part", "n_tokens", "shard", ((F.col("slot") % per_shard) * 2 * (length + 1)).alias("byte_offset"))
