@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from aerolake.functions import standards as S
 from aerolake.operators import joins, patterns, report, similar, stats
-from aerolake.plans import derive, lineage, quality
+from aerolake.plans import derive, lineage, quality, summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -443,3 +443,54 @@ def lineage_trace(spark, sf_dir):
 @query(f"WITH {_EDGES} SELECT (SELECT count(DISTINCT upstream) FROM e WHERE upstream NOT IN (SELECT downstream FROM e)) AS sources, (SELECT count(DISTINCT downstream) FROM e WHERE downstream NOT IN (SELECT upstream FROM e)) AS sinks, (SELECT count(DISTINCT n) FROM (SELECT upstream AS n FROM e UNION ALL SELECT downstream FROM e)) AS nodes, (SELECT count(*) FROM e) AS edges")
 def lineage_summary(spark, sf_dir):
     return lineage.summary(lineage.edges(spark))
+
+
+# --- summaries: order priorities stand for jobs, order states for their outcome -------------------
+
+
+@query("""WITH j AS (SELECT l_orderkey, count(*) AS units, count(*) FILTER (l_returnflag = 'R') AS failed FROM lineitem GROUP BY 1),
+s AS (SELECT l_orderkey // 4 AS pipeline, CASE WHEN failed = units THEN 'failed' WHEN failed > 0 THEN 'partial' ELSE 'success' END AS status FROM j)
+SELECT pipeline, count(*) AS jobs, CASE WHEN bool_and(status = 'failed') THEN 'failed' WHEN bool_or(status <> 'success') THEN 'partial' ELSE 'success' END AS status FROM s GROUP BY 1""")
+def pipeline_outcome(spark, sf_dir):
+    jobs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(summary.job_status(F.count("*"), F.count_if(F.col("l_returnflag") == "R")).alias("status"))
+    return jobs.groupBy(F.expr("l_orderkey DIV 4").alias("pipeline")).agg(F.count("*").alias("jobs"), summary.pipeline_status().alias("status"))
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS job, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELSE 'partial' END AS status, o_orderdate AS started_at, CAST(floor(o_totalprice) AS BIGINT) AS rows_written FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01')
+SELECT job, grouping(job) = 1 AS overall, count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'failed') AS failed, round(100.0 * count(*) FILTER (status = 'success') / count(*), 1) AS success_rate, max(started_at) AS last_run_at, CAST(sum(rows_written) AS BIGINT) AS total_rows_written FROM r GROUP BY ROLLUP (job)""")
+def run_summary(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", summary.SUCCESS).when(F.col("o_orderstatus") == "O", summary.FAILED).otherwise(summary.PARTIAL)
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("job"), status.alias("status"), F.col("o_orderdate").alias("started_at"), F.floor("o_totalprice").cast("bigint").alias("rows_written"))
+    return rounded(summary.runs(r, F.expr("TIMESTAMP_NTZ '1998-06-01 00:00:00'"), ["rows_written"]), 1)
+
+
+_LATEST = "l AS (SELECT * FROM (SELECT o_custkey AS asset, CAST(o_orderkey * 7 % 101 AS DOUBLE) AS overall_score, CAST(o_orderkey * 3 % 101 AS DOUBLE) AS completeness, CAST(o_orderkey * 5 % 101 AS DOUBLE) AS validity, o_orderstatus AS grade, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1)"
+
+
+def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = lambda k: (F.col("o_orderkey") * k % 101).cast("double")
+    d = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("asset"), score(7).alias("overall_score"), score(3).alias("completeness"), score(5).alias("validity"), F.col("o_orderstatus").alias("grade"), "o_orderdate", "o_orderkey")
+    return summary.latest_scores(d, [F.desc("o_orderdate"), F.desc("o_orderkey")])
+
+
+@query(f"WITH {_LATEST} SELECT grade, grouping(grade) = 1 AS overall, count(*) AS assets, round(avg(overall_score), 2) AS overall_score, round(avg(completeness), 2) AS completeness, round(avg(validity), 2) AS validity FROM l GROUP BY ROLLUP (grade)")
+def quality_summary(spark, sf_dir):
+    return summary.platform_quality(_latest(spark, sf_dir), ["completeness", "validity"])
+
+
+@query(f"WITH {_LATEST} SELECT asset, grade, round(overall_score, 2) AS overall_score FROM l ORDER BY l.overall_score, asset LIMIT 5")
+def worst_assets(spark, sf_dir):
+    return rounded(summary.worst(_latest(spark, sf_dir)).select("asset", "grade", "overall_score"), 2)
+
+
+@query("""WITH b AS (SELECT p_type AS "check", p_brand AS dimension, CASE l_returnflag WHEN 'R' THEN 'failed' ELSE 'warning' END AS status FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N')
+SELECT "check", dimension, count(*) AS n, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (status = 'warning') AS n_warning FROM b GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 8""")
+def failing_checks(spark, sf_dir):
+    status = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "N", "passed").otherwise("warning")
+    d = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return summary.top_failing(d.select(F.col("p_type").alias("check"), F.col("p_brand").alias("dimension"), status.alias("status")))
+
+
+@query("SELECT 'o_orderstatus' AS facet, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+def facets(spark, sf_dir):
+    return summary.facets(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolake.functions import standards as S
 from aerolake.operators import joins, patterns, stats
-from aerolake.plans import derive, quality
+from aerolake.plans import derive, quality, summary
 from aerolake.sources.lake import Asset, partitions, rows_of, scan, upsert
 from aerolake.streaming.ingest import ingest
 
@@ -138,3 +138,27 @@ def test_nearest(spark, km):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 60.0, 0.0)], "id int, lat double, lon double")
     c = spark.createDataFrame([(7, 0.5, 0.0), (8, 0.4, 0.1)], "cand_id int, lat double, lon double")
     assert [(r["id"], r["cand_id"]) for r in joins.nearest(p, c, km).collect()] == [(1, 8)]
+
+
+def test_statuses(spark):
+    jobs = spark.createDataFrame([(0, 0, 0), (3, 0, 5), (3, 0, 0), (3, 1, 5), (3, 3, 0)], "n int, bad int, rows int")
+    got = [tuple(r) for r in jobs.select(summary.job_status(F.col("n"), F.col("bad")), summary.job_status(F.col("n"), F.col("bad"), F.col("rows"))).collect()]
+    assert got == [("skipped", "skipped"), ("success", "success"), ("success", "skipped"), ("partial", "partial"), ("failed", "failed")]
+    for statuses, want in [([], "skipped"), (["failed"] * 2, "failed"), (["failed", "skipped"], "partial"), (["partial"], "partial"), (["skipped"] * 2, "skipped"), (["success", "skipped"], "success")]:
+        assert spark.createDataFrame([(s,) for s in statuses], "status string").agg(summary.pipeline_status()).first()[0] == want
+
+
+def test_summaries_of_nulls_and_nothing(spark):
+    r = spark.createDataFrame([(None, "success", 3, 2), ("a", None, 4, None), ("a", "failed", 1, 9)], "job string, status string, started_at int, n int")
+    got = {(x["job"], x["overall"]): (x["total"], x["success"], x["success_rate"], x["total_n"]) for x in summary.runs(r, F.lit(2), ["n"]).collect()}
+    assert got == {(None, False): (1, 1, 100.0, 2), ("a", False): (1, 0, 0.0, 0), (None, True): (2, 1, 50.0, 2)}
+    assert summary.facets(r.limit(0), ["job"]).count() == 0
+    assert {(x["value"], x["n"]) for x in summary.facets(r, ["job"]).collect()} == {(None, 1), ("a", 2)}
+
+
+def test_partition_sizes(spark, tmp_path):
+    d = spark.createDataFrame([("a", "01", 1), ("a", "02", 2), ("b", "01", 3)], "city string, month string, v int")
+    d.write.partitionBy("city", "month").parquet(str(tmp_path / "lake"))
+    got = summary.partition_sizes(spark.read.parquet(str(tmp_path / "lake")), "city", ["city", "month"]).orderBy("city").collect()
+    size = lambda c: sum(f.stat().st_size for f in (tmp_path / f"lake/city={c}").rglob("*.parquet"))
+    assert [(r["city"], r["partitions"], r["bytes"]) for r in got] == [("a", 2, size("a")), ("b", 1, size("b"))]
