@@ -160,10 +160,10 @@ def word_starts(inside: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of each text in order, and where each text's words begin (one
-    more for the end). A word is a run of ASCII letters, digits and non-ASCII characters; ASCII and
-    Latin-1 letters count as small ones."""
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes from the first word on, where words begin in them, which bytes are inside words, and
+    where each text's words begin (one more for the end). A word is a run of ASCII letters, digits and
+    non-ASCII characters; ASCII and Latin-1 letters count as small ones."""
     raw, at = utf8(texts)
     low = _LOWER[raw]
     accents = np.flatnonzero(raw[:-1] == 0xC3) + 1
@@ -172,8 +172,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inside = _WORD[low]
     starts = word_starts(inside, at)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    return hash_runs(low[starts[0] :], starts - starts[0], inside[starts[0] :]), np.searchsorted(starts, at)
+        return low[:0], starts, inside[:0], np.zeros(len(at), np.int64)
+    return low[starts[0] :], starts - starts[0], inside[starts[0] :], np.searchsorted(starts, at)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of each text in order, and where each text's words begin (one
+    more for the end)."""
+    low, starts, inside, at = words(texts)
+    return hash_runs(low, starts, inside) if len(starts) else np.zeros(0, np.uint64), at
 
 
 class HashTable:

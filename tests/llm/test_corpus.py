@@ -184,6 +184,22 @@ def test_quality_model(spark, docs, empty):
     assert quality_model.classify(docs, None).where("kept").count() == docs.count() and quality_model.classify(empty, m).count() == 0
 
 
+def test_quality_model_knows_inflected_and_repeated_words(spark):
+    rng = np.random.default_rng(5)
+    some = lambda k: "".join(rng.choice(list("abdefgiklmnoprstu"), k))
+    words = [some(6) for _ in range(200)]
+
+    def make(g):
+        w = [*rng.choice(words, 150), *(f"réeux{some(4)}" for _ in range(4 * (g == 0)))]
+        return " ".join(rng.permutation(w))
+
+    d = spark.createDataFrame([(i, make(i % 3), i % 3) for i in range(600)], "doc_id bigint, text string, g int")
+    m = quality_model.train(d, d.where("doc_id < 400").select("doc_id", F.col("g").alias("grade")))
+    got = quality_model.classify(d.where("doc_id >= 400"), m).join(d, "doc_id").toPandas()
+    assert got[got.g == 0].kept.mean() < 0.1 and got[got.g == 2].kept.mean() > 0.9
+    assert quality_model.shares({0: 10, 1: 100, 2: 1000}, 210) == {0: 1.0, 1: 1.0, 2: 0.1}
+
+
 def test_quality_rules(docs, empty):
     want = Counter()
     for i, t in texts(docs):
