@@ -214,6 +214,30 @@ def test_quality_rules(docs, empty):
     assert got.where("base_failed AND kept").count() == 0 and quality_rules.apply_rules(empty).count() == 0
 
 
+def test_quality_rules_reject_texts_without_common_words(spark):
+    rng = np.random.default_rng(7)
+    rare = ["".join(rng.choice(list("bcdfgklmnprstvz"), 6)) for _ in range(500)]
+    plain = lambda n: [str(rng.choice(quality_rules.COMMON_WORDS["en"] if rng.random() < 0.25 else rare)) for _ in range(n)]
+    rows = [(i, " ".join(plain(int(n))), "en") for i, n in enumerate(rng.integers(60, 600, 200))]
+    rows += [(1000 + i, " | ".join(rng.choice(rare, n)), "en") for i, n in enumerate((30, 60, 100, 300))]
+    d = spark.createDataFrame([(i, t, x) for i, t, x in rows], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(d).collect()}
+    hists = {i: np.bincount([quality_rules.WORDS.index(w) + 1 if w in quality_rules.WORDS else 0 for w in t.split()], minlength=len(quality_rules.WORDS) + 1) / len(t.split()) for i, t, _ in rows}
+    ref = np.mean([h for i, h in hists.items() if not got[i]["base_failed"]], axis=0)
+    least = (1 - ref[0]) / 3
+    entropy = lambda p: -sum(x * np.log2(x) for x in p if x > 0)
+    dist = {i: np.sqrt(max(0, entropy((h + ref) / 2) - (entropy(h) + entropy(ref)) / 2)) for i, h in hists.items()}
+    clean = sorted(round(dist[i] * np.sqrt(got[i]["n_words"]), 2) for i, h in hists.items() if 1 - h[0] >= least and not got[i]["base_failed"])
+    mid, low = clean[-(-len(clean) // 2) - 1], clean[int(np.ceil(0.16 * len(clean))) - 1]
+    limit = max(mid + 4 * (mid - low), 1.5 * mid)
+    for i, h in hists.items():
+        assert abs(got[i]["word_distance"] - dist[i]) < 1e-5
+        want = 1 - h[0] >= least and dist[i] * np.sqrt(got[i]["n_words"]) <= limit and got[i]["char_distance"] <= 0.25 and not got[i]["base_failed"]
+        assert got[i]["kept"] == want, i
+    assert not any(got[1000 + k]["kept"] for k in range(4)) and sum(got[i]["kept"] for i in range(200)) >= 198
+    assert any(got[1000 + k]["char_distance"] <= 0.25 for k in range(4))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
