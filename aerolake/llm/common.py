@@ -13,7 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; with them a batch of very long texts stays in a worker's memory.
@@ -92,6 +92,21 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
 
 
+def text_key() -> list[Column]:
+    """128 bits of the text, in two columns."""
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with doc_id and text as a key in the place of doc_id, never null and ordered as the ids
+    (null last), so that verdicts meet their own rows where ids are null or shared."""
+    return docs.withColumn("doc_id", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), *text_key()))
+
+
+def unkeyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("doc_id.id"))
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with this package on the executors and batches of a bounded number of rows."""
     ship(df.sparkSession)

@@ -227,10 +227,11 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs without the documents that aren't the first of their class."""
+    """The rows of docs without those that aren't the first of their class, whatever their ids."""
+    docs = common.keyed(docs)
     classes = common.stage(join(docs))
     kept = common.without(docs, classes.where("doc_id <> class_id").select("doc_id"))
-    if classes.where("doc_id IS NOT NULL AND doc_id = class_id").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    # Rows with an id of their own go as they are; of rows that share one a single row stays.
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    if not classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        # Rows that share an id and a text: a single one stays.
+        kept = kept.dropDuplicates(["doc_id"])
+    return common.unkeyed(kept)

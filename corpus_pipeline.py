@@ -10,7 +10,8 @@ from aerolake.llm import bpe, common, decontaminate, jaccard_join, quality_rules
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return common.without(docs, quality_rules.apply_rules(docs).where("NOT kept").select("doc_id"))
+    docs = common.keyed(docs)
+    return common.unkeyed(common.without(docs, quality_rules.apply_rules(docs).where("NOT kept").select("doc_id")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +21,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    return common.without(docs, decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id"))
+    docs = common.keyed(docs)
+    return common.unkeyed(common.without(docs, decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id")))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -249,3 +249,19 @@ def test_pipeline_stages(spark):
         docs = out.cache()
     assert 0 < docs.count() < n
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_pipeline_drops_rows_and_not_ids(spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 80").first()["text"]
+    rng = np.random.default_rng(9)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(80))
+    a, b, c = text(), text(), text()
+    make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    rows = [(None, a, "en"), (None, "few words", "en"), (None, f"{b} {item}", "en"), (7, c, "en"), (7, "short", "en"), (8, b, "en"), (8, f"{a} {item}", "en")]
+    kept = lambda stage, rows: Counter(tuple(r) for r in stage(spark, make(rows), SF).collect())
+    assert kept(corpus_pipeline.quality, rows) == Counter(r for r in rows if len(r[1]) > 20)
+    assert kept(corpus_pipeline.decontamination, rows) == Counter(r for r in rows if item not in r[1])
+    rows = [(5, a, "en"), (5, b, "en"), (3, f"{b} tail", "en"), (9, a, "en"), (None, c, "en"), (None, c, "en"), (None, a, "en"), (6, c, "en"), (None, text(), "en"), (None, text(), "en")]
+    assert kept(corpus_pipeline.near_duplicates, rows) == Counter([rows[0], rows[2], rows[7], *rows[8:]])
