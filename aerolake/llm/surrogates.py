@@ -8,9 +8,11 @@ addresses of networks their private or public range. Given names and surnames ar
 (so "Mr. X" and "Mr. Y X" stay linked), by syllables of their script, with an ending for the gender.
 
 A check over all distinct entities of the corpus finds surrogates that coincide with each other or with
-a real entity; the losers (all but the least value) try again with another tweak until none is left.
-These exceptions alone are broadcast: syllables are added with the number of entities so that about
-MOST_EXCEPTIONS are expected at most, and the count is checked.
+a real entity; the losers (all but the least value) try again with another tweak until none is left. A
+value without a letter or digit of a known alphabet, and one that loses SHAPED_ATTEMPTS times because
+its shape has hardly a free value, get keyed letters in the place of their format. These exceptions
+alone are broadcast: syllables are added with the number of entities so that about MOST_EXCEPTIONS are
+expected at most; beyond 4 * MOST_EXCEPTIONS they are joined to the texts by a shuffle.
 
 Cases: null texts stay null and empty ones empty; a text without entities stays as it is; overlapping
 matches count once, the first kind of KINDS wins; repeated rows get the same text; other columns stay;
@@ -32,6 +34,10 @@ from . import common
 
 KEY = "surrogates"
 MOST_EXCEPTIONS = 100_000
+#: Attempts within the shape of a value.
+SHAPED_ATTEMPTS = 8
+#: Fewest letters of a surrogate that doesn't keep the format.
+LETTERS = 12
 ROUNDS = 8
 CACHE_SIZE = 200_000
 
@@ -118,8 +124,27 @@ def _network(parts: list[int]) -> str:
     return "10" if a == 10 else "192.168" if (a, b) == (192, 168) else "127" if a == 127 else "public" if 1 <= a <= 223 else "other"
 
 
+def letters(kind: str, value: str, attempt: int, key: str = KEY) -> str:
+    """A surrogate that doesn't keep the format: keyed small letters."""
+    count = max(LETTERS, len(value)) + attempt
+    h = int.from_bytes(blake2b(f"{kind}|{attempt}|letters|{value}".encode(), key=key.encode()[:64], digest_size=64).digest(), "big")
+    return "".join(chr(97 + h // 26**i % 26) for i in range(min(count, 100)))
+
+
 def surrogate(kind: str, value: str, attempt: int = 0, syllables: int = 4, key: str = KEY) -> str:
     """The replacement of an entity; kinds given:m, given:f, given:n and surname are parts of names."""
+    if kind.startswith("given") or kind == "surname":
+        return shaped(kind, value, attempt, syllables, key)
+    if attempt >= SHAPED_ATTEMPTS:
+        return letters(kind, value, attempt, key)
+    new = shaped(kind, value, attempt, syllables, key)
+    if new == value and all(shaped(kind, value, SHAPED_ATTEMPTS + k, syllables, key) == value for k in range(3)):
+        return letters(kind, value, attempt, key)
+    return new
+
+
+def shaped(kind: str, value: str, attempt: int = 0, syllables: int = 4, key: str = KEY) -> str:
+    """The replacement in the format of the value."""
     tweak = f"{kind}|{attempt}"
     if kind.startswith("given") or kind == "surname":
         script = "cyrillic" if "Ѐ" <= value[0] <= "ӿ" else "latin"
@@ -210,6 +235,22 @@ def assign(found: DataFrame, syllables: int, key: str = KEY) -> DataFrame:
         attempt += 1
 
 
+def with_exceptions(d: DataFrame, odd: DataFrame) -> DataFrame:
+    """d with the exceptions (kind, value, surrogate) that its texts hold as the last column."""
+
+    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [(i, k, v) for i, t in enumerate(b.column(0).to_pylist()) for k, v in {(k, v) for _, _, k, v in entities(t)}]
+            rows = pa.array([i for i, _, _ in hits], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(rows), b.column(2).take(rows), pa.array([k for _, k, _ in hits], pa.string()), pa.array([v for *_, v in hits], pa.string())], ["k1", "k2", "kind", "value"])
+
+    held = common.map_batches(d.select("text", *common.text_key()), detect, "k1 bigint, k2 bigint, kind string, value string").distinct()
+    lists = held.join(odd, ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("odd"))
+    h1, h2 = common.text_key()
+    left = d.select(F.struct(*[f"`{c}`" for c in d.columns]).alias("_own"), h1, h2)
+    return left.join(lists, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left").select("_own.*", F.col("odd").alias("_odd"))
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with surrogates in ``text``, and n_entities (how many were replaced) as the last column."""
     spark = docs.sparkSession
@@ -224,12 +265,11 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     syllables = 3
     while len(SYLLABLES["latin"]) ** syllables * 2 * MOST_EXCEPTIONS < names**2 or len(SYLLABLES["latin"]) ** syllables < 100 * names:
         syllables += 1
-    while True:
-        odd = assign(found, syllables, key).where("attempt > 0").select("kind", "value", "surrogate").limit(4 * MOST_EXCEPTIONS + 1).collect()
-        if len(odd) <= 4 * MOST_EXCEPTIONS:
-            break
-        syllables += 2
-    exceptions = spark.sparkContext.broadcast({(r["kind"], r["value"]): r["surrogate"] for r in odd})
+    odd = assign(found, syllables, key).where("attempt > 0").select("kind", "value", "surrogate")
+    few = odd.limit(4 * MOST_EXCEPTIONS + 1).collect()
+    if many := len(few) > 4 * MOST_EXCEPTIONS:
+        few = []
+    exceptions = spark.sparkContext.broadcast({(r["kind"], r["value"]): r["surrogate"] for r in few})
 
     columns = [c for c in docs.columns if c != "n_entities"]
     place = columns.index("text")
@@ -238,10 +278,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
         cache: dict[tuple[str, str], str] = {}
         for b in batches:
             texts, counts = [], []
-            for t in b.column(place).to_pylist():
+            own_odd = b.column(len(columns)).to_pylist() if many else [None] * b.num_rows
+            for t, some in zip(b.column(place).to_pylist(), own_odd, strict=True):
+                odd_here = {(x["kind"], x["value"]): x["surrogate"] for x in some} if some else exceptions.value
                 spans, parts, last = entities(t), [], 0
                 for begin, end, kind, value in spans:
-                    if (new := exceptions.value.get((kind, value)) or cache.get((kind, value))) is None:
+                    if (new := odd_here.get((kind, value)) or cache.get((kind, value))) is None:
                         if len(cache) >= CACHE_SIZE:
                             cache.clear()
                         new = cache[kind, value] = surrogate(kind, value, 0, syllables, key)
@@ -249,10 +291,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
                     last = end
                 texts.append("".join([*parts, t[last:]]) if spans else t)
                 counts.append(len(spans))
-            own = list(b.columns)
+            own = list(b.columns)[: len(columns)]
             own[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64())], [*columns, "n_entities"])
 
     d = docs.select(columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
+    if many:
+        d = with_exceptions(d, odd)
     return common.map_batches(d, replace, f"{schema}, n_entities bigint")

@@ -161,6 +161,25 @@ def test_colliding_surrogates_are_resolved(spark):
     assert len({r["surrogate"] for r in got}) == 300 and max(r["attempt"] for r in got) > 0
 
 
+def test_surrogates_without_a_free_value_end(spark, monkeypatch):
+    t = "password: ******** and password: 密码密码密码密码 end"
+    new = surrogates.pseudonymise(spark.createDataFrame([(1, t)], "doc_id bigint, text string")).first()["text"]
+    assert "****" not in new and "密" not in new and new.startswith("password: ") and new.endswith(" end")
+    ips = [f"192.168.{i}.{j}" for i in range(256) for j in range(256)]
+    full = spark.createDataFrame([("ip", v) for v in ips], "kind string, value string")
+    got = surrogates.assign(full, 3).toPandas()
+    assert len(got) == got.surrogate.nunique() == len(ips) and not set(got.surrogate) & set(ips)
+    names = [f"Mr. {chr(65 + i)}{chr(97 + j)}abcd" for i in range(26) for j in range(26)]
+    docs = spark.createDataFrame([(i % 9, " and ".join(names[i : i + 4])) for i in range(0, 676, 4)] + [(None, t), (None, None)], "doc_id bigint, text string")
+    rows = lambda: Counter(tuple(r) for r in surrogates.pseudonymise(docs).collect())
+    monkeypatch.setitem(surrogates.SYLLABLES, "latin", surrogates.SYLLABLES["latin"][:30])
+    assign = surrogates.assign
+    monkeypatch.setattr(surrogates, "assign", lambda found, syllables, key: assign(found, 2, key).withColumn("attempt", F.lit(1)))
+    few = rows()
+    monkeypatch.setattr(surrogates, "MOST_EXCEPTIONS", 5)
+    assert rows() == few and sum(few.values()) == docs.count()
+
+
 def test_language_id(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs, langid.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
