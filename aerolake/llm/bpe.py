@@ -8,8 +8,9 @@ lists of the pairs next to it. A word's ids and decoded tokens then serve all it
 Cases: a null text counts as empty; an empty text has no id, and the digests of the empty string;
 the strings of special tokens become their ids, as the library does by default; texts with
 characters beyond Latin are normalised and cut by the library's own normaliser; a block holds
-BLOCK_BYTES bytes or one text, so very long texts and partitions stay in memory; repeated rows
-stay; an empty table gives an empty result; further columns are ignored.
+BLOCK_BYTES bytes or one text and is worked on in segments that end at white space, so very long texts
+and partitions stay in memory; repeated rows stay; an empty table gives an empty result; further
+columns, whatever their names, are ignored. A cached word is found by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -48,14 +49,17 @@ class WordBPE:
 
     def __init__(self, model: str):
         import regex
-        from tokenizers import Tokenizer
 
-        path = model_path(model)
-        spec = json.load(open(path, encoding="utf-8"))
-        self.library = Tokenizer.from_file(path)
+        with open(model_path(model), encoding="utf-8") as f:
+            spec = json.load(f)
+        # For words beyond Latin the library normalises and cuts; it needs no vocabulary for that.
+        small = {"type": "BPE", "vocab": {}, "merges": []}
+        self.rules = json.dumps(spec | {"model": small, "added_tokens": [], "post_processor": None, "decoder": None})
+        self.library = None
         vocab: dict[str, int] = spec["model"]["vocab"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (vocab | special).items()}
+        named = {i: t for t, i in (vocab | special).items()}
+        self.tokens = [named.get(i) for i in range(max(named) + 1)]
         self.special = special
         self.cut_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.end = spec["model"]["end_of_word_suffix"]
@@ -68,11 +72,11 @@ class WordBPE:
         made = {ab: r for r, (_, _, ab) in enumerate(pairs)}
         if len(made) < len(pairs) or any(max(made.get(a, -1), made.get(b, -1)) >= r for r, (a, b, _) in enumerate(pairs)):
             raise ValueError("a merge may only use what earlier merges made, each of them once")
-        self.by_rank = pairs
-        keys = np.array([a << 20 | b for a, b, _ in pairs], np.int64)
-        self.ranks = np.argsort(keys, kind="stable")
+        self.by_rank = np.array(pairs, np.int32).reshape(-1, 3)
+        keys = self.by_rank[:, 0].astype(np.int64) << 20 | self.by_rank[:, 1]
+        self.ranks = np.argsort(keys, kind="stable").astype(np.int32)
         self.keys = keys[self.ranks]
-        self.numerals = {i: str(i) for i in self.tokens}
+        self.numerals = list(map(str, range(len(self.tokens))))
         self.reset()
 
     def reset(self, more: int = 0) -> None:
@@ -88,15 +92,23 @@ class WordBPE:
         """Pre-tokens of a word that holds no special token."""
         if word.isascii() or not _PLAIN.search(word):
             return self.cut(word.lower())
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.rules)
         norm = self.library.normalizer.normalize_str(word)
         byte = {c: b for b, c in enumerate(byte_letters())}
         return [bytes(byte[c] for c in p).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols; -1 where there is none."""
-        key = left.astype(np.int64) << 20 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], -1)
+        out = np.empty(len(left), np.int32)
+        for i in range(0, len(left), 1 << 17):
+            a, b = left[i : i + (1 << 17)], right[i : i + (1 << 17)]
+            key = a.astype(np.int64) << 20 | b
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[i : i + len(a)] = np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], -1)
+        return out
 
     def merge(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pre-tokens, all merged together, one after the other, and how many each
@@ -109,11 +121,11 @@ class WordBPE:
         ends = np.flatnonzero(raw == 10)
         symbols[ends[1:] - 1] = np.array(self.last, np.int32)[raw[ends[1:] - 1]]
         symbols[ends] = -1
-        after = np.arange(1, len(symbols) + 1)
-        before = np.arange(-1, len(symbols) - 1)
+        after = np.arange(1, len(symbols) + 1, dtype=np.int32)
+        before = np.arange(-1, len(symbols) - 1, dtype=np.int32)
         # The index: for each rank its first places, a slice of one sorted array, and later ones.
         ranks = self.rank_of(symbols[:-1], symbols[1:])
-        places = np.flatnonzero(ranks >= 0)
+        places = np.flatnonzero(ranks >= 0).astype(np.int32)
         order = np.argsort(ranks[places], kind="stable")
         places, ranks = places[order], ranks[places[order]]
         found, begins = np.unique(ranks, return_index=True)
@@ -121,13 +133,13 @@ class WordBPE:
         later: dict[int, list[int]] = defaultdict(list)
         active = list(initial)
         heapq.heapify(active)
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int32)
         while active:
             rank = heapq.heappop(active)
-            a, b, ab = self.by_rank[rank]
+            a, b, ab = self.by_rank[rank].tolist()
             at = initial.pop(rank, none)
             if rank in later:
-                at = np.concatenate([at, np.array(later.pop(rank))])
+                at = np.concatenate([at, np.array(later.pop(rank), np.int32)])
             to = after[at]
             # Places are stale once one of their symbols was merged away.
             there = (symbols[at] == a) & (symbols[to] == b)
@@ -138,7 +150,7 @@ class WordBPE:
                     if i >= free:
                         taken.append((i, j))
                         free = j + 1
-                at, to = np.array(taken).T
+                at, to = np.array(taken, np.int32).T
             if not len(at):
                 continue
             right = after[to]
@@ -187,33 +199,38 @@ class WordBPE:
         ends = total[np.flatnonzero(marks) - np.arange(len(words))]
         self.ids.append(ids, np.diff(ends, prepend=0))
 
-    def encode_block(self, texts: pa.Array) -> list[list[int]]:
-        """The ids of each text."""
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin (one more for the
+        end)."""
         raw, at = common.utf8(texts)
         inside = ~_BLANK[raw]
         starts = common.word_starts(inside, at)
         if not len(starts):
-            return [[] for _ in range(len(texts))]
-        hashes = common.hash_runs(raw[starts[0] :], starts - starts[0], inside[starts[0] :])
+            return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
+        parts = [np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)]
+        for lo, hi in common.segments(~inside, at):
+            i, j = np.searchsorted(starts, [lo, hi])
+            if i < j:
+                lo = int(starts[i])
+                parts[0][i:j], parts[1][i:j] = common.hash_pairs(raw[lo:hi], starts[i:j] - lo, inside[lo:hi])
         if self.table.used > CACHE_SIZE:
             self.reset()
-        found = self.table.find(hashes)
+        found = self.table.find(*parts)
         if len(missing := np.flatnonzero(found < 0)):
-            new, one = np.unique(hashes[missing], return_index=True)
-            data = raw.tobytes()
-            ends = np.append(starts[1:], len(raw))
-            if self.table.used + len(new) > self.room:
-                self.reset(len(new))
+            one = missing[common.distinct_pairs(parts[0][missing], parts[1][missing])]
+            if self.table.used + len(one) > self.room:
+                self.reset(len(one))
                 return self.encode_block(texts)
-            self.table.add(new)
-            self.learn([data[i:j].decode() for i, j in zip(starts[missing[one]].tolist(), ends[missing[one]].tolist(), strict=True)])
-            found[missing] = self.table.find(hashes[missing])
+            ends = np.append(starts[1:], len(raw))
+            names = [raw[i:j].tobytes().decode() for i, j in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+            self.table.add(parts[0][one], parts[1][one])
+            self.learn(names)
+            found[missing] = self.table.find(parts[0][missing], parts[1][missing])
         ids, lengths = self.ids.gather(found)
-        first = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, at)].tolist()
-        return [ids[i:j].tolist() for i, j in zip(first, first[1:], strict=False)]
+        return ids, np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[np.searchsorted(starts, at)]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_block(pa.array([text]))[0]
+        return self.encode_block(pa.array([text]))[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -235,11 +252,16 @@ def encode_decode(docs: DataFrame, model: str = MODEL, digests: bool = True) ->
         digest = lambda s: sha256(s.encode()).hexdigest()
 
         def flush(held: list) -> pa.RecordBatch:
-            ids = pa.concat_arrays([i for i, _ in held])
-            found = bpe.encode_block(pa.concat_arrays([t.cast(pa.large_string()) for _, t in held]))
-            own = [digest(" ".join(map(bpe.numerals.__getitem__, x))) for x in found] if digests else pa.array(found, pa.list_(pa.int32()))
-            shown = [digest(t) if digests else t for t in map(bpe.decode, found)]
-            return pa.RecordBatch.from_arrays([ids, pa.array(list(map(len, found)), pa.int64()), pa.array(own), pa.array(shown, pa.string())], ["doc_id", "n_tokens", *last])
+            rows = pa.concat_arrays([i for i, _ in held])
+            ids, at = bpe.encode_block(pa.concat_arrays([t.cast(pa.large_string()) for _, t in held]))
+            own, shown, ends = [], [], at.tolist()
+            for i, j in zip(ends, ends[1:], strict=False):
+                x = ids[i:j].tolist()
+                text = bpe.decode(x)
+                own.append(digest(" ".join(map(bpe.numerals.__getitem__, x))) if digests else None)
+                shown.append(digest(text) if digests else text)
+            own = pa.array(own, pa.string()) if digests else pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+            return pa.RecordBatch.from_arrays([rows, pa.array(np.diff(at), pa.int64()), own, pa.array(shown, pa.string())], ["doc_id", "n_tokens", *last])
 
         # Blocks of texts, over the borders of batches: the index takes in many words at once.
         held, size = [], 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -39,10 +40,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder under spark.checkpoint.dir. Where that is unset a temporary one serves a local
+    master; on a cluster it would lose rows, so that is an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(sc, "_corpus_dir", None) or Path(tempfile.mkdtemp(prefix="corpus-")).as_uri()
         sc._corpus_dir = base
     return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
@@ -77,13 +81,27 @@ def _quietly(spark: SparkSession, path: str) -> None:
             pass
 
 
-#: Rows of a table of ids that may be broadcast; beyond them the join shuffles.
-MOST_BROADCAST = 500_000
+#: Bytes of a table that may be broadcast; beyond them the join shuffles.
+MOST_BROADCAST = 32 << 20
+
+
+def width(df: DataFrame) -> Column:
+    """About the bytes of a row in memory; arrays and strings by their sizes."""
+    fixed, total = 24, F.lit(0)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif kind == "array":
+            total = total + F.greatest(F.size(f"`{f.name}`"), F.lit(0)) * 16 * max(1, len(getattr(f.dataType.elementType, "fields", ())))
+        fixed += 16 * max(1, len(getattr(f.dataType, "fields", ())))
+    return (total + fixed).cast("long")
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, a staged table of a few short columns, marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    """df, a staged table, marked for broadcast if it has few bytes, which are counted."""
+    held = df.agg(F.coalesce(F.sum(width(df)), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= MOST_BROADCAST else df
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -122,10 +140,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-#: Powers of an odd number modulo 2**64; places beyond them wrap round.
-_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all (the usual xor-shift finish)."""
     x = x ^ (x >> np.uint64(30))
@@ -135,6 +149,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Factors of the bytes of a run by their place; those of further places are made when needed.
+_FACTORS = [mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) + np.uint64(k << 40)) for k in range(2)]
+
+
+def _factors(place: np.ndarray, k: int) -> np.ndarray:
+    out = _FACTORS[k][place & 0xFFFF]
+    if len(far := np.flatnonzero(place > 0xFFFF)):
+        out[far] = mix(place[far].astype(np.uint64) + np.uint64((k << 40) + 1))
+    return out
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array and where each text begins (one more for the end); null: empty."""
     texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string()).fill_null("")
@@ -156,13 +181,44 @@ def blocks(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
 
 def hash_runs(raw: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np.ndarray:
     """A hash, never 0, of each run of bytes from one start to the next; only bytes ``inside`` count."""
+    return _hashed(raw, starts, inside, 1)[0]
+
+
+def hash_pairs(raw: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each run, which name it together."""
+    return _hashed(raw, starts, inside, 2)
+
+
+def _hashed(raw: np.ndarray, starts: np.ndarray, inside: np.ndarray, count: int) -> tuple[np.ndarray, ...]:
+    """Sums of the bytes times a factor of their own for each place, however long the run."""
     place = np.arange(len(raw), dtype=np.int32)
     place -= np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(raw))))
-    value = (raw.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 4095]
+    value = raw.astype(np.uint64) + np.uint64(1)
     value[~inside] = 0
-    out = mix(np.add.reduceat(value, starts))
-    out[out == 0] = 1
-    return out
+    out = []
+    for k in range(count):
+        h = mix(np.add.reduceat(value * _factors(place, k), starts))
+        h[h == 0] = 1
+        out.append(h)
+    return tuple(out)
+
+
+def segments(may_cut: np.ndarray, at: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Runs of about ``size`` bytes that end where a text does or before a byte that ``may_cut``
+    flags; longer ones only where no such byte comes."""
+    lo, n = 0, len(may_cut)
+    while lo < n:
+        hi, step = lo, size
+        while hi == lo:
+            end = min(lo + step, n)
+            if end == n:
+                hi = n
+            else:
+                inner = np.flatnonzero(may_cut[lo + 1 : end + 1])
+                hi = max(int(at[np.searchsorted(at, end, "right") - 1]), lo + 1 + int(inner[-1]) if len(inner) else lo)
+            step *= 2
+        yield lo, hi
+        lo = hi
 
 
 def word_starts(inside: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -199,37 +255,53 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class HashTable:
-    """Numbers 0, 1, ... for 64-bit hashes, open addressing in two arrays."""
+    """Numbers 0, 1, ... for pairs of 64-bit hashes, open addressing in three arrays."""
 
     def __init__(self, size: int):
         self.bits = max(4, int(2 * size).bit_length())
-        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.keys, self.checks = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
         self.values = np.zeros(1 << self.bits, np.int32)
         self.used = 0
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each hash; -1 where it has none."""
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The number of each pair; -1 where it has none."""
         out = np.full(len(keys), -1, np.int32)
         left, slot = np.arange(len(keys)), (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(left):
             there = self.keys[slot]
-            hit = there == keys[left]
+            hit = (there == keys[left]) & (self.checks[slot] == checks[left])
             out[left[hit]] = self.values[slot[hit]]
             on = ~hit & (there != 0)
             left, slot = left[on], (slot[on] + 1) & (len(self.keys) - 1)
         return out
 
-    def add(self, keys: np.ndarray) -> None:
-        """Give distinct new hashes the next numbers."""
+    def add(self, keys: np.ndarray, checks: np.ndarray) -> None:
+        """Give distinct new pairs the next numbers."""
         values = np.arange(self.used, self.used + len(keys), dtype=np.int32)
         self.used += len(keys)
         slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(keys):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = keys[free]
-            won = self.keys[slot] == keys
-            self.values[slot[won]] = values[won]
-            keys, values, slot = keys[~won], values[~won], (slot[~won] + 1) & (len(self.keys) - 1)
+            free = np.flatnonzero(self.keys[slot] == 0)
+            # Of those that want a free slot one gets it, with both of its hashes.
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[free]], self.checks[slot[free]], self.values[slot[free]] = keys[free], checks[free], values[free]
+            lost = np.ones(len(keys), bool)
+            lost[free] = False
+            keys, checks, values, slot = keys[lost], checks[lost], values[lost], (slot[lost] + 1) & (len(self.keys) - 1)
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs in the order of their numbers."""
+        full = np.flatnonzero(self.keys)
+        full = full[np.argsort(self.values[full])]
+        return self.keys[full], self.checks[full]
+
+
+def distinct_pairs(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where the first of each distinct pair stands, by key."""
+    order = np.lexsort((checks, keys))
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])
+    return order[new]
 
 
 class Ragged:

@@ -2,15 +2,17 @@
 
 A text is cut before every run of spaces that follows something else. No piece of the model spans
 such a cut (checked when the model is loaded), so a text has as many tokens as its pre-tokens
-have. A broadcast hash table gives the lengths of frequent pre-tokens under their 64-bit hashes;
-what it lacks is encoded once and kept in a cache of the Python worker. No pre-token is shuffled.
+have. A broadcast hash table gives the lengths of frequent pre-tokens under two independent 64-bit
+hashes; what it lacks is encoded once and kept in a cache of the Python worker. No pre-token is shuffled.
 
-The table comes from TABLE_ROWS rows at most, on the driver, and holds TABLE_SIZE entries of 12 bytes at most, so
-its size has a fixed bound. It decides only where a length is looked up, never which.
+The table comes from about TABLE_ROWS rows spread over all partitions (twice as many at most), counted on
+the driver, and holds TABLE_SIZE entries of 20 bytes at most, so its size has a fixed bound. It decides only
+where a length is looked up, never which.
 
 Cases: a null text counts as empty and has no token; texts of blanks, of one endless word, or with
-the model's own space mark are counted as the library counts them; repeated rows stay; an empty
-table gives an empty result; further columns are ignored.
+the model's own space mark are counted as the library counts them; very long texts are cut where no
+piece can span the cut; of equally frequent pre-tokens the one with the lesser hash enters the table;
+repeated rows stay; an empty table gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MODEL = "piece_bpe_32k.model"
-TABLE_ROWS, TABLE_BYTES = 1000, 100_000
+TABLE_ROWS, TABLE_BYTES = 1000, 20_000
 TABLE_SIZE = 50_000
 #: Entries of a worker's cache; it starts again from the table when they are reached.
 CACHE_SIZE = 500_000
@@ -59,8 +61,8 @@ class Pieces:
         self.lengths = np.zeros(2 * CACHE_SIZE, np.int32)
         self.ids = common.Ragged("<u2")
         if self.frequent and not self.keep_ids:
-            self.table.add(self.frequent[0])
-            self.lengths[: self.table.used] = self.frequent[1]
+            self.table.add(*self.frequent[:2])
+            self.lengths[: self.table.used] = self.frequent[2]
 
     def encode(self, pretokens: list[str]) -> list[list[int]]:
         """The ids of pre-tokens without their first space; an empty one is a space at a text's end."""
@@ -72,39 +74,42 @@ class Pieces:
         raw, at = common.utf8(texts)
         if not len(raw):
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
-        inside = raw != 32
-        begins = ~inside
-        begins[1:] &= inside[:-1]
-        begins[0] = False
+        begins = raw == 32
+        begins[1:] &= raw[:-1] != 32
         firsts = at[:-1][np.diff(at) > 0]
         begins[firsts] = True
         # A text's first pre-token has no space before it, and its own leading spaces count.
         counted = ~begins
         counted[firsts] = True
         starts = np.flatnonzero(begins)
-        hashes = common.hash_runs(raw, starts, counted)
         if self.table.used + len(starts) > 2 * CACHE_SIZE or self.table.used > CACHE_SIZE:
             self.reset()
-        found = self.table.find(hashes)
+        found = []
+        for lo, hi in common.segments(begins, at):
+            i, j = np.searchsorted(starts, [lo, hi])
+            found.append(self._numbers(raw[lo:hi], starts[i:j] - lo, counted[lo:hi]))
+        return np.concatenate(found), np.searchsorted(starts, at)
+
+    def _numbers(self, raw: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        hashes, checks = common.hash_pairs(raw, starts, counted)
+        found = self.table.find(hashes, checks)
         if len(missing := np.flatnonzero(found < 0)):
-            new, one = np.unique(hashes[missing], return_index=True)
-            one = missing[one]
+            one = missing[common.distinct_pairs(hashes[missing], checks[missing])]
             ends = np.append(starts[1:], len(raw))
             data = raw.tobytes()
             names = [data[i:j].decode() for i, j in zip((starts[one] + ~counted[starts[one]]).tolist(), ends[one].tolist(), strict=True)]
             ids, used = self.encode(names), self.table.used
-            if used + len(new) > len(self.lengths):
-                self.lengths = np.concatenate([self.lengths, np.zeros(len(new), np.int32)])
-                self.table, old = common.HashTable(2 * (used + len(new))), self.table
-                order = np.argsort(old.values[old.keys != 0])
-                self.table.add(old.keys[old.keys != 0][order])
-            self.table.add(new)
+            if used + len(one) > len(self.lengths):
+                self.lengths = np.concatenate([self.lengths, np.zeros(len(one), np.int32)])
+                self.table, old = common.HashTable(2 * (used + len(one))), self.table
+                self.table.add(*old.all())
+            self.table.add(hashes[one], checks[one])
             self.lengths[used : self.table.used] = [len(x) for x in ids]
             if self.keep_ids:
                 lengths = np.array([len(x) for x in ids])
                 self.ids.append(np.fromiter((i for x in ids for i in x), np.int64, int(lengths.sum())), lengths)
-            found[missing] = self.table.find(hashes[missing])
-        return found, np.searchsorted(starts, at)
+            found[missing] = self.table.find(hashes[missing], checks[missing])
+        return found
 
     def whole(self, texts: pa.Array) -> list[int]:
         """Rows whose text can't be cut at spaces."""
@@ -141,21 +146,24 @@ class Pieces:
 _workers: dict[str, Pieces] = {}
 
 
-def frequent_lengths(docs: DataFrame, model: str = MODEL) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and lengths of the most frequent pre-tokens of the first TABLE_ROWS rows of up to
-    TABLE_BYTES; Spark reads no more partitions than these need."""
-    rows = docs.select("text").where(F.octet_length("text") <= TABLE_BYTES).limit(TABLE_ROWS).collect()
+def frequent_lengths(docs: DataFrame, model: str = MODEL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and lengths of the most frequent pre-tokens of about TABLE_ROWS rows of up to
+    TABLE_BYTES, drawn from all partitions; equally frequent ones by their hashes."""
+    d = docs.select("text").where(F.octet_length("text") <= TABLE_BYTES)
+    part = min(1.0, TABLE_ROWS / max(1, docs.count()))
+    rows = d.where(F.rand(1) < part).limit(2 * TABLE_ROWS).collect()
     texts = pa.array([r["text"] for r in rows], pa.large_string())
     pieces, seen = Pieces(model), np.zeros(0, np.int64)
     for i, j in common.blocks(texts):
         numbers, _ = pieces.numbers(texts.slice(i, j - i))
-        seen = np.concatenate([seen, np.zeros(max(0, pieces.table.used - len(seen)), np.int64)])
+        if pieces.table.used < len(seen):  # the cache was full
+            seen = seen[:0]
+        seen = np.concatenate([seen, np.zeros(pieces.table.used - len(seen), np.int64)])
         seen += np.bincount(numbers, minlength=len(seen))
-    top = np.argsort(-seen, kind="stable")[:TABLE_SIZE]
-    keys = np.zeros(len(seen), np.uint64)
-    full = pieces.table.keys != 0
-    keys[pieces.table.values[full]] = pieces.table.keys[full]
-    return keys[top], pieces.lengths[top]
+    keys, checks = pieces.table.all()
+    keys, checks = keys[: len(seen)], checks[: len(seen)]
+    top = np.lexsort((keys, -seen))[:TABLE_SIZE]
+    return keys[top], checks[top], pieces.lengths[top]
 
 
 def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> DataFrame:

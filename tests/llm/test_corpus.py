@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from aerolake.llm import bpe, decontaminate, jaccard_join, langid, quality_model, quality_rules, suffix_dedup, surrogates, token_counts, training_order
+from aerolake.llm import bpe, common, decontaminate, jaccard_join, langid, quality_model, quality_rules, suffix_dedup, surrogates, token_counts, training_order
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, block string, n_tokens int"
@@ -42,7 +43,7 @@ def test_token_counts(docs, empty):
 
 
 def test_bpe(docs, empty):
-    lib = bpe.WordBPE(bpe.MODEL).library
+    lib = Tokenizer.from_file(token_counts.model_path(bpe.MODEL))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = Counter()
     for i, t in texts(docs):
@@ -52,6 +53,44 @@ def test_bpe(docs, empty):
     assert bpe.encode_decode(empty).count() == 0
 
 
+def long_words():
+    rng = np.random.default_rng(4)
+    a, b = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 4096)), "a" * 4096
+    return [a + b, b + a, f"{a}{b} {b}{a}", "中文字" * 3000 + " q", "é" * 70_000, "ab " * 300_000, a * 200, None, ""]
+
+
+def test_long_words_and_very_long_texts():
+    texts = pa.array(long_words(), pa.large_string())
+    lib, own = Tokenizer.from_file(token_counts.model_path(bpe.MODEL)), bpe.WordBPE(bpe.MODEL)
+    ids, at = own.encode_block(texts)
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == [lib.encode(t or "", add_special_tokens=False).ids for t in long_words()]
+    pieces = token_counts.Pieces(token_counts.MODEL, keep_ids=True)
+    want = [pieces.sp.encode(t or "") for t in long_words()]
+    ids, at = pieces.stream(texts, 2)
+    assert [ids[i : j - 1].tolist() for i, j in zip(at, at[1:], strict=False)] == want
+    assert token_counts.Pieces(token_counts.MODEL).counts(texts).tolist() == list(map(len, want))
+
+
+def test_hashes_part_runs_that_swap_far_bytes():
+    a = np.tile(np.arange(256, dtype=np.uint8), 1000)
+    b = a.copy()
+    for k in (1, 4096, 65_536, 131_072):
+        b[:] = a
+        b[7], b[7 + k + (k % 256 == 0)] = a[7 + k + (k % 256 == 0)], a[7]
+        raw, starts = np.concatenate([a, b]), np.array([0, len(a)])
+        for h in common.hash_pairs(raw, starts, np.ones(len(raw), bool)):
+            assert h[0] != h[1]
+
+
+def test_hash_table_tells_pairs_apart():
+    table, rng = common.HashTable(500), np.random.default_rng(6)
+    keys, checks = np.repeat(rng.integers(1, 2**63, 100).astype(np.uint64), 5), np.tile(np.arange(1, 6, dtype=np.uint64), 100)
+    table.add(keys, checks)
+    assert table.find(keys, checks).tolist() != [-1] * 500 and sorted(table.find(keys, checks)) == list(range(500))
+    assert (table.find(keys, checks + np.uint64(9)) == -1).all()
+    assert set(zip(*(x.tolist() for x in table.all()), strict=True)) == set(zip(keys.tolist(), checks.tolist(), strict=True))
+
+
 def test_training_order(docs, empty, tmp_path):
     assert sorted(training_order.slots(np.arange(997), 997)) == list(range(997))
     assert training_order.slots(np.arange(50), 50, "a").tolist() != training_order.slots(np.arange(50), 50, "b").tolist()
