@@ -5,7 +5,10 @@ and digits together are one number of a mixed radix, moved by a keyed Feistel pe
 the numbers of that shape. So different values of a shape get different surrogates without any table,
 and a value gets the same one in every document. Cards keep their first digit and a valid check digit,
 addresses of networks their private or public range. Given names and surnames are replaced one by one
-(so "Mr. X" and "Mr. Y X" stay linked), by syllables of their script, with an ending for the gender.
+(so "Mr. X" and "Mr. Y X" stay linked), by syllables or letters of their script, given names with an ending
+for the gender of their title. Names count without their case, which each mention keeps; a name that follows
+a title anywhere in a text is replaced wherever it stands in it as a capitalised word; a given name after a
+title of no gender takes the surrogate of the same name with a gender, if the corpus has it.
 
 A check over all distinct entities of the corpus finds surrogates that coincide with each other or with
 a real entity; the losers (all but the least value) try again with another tweak until none is left. A
@@ -15,8 +18,9 @@ alone are broadcast: syllables are added with the number of entities so that abo
 expected at most; beyond 4 * MOST_EXCEPTIONS they are joined to the texts by a shuffle.
 
 Cases: null texts stay null and empty ones empty; a text without entities stays as it is; overlapping
-matches count once, the first kind of KINDS wins; repeated rows get the same text; other columns stay;
-an empty table gives an empty result.
+matches count once, the first kind of KINDS wins; of equal surrogates the one of the least value wins;
+repeated rows get the same text; very long texts are searched whole, a row at a time; other columns stay
+(one named n_entities too, and then the count isn't added); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ KEY = "surrogates"
 MOST_EXCEPTIONS = 100_000
 #: Attempts within the shape of a value.
 SHAPED_ATTEMPTS = 8
+MOST_ATTEMPTS = 64
 #: Fewest letters of a surrogate that doesn't keep the format.
 LETTERS = 12
 ROUNDS = 8
@@ -50,7 +55,11 @@ SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe fi fo ga ge gi go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
     "cyrillic": "ба бе би бо да де ди до фа фе фи фо га ге ги го ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то ва ве ви во".split(),
 }
-ENDINGS = {("latin", "m"): "n", ("latin", "f"): "lia", ("latin", "n"): "r", ("cyrillic", "m"): "н", ("cyrillic", "f"): "лия", ("cyrillic", "n"): "р"}
+ENDINGS = {("latin", "m"): "n", ("latin", "f"): "lia", ("latin", "n"): "r", ("cyrillic", "m"): "н", ("cyrillic", "f"): "лия", ("cyrillic", "n"): "р", ("greek", "m"): "ς", ("greek", "f"): "λια", ("greek", "n"): "ρ"}
+# First and last code point of the letters that make names of other scripts, one for each syllable.
+LETTERS_OF = {"greek": (0x3B1, 0x3C1), "hebrew": (0x5D0, 0x5E9), "arabic": (0x628, 0x63A), "devanagari": (0x915, 0x939), "thai": (0xE01, 0xE2E), "georgian": (0x10D0, 0x10F0), "hangul": (0xAC00, 0xD7A3), "kana": (0x30AB, 0x30DD), "han": (0x4E00, 0x9FA5)}
+# Where the letters of each script lie.
+SCRIPTS = {"greek": (0x370, 0x3FF), "cyrillic": (0x400, 0x52F), "hebrew": (0x590, 0x5FF), "arabic": (0x600, 0x6FF), "devanagari": (0x900, 0x97F), "thai": (0xE00, 0xE7F), "georgian": (0x10A0, 0x10FF), "kana": (0x3040, 0x30FF), "han": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7AF)}
 
 KINDS = {
     "email": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z0-9-]*[A-Za-z0-9]",
@@ -143,19 +152,22 @@ def surrogate(kind: str, value: str, attempt: int = 0, syllables: int = 4, key:
     return new
 
 
+def script_of(value: str) -> str:
+    return next((s for s, (a, b) in SCRIPTS.items() if a <= ord(value[0]) <= b), "latin")
+
+
 def shaped(kind: str, value: str, attempt: int = 0, syllables: int = 4, key: str = KEY) -> str:
     """The replacement in the format of the value."""
     tweak = f"{kind}|{attempt}"
     if kind.startswith("given") or kind == "surname":
-        script = "cyrillic" if "Ѐ" <= value[0] <= "ӿ" else "latin"
-        parts = SYLLABLES[script]
+        script = script_of(value)
+        parts = SYLLABLES.get(script) or [chr(c) for c in range(LETTERS_OF[script][0], LETTERS_OF[script][1] + 1)]
         h = int.from_bytes(blake2b(f"{tweak}|{value}".encode(), key=key.encode()[:64], digest_size=16).digest(), "big")
         out = []
         for _ in range(syllables + attempt):
             h, d = divmod(h, len(parts))
             out.append(parts[d])
-        name = "".join(out) + (ENDINGS[script, kind[-1]] if kind.startswith("given") else "")
-        return name.upper() if value.isupper() else name.capitalize()
+        return ("".join(out) + (ENDINGS.get((script, kind[-1]), "") if kind.startswith("given") else "")).capitalize()
     if kind == "card":
         digits = [c for c in value if c.isdigit()]
         if int(digits[-1]) == _luhn("".join(digits[:-1])):
@@ -189,23 +201,42 @@ def shaped(kind: str, value: str, attempt: int = 0, syllables: int = 4, key: str
     return reshape(value, tweak, key)
 
 
+def is_name(kind: str) -> bool:
+    return kind == "surname" or kind.startswith("given")
+
+
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(begin, end, kind, value) of what is replaced, in order."""
+    """(begin, end, kind, value) of what is replaced, in order; names capitalised, whatever their case."""
     if not text or not _MAYBE.search(text):
         return []
-    out = []
+    out, names, forms = [], {}, {}
     for m in _FIND.finditer(text):
         kind, begin, end = m.lastgroup, m.start(), m.end()
         if kind == "secret" and (a := _ASSIGNED.match(m[0])):
             begin += a.end()
         if kind == "name":
-            title, *names = re.finditer(r"[^ ]+", m[0])
+            title, *parts = re.finditer(r"[^ ]+", m[0])
             t = title[0].rstrip(".")
             gender = "m" if t in MALE else "f" if t in FEMALE else "n"
-            kinds = [f"given:{gender}", "surname"] if len(names) > 1 else ["surname"]
-            out += [(begin + n.start(), begin + n.end(), k, n[0]) for n, k in zip(names, kinds, strict=True)]
+            kinds = [f"given:{gender}", "surname"] if len(parts) > 1 else ["surname"]
+            for n, k in zip(parts, kinds, strict=True):
+                value = n[0].capitalize()
+                forms |= {f: value for f in (n[0], value, n[0].upper())}
+                out.append((begin + n.start(), begin + n.end(), k, value))
+                if names.get(value, "given:n") == "given:n":  # a known gender or a surname is better than none
+                    names[value] = k
         else:
             out.append((begin, end, kind, text[begin:end]))
+    if names:
+        # Other mentions of these people, without a title.
+        any_form = "|".join(re.escape(f) for f in sorted(forms, key=lambda f: (-len(f), f)))
+        taken, k = [(b, e) for b, e, *_ in out], 0
+        for m in re.finditer(rf"(?<!\w)(?:{any_form})(?!\w)", text):
+            while k < len(taken) and taken[k][1] <= m.start():
+                k += 1
+            if k == len(taken) or taken[k][0] >= m.end():
+                out.append((m.start(), m.end(), names[forms[m[0]]], forms[m[0]]))
+        out.sort()
     return out
 
 
@@ -233,6 +264,8 @@ def assign(found: DataFrame, syllables: int, key: str = KEY) -> DataFrame:
         if pending.isEmpty():
             return accepted
         attempt += 1
+        if attempt > MOST_ATTEMPTS:  # each attempt has more letters or syllables than the one before
+            raise RuntimeError(f"entities without a free surrogate after {MOST_ATTEMPTS} attempts")
 
 
 def with_exceptions(d: DataFrame, odd: DataFrame) -> DataFrame:
@@ -252,7 +285,8 @@ def with_exceptions(d: DataFrame, odd: DataFrame) -> DataFrame:
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with surrogates in ``text``, and n_entities (how many were replaced) as the last column."""
+    """docs with surrogates in ``text``, and n_entities (how many were replaced) as the last column, unless
+    docs have a column of that name."""
     spark = docs.sparkSession
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,17 +295,23 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.string()), pa.array([v for _, v in some], pa.string())], ["kind", "value"])
 
     found = common.stage(common.map_batches(docs.select("text"), detect, "kind string, value string").distinct())
+    # John of "Dr John" is John of "Mr John".
+    gendered = found.where("kind IN ('given:m', 'given:f')").groupBy("value").agg(F.max("kind").alias("known"))
+    neutral = common.stage(found.where("kind = 'given:n'").join(gendered, "value").select("kind", "value", "known"))
+    found = common.stage(found.join(neutral.select("kind", "value"), ["kind", "value"], "left_anti"))
     names = found.where("kind = 'surname' OR kind LIKE 'given%'").count()
     syllables = 3
     while len(SYLLABLES["latin"]) ** syllables * 2 * MOST_EXCEPTIONS < names**2 or len(SYLLABLES["latin"]) ** syllables < 100 * names:
         syllables += 1
-    odd = assign(found, syllables, key).where("attempt > 0").select("kind", "value", "surrogate")
+    given = assign(found, syllables, key)
+    same = neutral.join(given.select(F.col("kind").alias("known"), "value", "surrogate"), ["known", "value"]).select("kind", "value", "surrogate")
+    odd = common.stage(given.where("attempt > 0").select("kind", "value", "surrogate").unionAll(same))
     few = odd.limit(4 * MOST_EXCEPTIONS + 1).collect()
     if many := len(few) > 4 * MOST_EXCEPTIONS:
         few = []
     exceptions = spark.sparkContext.broadcast({(r["kind"], r["value"]): r["surrogate"] for r in few})
 
-    columns = [c for c in docs.columns if c != "n_entities"]
+    columns, counted = docs.columns, ["n_entities"] if "n_entities" not in docs.columns else []
     place = columns.index("text")
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,16 +327,16 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
                         if len(cache) >= CACHE_SIZE:
                             cache.clear()
                         new = cache[kind, value] = surrogate(kind, value, 0, syllables, key)
-                    parts += [t[last:begin], new]
+                    parts += [t[last:begin], new.upper() if is_name(kind) and end - begin > 1 and t[begin:end].isupper() else new]
                     last = end
                 texts.append("".join([*parts, t[last:]]) if spans else t)
                 counts.append(len(spans))
             own = list(b.columns)[: len(columns)]
             own[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64())], [*columns, "n_entities"])
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(counts, pa.int64())][: len(counted)]], [*columns, *counted])
 
-    d = docs.select(columns)
+    d = docs
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
     if many:
         d = with_exceptions(d, odd)
-    return common.map_batches(d, replace, f"{schema}, n_entities bigint")
+    return common.map_batches(d, replace, f"{schema}, n_entities bigint" if counted else schema)
