@@ -13,7 +13,10 @@ Equal texts share a key (a 64-bit hash with the length), so copies need no row n
 
 Cases: a null text counts as empty; texts under 400 bytes keep everything; repeats inside one text
 count; repeated rows remove each other whole if long enough; a string may begin or end inside a
-character, and the digest is of the bytes that are left; an empty table gives an empty result.
+character, and the digest is of the bytes that are left; hashes of very long texts are taken from blocks
+of whole texts, so a task needs about 60 times the bytes of its longest text; contexts with equal anchors
+meet whatever their order (ties don't matter); an empty table gives an empty result; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -91,8 +94,9 @@ def contexts(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
 def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of numbers below ``size``; the last one is 0 and nothing else is."""
     n = len(text)
-    if n <= 2 or size * 32 > n:
-        return _by_doubling(text)
+    if n <= 2:
+        return np.arange(n - 1, -1, -1)
+    induce = _induce if size * 32 <= n else _induce_thin
     # Types: True for suffixes smaller than the next one.
     change = np.flatnonzero(text[:-1] != text[1:])
     follow = change[np.minimum(np.searchsorted(change, np.arange(n - 1)), len(change) - 1)]
@@ -100,7 +104,7 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     begins = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
     # Leftmost-smaller substrings in order, by inducing from them unsorted.
-    order = _induce(text, small, begins, leftmost[np.argsort(text[leftmost].astype(np.uint16) if size <= 1 << 16 else text[leftmost], kind="stable")])
+    order = induce(text, small, begins, leftmost[np.argsort(text[leftmost].astype(np.uint16) if size <= 1 << 16 else text[leftmost], kind="stable")])
     is_left = np.zeros(n, bool)
     is_left[leftmost] = True
     order = order[is_left[order]]
@@ -124,11 +128,11 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
         ranked = leftmost[np.argsort(reduced, kind="stable")]
     else:
         ranked = leftmost[suffix_array(reduced, int(names[-1]) + 1)]
-    return _induce(text, small, begins, ranked)
+    return induce(text, small, begins, ranked)
 
 
 def _induce(text: np.ndarray, small: np.ndarray, begins: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
-    """The suffix array from the leftmost-smaller suffixes in order, bucket by bucket."""
+    """The suffix array from the leftmost-smaller suffixes in order, a bucket at a time."""
     size = len(begins) - 1
     out = np.full(len(text), -1, np.int64)
     firsts = text[leftmost]
@@ -180,22 +184,28 @@ def _induce(text: np.ndarray, small: np.ndarray, begins: np.ndarray, leftmost: n
     return out
 
 
-def _by_doubling(text: np.ndarray) -> np.ndarray:
-    """Where buckets hold few suffixes each, ranks of doubling length end the recursion."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    k = 1
-    while True:
-        second = np.zeros(len(rank), np.int64)
-        second[:-k] = rank[k:] + 1
-        key = rank * (len(rank) + 1) + second
-        order = np.argsort(key)
-        key = key[order]
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank = np.empty(len(order), np.int64)
-        rank[order] = new
-        if new[-1] == len(order) - 1 or k >= len(order):
-            return order
-        k *= 2
+def _induce_thin(text: np.ndarray, small: np.ndarray, begins: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
+    """The same where buckets hold few suffixes each, as in the recursion: a suffix at a time."""
+    chars, smaller, bounds = text.tolist(), small.tolist(), begins.tolist()
+    out, tail = [-1] * len(chars), bounds[1:]
+    for i in reversed(leftmost.tolist()):
+        tail[chars[i]] -= 1
+        out[tail[chars[i]]] = i
+    head = bounds[:-1]
+    for k in range(len(out)):
+        i = out[k] - 1
+        if i >= 0 and not smaller[i]:
+            c = chars[i]
+            out[head[c]] = i
+            head[c] += 1
+    tail = bounds[1:]
+    for k in range(len(out) - 1, -1, -1):
+        i = out[k] - 1
+        if i >= 0 and smaller[i]:
+            c = chars[i]
+            tail[c] -= 1
+            out[tail[c]] = i
+    return np.array(out, np.int64)
 
 
 def common_prefixes(raw: np.ndarray, before: np.ndarray, places: np.ndarray, most: int) -> np.ndarray:
@@ -261,13 +271,12 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """key, bytes, first and last of runs of starts whose strings begin elsewhere too."""
     made: list[str] = []
-    spark = docs.sparkSession
     found = common.stage(_occurrences(docs, length, gram), made)
     twice = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
     twice = common.stage(twice, made)  # a table of its own, so that a join with a hot anchor can be split
     found = common.stage(found.join(common.small(twice), "anchor"))
     for path in made:
-        common.remove(spark, path)
+        common.remove(docs.sparkSession, path)
     settled = found.where("NOT mixed").select("key", "bytes", "first", "last").distinct()
     row = F.struct("key", "bytes", "first", "last")
     open_ = common.stage(found.where("mixed").groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(row).alias("one")).select("anchor", "whole", "n", "one.*"))
@@ -318,8 +327,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                 size += len(data)
         yield flush(held)
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sharded = cut(sides[0]).repartition(parts, "anchor").sortWithinPartitions("anchor")
+    sharded = cut(sides[0]).repartition("anchor").sortWithinPartitions("anchor")
     out = [settled, copies, common.map_batches(sharded, sort, f"{KEY}, first int, last int")]
     if sides[1] is not None:
 
@@ -355,7 +363,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, digests: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or the kept bytes) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or the kept bytes) of every row, and
+    ``text``, the kept bytes as text; halves of characters at the edges of what went are left out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = common.stage(spans(docs, length, gram, hot))
     d = _keyed(docs.select("doc_id", "text")).join(common.small(found), ["key", "bytes"], "left").select("doc_id", "text", "spans")
@@ -370,8 +379,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
                     kept.append(raw[at : x["first"]])
                     at = x["end"]
                 kept = b"".join([*kept, raw[at:]])
-                rows.append((len(raw), len(raw) - len(kept), len(s or ()), sha256(kept).hexdigest() if digests else kept))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string() if digests else pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", last.split()[0]])
+                rows.append((len(raw), len(raw) - len(kept), len(s or ()), sha256(kept).hexdigest() if digests else kept, None if t is None else kept.decode(errors="ignore") if s else t))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string() if digests else pa.binary()), pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", last.split()[0], "text"])
 
-    return common.map_batches(d, work, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, {last}")
+    return common.map_batches(d, work, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, {last}, text string")
