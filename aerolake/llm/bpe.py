@@ -30,8 +30,8 @@ from . import common
 from .token_counts import model_path
 
 MODEL = "word_bpe_49k.json"
-BLOCK_BYTES = 8 << 20
-CACHE_SIZE = 300_000
+BLOCK_BYTES = 2 << 20
+CACHE_SIZE = 200_000
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Up to here Python and the library agree on letters, cases and composition.
 _PLAIN = re.compile(r"[^\x00-\x1b\x20-ɏ]")
