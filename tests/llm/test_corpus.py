@@ -384,6 +384,37 @@ def test_quality_rules_reject_texts_without_common_words(spark):
     assert any(got[1000 + k]["char_distance"] <= 0.25 for k in range(4))
 
 
+def test_quality_rules_know_other_languages_and_classes(spark):
+    rng = np.random.default_rng(8)
+
+    def words(letters, n):
+        return " ".join("".join(rng.choice(list(letters), int(rng.integers(2, 9)))) for _ in range(n))
+
+    latin = lambda n: " ".join(str(x) for x in rng.choice(quality_rules.COMMON_WORDS["en"] + words("abcdefghilmnoprst", 60).split(), n))
+    greek, han = [chr(c) for c in range(0x3B1, 0x3CA)], [chr(c) for c in range(0x4E00, 0x4F00)]
+    rows = [(i, latin(90), "en") for i in range(20)] + [(100 + i, words(greek, 90), "el") for i in range(20)]
+    rows += [(200, words(han, 80), "zh"), (201, words(han, 80), None), (202, words("0123456789", 90), "el"), (203, latin(90), "el"), (204, words(greek, 90), None)]
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[i]["kept"] for i in [*range(20), *range(100, 120)])
+    assert got[200]["kept"] and got[200]["char_distance"] is None  # a language without a reference
+    assert not got[201]["kept"] and not got[202]["kept"] and got[203]["kept"]
+    # Character histograms against plain Python.
+    point = ".,;:!?'\"()-"
+
+    def classes(t):
+        out = [sum(c.isascii() and c.isupper() for c in t), sum(c.isascii() and c.isdigit() for c in t), sum(c in point for c in t), sum(c in "#*$%&|<>" for c in t), t.count(" "), sum("\x80" <= c <= "ɏ" for c in t), sum(c > "ɏ" for c in t)]
+        return np.array([*out, len(t) - sum(out)]) / len(t)
+
+    # Equal histograms (here: of texts as long, with the same common words) count once.
+    refs = [np.mean([*{(*classes(t), *sorted(w for w in t.split() if w in quality_rules.WORDS)): classes(t) for i, t, x in rows if x == lang and not got[i]["base_failed"]}.values()], axis=0) for lang in ("en", "el")]
+    entropy = lambda p: -sum(x * np.log2(x) for x in p if x > 0)
+    for i, t, lang in rows:
+        if lang != "zh":
+            p = classes(t)
+            want = min(np.sqrt(max(0, entropy((p + q) / 2) - (entropy(p) + entropy(q)) / 2)) for q in refs)
+            assert abs(got[i]["char_distance"] - want) < 1e-5
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
