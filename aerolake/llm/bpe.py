@@ -239,12 +239,12 @@ class WordBPE:
 _workers: dict[str, WordBPE] = {}
 
 
-def encode_decode(docs: DataFrame, model: str = MODEL, digests: bool = True) -> DataFrame:
-    """doc_id and n_tokens of every row; with ``digests`` ids_sha256 and decoded_sha256, else the
-    ids and the decoded text themselves."""
+def encode_decode(docs: DataFrame, model: str = MODEL, outputs: tuple[str, ...] = ("ids_sha256", "decoded_sha256")) -> DataFrame:
+    """doc_id and n_tokens of every row, with those of ids (array), decoded (text), ids_sha256 and
+    decoded_sha256 that ``outputs`` names, in this order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    last = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    schema = f"doc_id {kind}, n_tokens bigint, {last[0]} string, {last[1]} string" if digests else f"doc_id {kind}, n_tokens bigint, ids array<int>, decoded string"
+    kinds = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+    schema = f"doc_id {kind}, n_tokens bigint, " + ", ".join(f"{c} {kinds[c]}" for c in outputs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (bpe := _workers.get(model)) is None:
@@ -254,14 +254,16 @@ def encode_decode(docs: DataFrame, model: str = MODEL, digests: bool = True) ->
         def flush(held: list) -> pa.RecordBatch:
             rows = pa.concat_arrays([i for i, _ in held])
             ids, at = bpe.encode_block(pa.concat_arrays([t.cast(pa.large_string()) for _, t in held]))
-            own, shown, ends = [], [], at.tolist()
+            made = {c: [] for c in kinds if c in outputs and c != "ids"}
+            ends = at.tolist()
             for i, j in zip(ends, ends[1:], strict=False):
                 x = ids[i:j].tolist()
                 text = bpe.decode(x)
-                own.append(digest(" ".join(map(bpe.numerals.__getitem__, x))) if digests else None)
-                shown.append(digest(text) if digests else text)
-            own = pa.array(own, pa.string()) if digests else pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
-            return pa.RecordBatch.from_arrays([rows, pa.array(np.diff(at), pa.int64()), own, pa.array(shown, pa.string())], ["doc_id", "n_tokens", *last])
+                for c, values in made.items():
+                    values.append(text if c == "decoded" else digest(text) if c == "decoded_sha256" else digest(" ".join(map(bpe.numerals.__getitem__, x))))
+            own = {c: pa.array(v, pa.string()) for c, v in made.items()}
+            own["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+            return pa.RecordBatch.from_arrays([rows, pa.array(np.diff(at), pa.int64()), *(own[c] for c in outputs)], ["doc_id", "n_tokens", *outputs])
 
         # Blocks of texts, over the borders of batches: the index takes in many words at once.
         held, size = [], 0

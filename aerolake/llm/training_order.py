@@ -2,15 +2,17 @@
 
 A document's ids and an end mark are cut into sequences of ``length`` ids, the last one padded.
 Sequences count from 0 in the order of the input (file, row, part), whatever the tasks that read
-it: each task numbers the sequences of its own run of rows, and runs get offsets from a table with
-one row for each. A keyed Feistel network over the smallest fitting power of four, walked on until
+it: each task numbers the sequences of its own rows of a file, and these runs get offsets from a table
+with one row for each. A keyed Feistel network over the smallest fitting power of four, walked on until
 it falls below the number of sequences, maps that number to the slot. Slots are dealt to shards by
 range, sorted and written as records of one stride: ``length`` little-endian 16-bit ids and a closing
 end mark. Spark's own writer makes the files, so they may lie on any store and survive lost tasks.
 
 Cases: a null text counts as empty; an empty text is one sequence with just the end mark; repeated
 rows and ids are sequences of their own; an empty table gives no shard and an empty result; an input
-that isn't read from files is staged and counts in the order of its partitions; further columns are ignored.
+that isn't read from files is staged and counts in the order of its partitions; very long texts are cut in
+segments and their sequences follow each other before the permutation; slots are all different, so there
+are no ties; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def sequences(rows: DataFrame, tokens: bool, model: str = MODEL, length: int = L
                 files, places = b.column(2).slice(i, j - i).to_pylist(), b.column(3).slice(i, j - i).to_pylist()
                 own_file, own_row, number = [], [], []
                 for f, r, n in zip(files, places, per.tolist(), strict=True):
-                    if (f, r) != (last[0], last[1] + 1):
+                    if f != last[0] or r <= last[1]:  # gaps (rows that a filter dropped) don't end a run
                         run, local = (f, r), 0
                     last = (f, r)
                     own_file += [run[0]] * n
@@ -123,21 +125,31 @@ def _same_splits(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
+def _offsets(runs: DataFrame) -> DataFrame:
+    """runs with ``offset``, the sum of n over the runs before: within each range of runs, and then over the
+    ranges, of which there are no more than shuffle partitions."""
+    ranged = common.stage(runs.repartitionByRange("run_file", "run_row").withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("range").agg(F.sum("n").alias("total")).select("range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("range").orderBy("run_file", "run_row").rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranged.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    return inner.join(F.broadcast(bases), "range").select("run_file", "run_row", (F.col("base") + F.col("inner")).alias("offset"), "n")
+
+
 def materialise(docs: DataFrame, path: str | None = None, model: str = MODEL, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY) -> DataFrame:
     """Write the shards under ``path`` (a new shared folder if None) and return one row for each
     sequence: slot, doc_id, part, n_tokens, shard, byte_offset in it. Shard k is the k-th file of
-    the folder by name; slot s begins at byte (s % per_shard) * stride of shard s // per_shard, so
+    the folder (column ``folder``) by name; slot s begins at byte (s % per_shard) * stride of shard s // per_shard, so
     that reading can resume anywhere.
 
     The texts are read twice: a first pass only counts, so that no token is kept on disk between
     the passes; a second pass whose runs the first didn't see fails."""
     spark = docs.sparkSession
-    rows = _rows(docs)
+    rows, path = _rows(docs), path or common.shared_dir(spark)
     with _same_splits(spark):
         numbered = common.stage(sequences(rows, False, model, length))
         runs = numbered.groupBy("run_file", "run_row").agg(F.count("*").alias("n"))
-        before = Window.orderBy("run_file", "run_row").rowsBetween(Window.unboundedPreceding, -1)
-        runs = common.stage(runs.select("run_file", "run_row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), "n"))
+        runs = common.stage(_offsets(runs))
         count, total = runs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         placed = F.pandas_udf(lambda i: pd.Series(slots(i.to_numpy(), total, key)), "bigint")
         offsets = runs.drop("n")
@@ -153,5 +165,5 @@ def materialise(docs: DataFrame, path: str | None = None, model: str = MODEL, le
             record = F.rpad(F.col("tokens"), 2 * length, F.lit(mark)).cast("string").alias("record")
             d = dealt(sequences(rows, True, model, length)).select("slot", "shard", "tokens")
             d = d.repartitionById(shards, "shard").sortWithinPartitions("slot").select(record)
-            d.write.option("lineSep", mark.decode("latin-1")).text(path or common.shared_dir(spark))
-    return dealt(numbered).select("slot", "doc_id", "part", "n_tokens", "shard", ((F.col("slot") % per_shard) * 2 * (length + 1)).alias("byte_offset"))
+            d.write.option("lineSep", mark.decode("latin-1")).text(path)
+    return dealt(numbered).select("slot", "doc_id", "part", "n_tokens", "shard", ((F.col("slot") % per_shard) * 2 * (length + 1)).alias("byte_offset"), F.lit(path).alias("folder"))

@@ -1,4 +1,8 @@
-"""A corpus pipeline: each stage gets what its predecessor kept, as a table of documents."""
+"""A corpus pipeline: each stage gets what its predecessor kept, as a table of documents.
+
+Cases, of every stage: rows count by doc_id and text, so null and shared ids keep their good rows and equal
+rows share a verdict; null and empty texts fail the quality rules; very long texts are worked on whole; an empty
+table passes through with its columns; further columns stay up to the last stage, whatever their names."""
 
 from __future__ import annotations
 
@@ -32,8 +36,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text."""
-    return bpe.encode_decode(docs)
+    """Token counts, digests of the ids and of the decoded text, and the ids themselves."""
+    return bpe.encode_decode(docs, outputs=("ids_sha256", "decoded_sha256", "ids"))
 
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("encoding", encoding)]

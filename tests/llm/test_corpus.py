@@ -51,6 +51,8 @@ def test_bpe(docs, empty):
         want[i, len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))] += 1
     assert Counter(tuple(r) for r in bpe.encode_decode(docs).collect()) == want
     assert bpe.encode_decode(empty).count() == 0
+    whole = bpe.encode_decode(docs, outputs=("decoded", "ids")).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], sha(" ".join(map(str, r["ids"]))), sha(r["decoded"])) for r in whole) == want
 
 
 def long_words():
@@ -110,6 +112,20 @@ def test_training_order(docs, empty, tmp_path):
     assert training_order.materialise(empty).count() == 0
 
 
+def test_training_order_of_filtered_rows(spark, docs, tmp_path):
+    """Gaps that a filter leaves don't multiply the runs, and all rows have their slots."""
+    docs.coalesce(2).write.parquet(str(tmp_path / "in"))
+    some = spark.read.parquet(str(tmp_path / "in")).where("doc_id % 2 = 0")
+    m = training_order.materialise(some, str(tmp_path / "o"), length=64, per_shard=50).collect()
+    assert sorted(r["slot"] for r in m) == list(range(len(m))) and {r["folder"] for r in m} == {str(tmp_path / "o")}
+    assert {r["doc_id"] for r in m} == {r["doc_id"] for r in some.collect()}
+    runs = spark.createDataFrame([(f"f{i % 7}", i, i % 5 + 1) for i in range(500)], "run_file string, run_row bigint, n bigint")
+    got, at = training_order._offsets(runs).orderBy("run_file", "run_row").collect(), 0
+    for r in got:
+        assert r["offset"] == at
+        at += r["n"]
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for n, k in [(1, 1), (5, 2), (400, 2), (3000, 3), (3000, 60), (3000, 250), (30_000, 4)]:
@@ -425,7 +441,32 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns, name
         docs = out.cache()
     assert 0 < docs.count() < n
-    assert corpus_pipeline.run(spark, SF).count() == docs.count()
+    made = corpus_pipeline.run(spark, SF).collect()
+    assert len(made) == docs.count()
+    lib = Tokenizer.from_file(token_counts.model_path(bpe.MODEL))
+    want = Counter((r["doc_id"], *lib.encode(r["text"] or "", add_special_tokens=False).ids) for r in docs.collect())
+    assert Counter((r["doc_id"], *r["ids"]) for r in made) == want
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_pipeline_stages_on_odd_tables(spark, clash):
+    import corpus_pipeline
+
+    names = "h1 h2 gone_id no_id id words n node block key bytes spans n_entities _odd class_id value kind".split() if clash else []
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint" + "".join(f", {n} string" for n in names)
+    empty = spark.createDataFrame([], schema)
+    some = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(8).collect()]
+    texts = [None, "", " \n", *some, some[0], some[1] * 40, "x" * 9000]
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, t, None if i % 2 else "en", None, None, *["clash"] * len(names)) for i, t in enumerate(texts)], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        nothing, out = stage(spark, empty, SF), stage(spark, docs, SF)
+        assert nothing.count() == 0, name
+        if name == "encoding":
+            assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in docs.collect())
+            break
+        assert nothing.columns == out.columns == docs.columns, name
+        found, before = Counter(tuple(r) for r in out.drop("text", "n_chars").collect()), Counter(tuple(r) for r in docs.drop("text", "n_chars").collect())
+        assert not found - before, name
 
 
 def test_pipeline_drops_rows_and_not_ids(spark):
