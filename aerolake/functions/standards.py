@@ -48,6 +48,29 @@ ALERTS = [
     ("weather.high_uv", "uv_index", ">=", 8.0, "info"),
 ]
 SEVERITIES = ["severe", "warning", "info"]
+# Colours of the levels and of no level, and health advice by level for either index.
+COLORS = dict(zip(LEVELS, ["#00e400", "#ffff00", "#ff7e00", "#ff0000", "#99004c", "#7e0023"], strict=True))
+NO_COLOR = "#94a3b8"
+ADVICE = {
+    "优": "空气质量令人满意，可正常户外活动。",
+    "良": "空气质量可接受，极少数敏感人群应减少户外剧烈运动。",
+    "轻度污染": "易感人群症状轻度加剧，儿童、老年人及心肺疾病患者应减少长时间户外活动。",
+    "中度污染": "进一步加剧易感人群症状，建议疾病患者避免长时间户外活动，一般人群适量减少户外运动。",
+    "重度污染": "心脏病和肺病患者症状显著加剧，建议儿童、老年人和心脏病、肺病患者停留在室内，停止户外运动。",
+    "严重污染": "健康人群运动耐受力降低，建议儿童、老年人和病人留在室内，避免体力消耗，一般人群应避免户外活动。",
+}
+CHINA_ADVICE = {
+    "优": "空气质量令人满意，基本无空气污染，各类人群可正常活动。",
+    "良": "空气质量可接受，极少数异常敏感人群应减少户外活动。",
+    "轻度污染": "易感人群症状有轻度加剧，儿童、老年人及心脏病、呼吸系统疾病患者应减少长时间、高强度的户外锻炼。",
+    "中度污染": "进一步加剧易感人群症状，建议疾病患者避免长时间、高强度的户外锻炼，一般人群适量减少户外运动。",
+    "重度污染": "心脏病和肺病患者症状显著加剧，建议儿童、老年人和心脏病、肺病患者应停留在室内，停止户外运动。",
+    "严重污染": "健康人群运动耐受力降低，有明显强烈症状，建议儿童、老年人和病人应当留在室内，避免体力消耗，一般人群应避免户外活动。",
+}
+# Grades of an episode with their least points, and strengths of a correlation with their least size.
+EPISODE_GRADES = [(50, "严重"), (35, "较重"), (22, "中等"), (0, "轻微")]
+STRENGTHS = [(0.8, "极强"), (0.6, "强"), (0.4, "中等"), (0.2, "弱")]
+NO_STRENGTH, TOO_FEW, POSITIVE, NEGATIVE, CORRELATED = "几乎无", "样本不足", "正", "负", "相关"
 
 
 def clean(v: Column) -> Column:
@@ -83,18 +106,33 @@ def pollutant_load(v: Column, pollutant: str) -> Column:
     return out.otherwise(float(len(LOAD_POINTS[pollutant]) + 1))
 
 
-def _first_best(values: dict[str, Column], best: Column) -> Column:
-    out = None
-    for k, v in values.items():
-        out = F.when(v == best, LABELS[k]) if out is None else out.when(v == best, LABELS[k])
-    return out.otherwise(NONE)
+def _best(values: list[Column]) -> Column:
+    """struct(value, place): the largest value and the place of the first that has it; place is negative. Evaluated
+    once where a projection keeps it as a column, which Catalyst doesn't inline into its several uses."""
+    return F.array_max(F.array(*(F.struct(v.cast("double").alias("value"), F.lit(-i).alias("place")) for i, v in enumerate(values))))
+
+
+def _named(best: Column, names: list[str], least: float) -> Column:
+    label = F.get(F.lit([LABELS[k] for k in names]), -best["place"])
+    return F.when(best["value"] > least, label).otherwise(NONE)
+
+
+def _once(best: Column, use) -> Column:
+    """use(best) with best evaluated once for a row."""
+    return F.get(F.transform(F.array(best), use), 0)
+
+
+def best_load(columns: dict[str, Column]) -> Column:
+    return _best([pollutant_load(columns[k], k) for k in LOAD_POINTS if k in columns])
+
+
+def primary_of(best: Column, columns: dict[str, Column] | list[str]) -> Column:
+    """The pollutant of the largest load (``best_load``) if that is over half of the first limit."""
+    return _named(best, [k for k in LOAD_POINTS if k in columns], 0.5)
 
 
 def primary_pollutant(columns: dict[str, Column]) -> Column:
-    """The pollutant of the largest load if that is over half of the first limit."""
-    loads = {k: pollutant_load(columns[k], k) for k in LOAD_POINTS if k in columns}
-    best = F.greatest(*loads.values(), F.lit(None).cast("double"))
-    return F.when(best > 0.5, _first_best(loads, best)).otherwise(NONE)
+    return _once(best_load(columns), lambda b: primary_of(b, columns))
 
 
 def iaqi(v: Column, pollutant: str) -> Column:
@@ -108,11 +146,17 @@ def iaqi(v: Column, pollutant: str) -> Column:
     return out.otherwise(500.0)
 
 
+def best_iaqi(columns: dict[str, Column]) -> Column:
+    return _best([iaqi(columns[k], k) for k in IAQI_POINTS if k in columns])
+
+
+def china_of(best: Column, columns: dict[str, Column] | list[str]) -> Column:
+    """struct(aqi, level, primary) of ``best_iaqi``: the pollutant is named if its sub-index is over 50."""
+    return F.struct(best["value"].alias("aqi"), F.coalesce(china_aqi_level(best["value"]), F.lit("")).alias("level"), _named(best, [k for k in IAQI_POINTS if k in columns], 50).alias("primary"))
+
+
 def china_aqi(columns: dict[str, Column]) -> Column:
-    """struct(aqi, level, primary): the largest sub-index and its pollutant, named if over 50."""
-    subs = {k: iaqi(columns[k], k) for k in IAQI_POINTS if k in columns}
-    best = F.greatest(*subs.values(), F.lit(None).cast("double"))
-    return F.struct(best.alias("aqi"), F.coalesce(china_aqi_level(best), F.lit("")).alias("level"), F.when(best > 50, _first_best(subs, best)).otherwise(NONE).alias("primary"))
+    return _once(best_iaqi(columns), lambda b: china_of(b, columns))
 
 
 def comfort_index(t: Column, humidity: Column, wind: Column) -> Column:
@@ -159,16 +203,41 @@ def alerts(columns: dict[str, Column]) -> Column:
     return F.transform(some, lambda x: F.struct(*(x[c].alias(c) for c in ("key", "metric", "value", "threshold", "severity"))))
 
 
-def severity(level_rank: Column, hours: Column) -> Column:
-    """Grade of an episode: ten points a level and one an hour up to a day."""
-    s = 10 * level_rank + F.least(hours, F.lit(24))
-    return F.when(s >= 50, "severe").when(s >= 35, "high").when(s >= 22, "moderate").otherwise("low")
+def level_rank(level: Column) -> Column:
+    """0 for the best level; an unknown one counts as the best."""
+    return F.greatest(F.array_position(F.lit(LEVELS), level).cast("int") - 1, F.lit(0))
+
+
+def severity(peak: Column, hours: Column) -> Column:
+    """Grade of an episode: ten points a level of its peak and one an hour up to a day."""
+    points, out = 10 * F.coalesce(level_rank(china_aqi_level(peak)), F.lit(0)) + F.least(hours, F.lit(24)), None
+    for least, grade in EPISODE_GRADES:
+        out = F.when(points >= least, grade) if out is None else out.when(points >= least, grade)
+    return out
+
+
+def _looked_up(table: dict[str, str], key: Column, default: str) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.coalesce(key, F.lit(""))), F.lit(default))
+
+
+def aqi_color(v: Column) -> Column:
+    return _looked_up(COLORS, aqi_level(v), NO_COLOR)
+
+
+def advice(level: Column) -> Column:
+    return _looked_up(ADVICE, level, "")
+
+
+def china_advice(level: Column) -> Column:
+    return _looked_up(CHINA_ADVICE, level, "")
 
 
 def correlation_label(r: Column) -> Column:
-    a = F.abs(r)
-    strength = F.when(a >= 0.8, "very strong").when(a >= 0.6, "strong").when(a >= 0.4, "moderate").when(a >= 0.2, "weak").otherwise("negligible")
-    return F.when(r.isNotNull(), F.concat(F.when(r < 0, "negative ").otherwise("positive "), strength))
+    """Strength and sign of a correlation in words."""
+    out = F.when(r.isNull() | F.isnan(r), TOO_FEW)
+    for least, strength in STRENGTHS:
+        out = out.when(F.abs(r) >= least, F.concat(F.lit(strength), F.when(r > 0, POSITIVE).otherwise(NEGATIVE), F.lit(CORRELATED)))
+    return out.otherwise(NO_STRENGTH)
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -181,6 +250,13 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, F.try_divide(a, b)).otherwise(0.0)
 
 
-def linear_score(v: Column, worst: float, best: float) -> Column:
-    """0 at ``worst``, 100 at ``best``, linear between, rounded to 2 digits."""
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (v - worst) / (best - worst) * 100)), 2)
+def clamp(v: Column, low: float = 0.0, high: float = 100.0) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), v))
+
+
+def linear_score(v: Column, warn: float, fail: float, invert: bool = False) -> Column:
+    """100 from ``warn`` on, 0 up to ``fail``, linear between, rounded to 2 digits; inverted: less is better."""
+    if invert:
+        v, warn, fail = -v, -warn, -fail
+    between = F.round(clamp((v - fail) / (warn - fail) * 100), 2) if warn > fail else F.lit(100.0)
+    return F.when(v >= warn, 100.0).when(v <= fail, 0.0).when(v.isNotNull(), between)

@@ -18,15 +18,16 @@ def fuse(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def nearest(points: DataFrame, candidates: DataFrame, most_km: float = 100.0) -> DataFrame:
-    """The nearest candidate (cand_id, lat, lon) of each point (id, lat, lon) within ``most_km``.
-    Both fall into cells of latitude bands; a point is copied to the bands it can reach, so that
-    no pair of far points is formed."""
+    """The nearest candidate (cand_id, lat, lon) of each point (id, lat, lon) and whether it lies within
+    ``most_km``; a point without one in reach keeps its row, flagged. Both fall into cells of latitude bands; a
+    point is copied to the bands it can reach, so that no pair of far points is formed."""
     size = most_km / 111.0
     c = candidates.select("cand_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")).withColumn("band", F.floor(F.col("c_lat") / size))
     band = F.floor(F.col("lat") / size)
     p = points.select("id", "lat", "lon", F.explode(F.sequence(band - 1, band + 1)).alias("band"))
     d = p.join(c, "band").withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))).where(F.col("km") <= most_km)
-    return d.groupBy("id").agg(F.min_by("cand_id", F.struct("km", "cand_id")).alias("cand_id"), F.min("km").alias("km"))
+    found = d.groupBy("id").agg(F.min_by("cand_id", F.struct("km", "cand_id")).alias("cand_id"), F.min("km").alias("km"))
+    return points.select("id").join(found, "id", "left").withColumn("far", F.col("cand_id").isNull())
 
 
 def superseded(df: DataFrame, by: list[str], number: str, age: str, oldest) -> DataFrame:

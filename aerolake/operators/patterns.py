@@ -27,29 +27,49 @@ def trailing_mean(value: Column, rows: int, by: str = "entity", time: str = "tim
     return F.when(F.count(value).over(w) == rows, F.avg(value).over(w))
 
 
-def episodes(df: DataFrame, threshold: float, gap: int = 3, shortest: int = 2) -> DataFrame:
+def episodes(df: DataFrame, threshold: float, gap: int = 3, shortest: int = 2, facts: dict[str, Column] | None = None, rank: bool = True) -> DataFrame:
     """Runs of rows over the threshold, bridged over up to ``gap`` rows that are not; rows count, not
-    hours. Ranked by peak and duration."""
+    hours. One sort of each series: a row's next and last row over the threshold tell whether it lies in a
+    run or in a bridge. ``facts`` are further aggregates over an episode's rows. Ranked by peak and duration
+    through a range of the peaks; ``rank=False`` leaves that to the caller, with series_rows (of the entity)."""
     series = _series()
-    d = df.where("value IS NOT NULL").withColumn("p", F.row_number().over(series))
-    over = d.where(F.col("value") > threshold).withColumn("new", (F.col("p") - F.lag("p").over(series) - 1 > gap).cast("int"))
-    over = over.withColumn("seg", F.sum(F.coalesce("new", F.lit(0))).over(series))
-    bounds = over.groupBy("entity", "seg").agg(F.min("p").alias("first"), F.max("p").alias("last"))
-    # A row lies in the last segment that began at or before it, if that hasn't ended.
-    marked = d.join(bounds.withColumnRenamed("first", "p"), ["entity", "p"], "left")
-    w = series.rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumns({"seg": F.last("seg", True).over(w), "last": F.last("last", True).over(w)}).where("p <= last")
-    out = marked.groupBy("entity", "seg").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count("*").alias("duration"), F.max("value").alias("peak"), F.max_by("time", F.struct("value", -F.col("p"))).alias("peak_time"), F.avg("value").alias("mean"), F.count_if(F.col("value") > threshold).alias("n_over"))
+    so_far, ahead = series.rowsBetween(Window.unboundedPreceding, 0), series.rowsBetween(0, Window.unboundedFollowing)
+    d = df.where("value IS NOT NULL").withColumns({"p": F.row_number().over(series), "series_rows": F.count("*").over(Window.partitionBy("entity"))})
+    hit = F.when(F.col("value") > threshold, F.col("p"))
+    d = d.withColumns({"_last": F.last(hit, True).over(so_far), "_next": F.first(hit, True).over(ahead)})
+    # Rows over the threshold have _last = _next = p; a bridge has at most ``gap`` rows between the two.
+    d = d.where((F.col("_next") - F.col("_last") - 1 <= gap) & F.col("_last").isNotNull() & F.col("_next").isNotNull())
+    begins = F.coalesce((F.col("p") - F.lag("p").over(series) > 1).cast("int"), F.lit(1))
+    d = d.withColumn("_new", begins).withColumn("seg", F.sum("_new").over(so_far))
+    more = [c.alias(k) for k, c in (facts or {}).items()]
+    out = d.groupBy("entity", "seg").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count("*").alias("duration"), F.max("value").alias("peak"), F.max_by("time", F.struct("value", -F.col("p"))).alias("peak_time"), F.avg("value").alias("mean"), F.count_if(F.col("value") > threshold).alias("n_over"), F.max("series_rows").alias("series_rows"), *more)
     out = out.where(F.col("duration") >= shortest).drop("seg")
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("peak"), F.desc("duration"), "entity", "start_time")))
+    return ranked(out.drop("series_rows"), "peak", [F.desc("duration"), F.col("entity"), F.col("start_time")], "place") if rank else out
+
+
+def ranked(df: DataFrame, key: str, ties: list[Column], name: str, ranges: int = 200) -> DataFrame:
+    """df with the place of each row by ``key``, the largest first, nulls last, then by ``ties``. Rows fall into
+    ranges of the key between its approximate quantiles (numbers on the driver, so that every use of the ranges
+    sees the same ones), are numbered within each range, and each range begins after the rows of those before."""
+    bounds = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 1 / ranges)), reverse=True)
+    place = F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(F.size(F.filter(F.lit(bounds or [0.0]), lambda b: b > F.col(key))))
+    d = df.withColumn("_range", place.cast("int"))
+    sizes = d.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each range
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(key).desc_nulls_last(), *ties))
+    return d.withColumn("_in", within).join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_in")).cast("int")).drop("_range", "_in", "_before")
 
 
 def hour_profile(df: DataFrame) -> DataFrame:
-    """Mean by entity and hour of the day, one column an hour, with peak and trough (first of equals)."""
-    means = df.groupBy("entity", F.hour("time").alias("h")).agg(F.avg("value").alias("m"))
-    ends = means.groupBy("entity").agg(F.max_by("h", F.struct("m", -F.col("h"))).alias("peak_hour"), F.min_by("h", F.struct("m", "h")).alias("trough_hour"), (F.max("m") - F.min("m")).alias("amplitude"))
+    """Mean by entity and hour of the day, one column an hour, with peak and trough (first of equals), and
+    over all entities (entity null): the mean of their means, null for an hour that one of them lacks."""
+    means = df.where("value IS NOT NULL").groupBy("entity", F.hour("time").alias("h")).agg(F.avg("value").alias("m"))
+    every = means.select("entity").distinct().agg(F.count("*").alias("entities"))
+    overall = means.groupBy("h").agg(F.avg("m").alias("m"), F.count("*").alias("n")).join(F.broadcast(every))  # one row
+    means = means.unionAll(overall.select(F.lit(None).cast("string").alias("entity"), "h", F.when(F.col("n") == F.col("entities"), F.col("m")).alias("m")))
+    ends = means.groupBy("entity").agg(F.max_by(F.when(F.col("m").isNotNull(), F.col("h")), F.when(F.col("m").isNotNull(), F.struct("m", -F.col("h")))).alias("peak_hour"), F.min_by(F.when(F.col("m").isNotNull(), F.col("h")), F.when(F.col("m").isNotNull(), F.struct("m", "h"))).alias("trough_hour"), (F.max("m") - F.min("m")).alias("amplitude"))
     wide = means.groupBy("entity").pivot("h", list(range(24))).agg(F.first("m"))
-    return wide.select("entity", *(F.col(str(h)).alias(f"h{h:02d}") for h in range(24))).join(ends, "entity")
+    return wide.select("entity", *(F.col(str(h)).alias(f"h{h:02d}") for h in range(24))).alias("w").join(ends.alias("e"), F.col("w.entity").eqNullSafe(F.col("e.entity"))).drop(F.col("e.entity"))
 
 
 def weekday_contrast(df: DataFrame) -> DataFrame:
@@ -69,6 +89,12 @@ def trend(df: DataFrame, unit: str = "day") -> DataFrame:
     return df.groupBy(bucket.alias("bucket")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
 
 
+def bucketed(df: DataFrame, unit: str = "hour") -> DataFrame:
+    """Means by entity and hour or day."""
+    bucket = F.date_format("time", "yyyy-MM-dd'T'HH:00") if unit == "hour" else F.date_format("time", "yyyy-MM-dd")
+    return df.where("time IS NOT NULL").groupBy("entity", bucket.alias("bucket")).agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+
+
 def compare(df: DataFrame) -> DataFrame:
     return df.groupBy("entity").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"), F.percentile("value", F.lit(0.95)).alias("p95"), F.count("*").alias("n"))
 

@@ -7,23 +7,51 @@ from pyspark.sql import functions as F
 
 
 def compliance(df: DataFrame, ceiling: float, level: Column, levels: list[str], target: float = 80.0) -> DataFrame:
-    """Days, good days, their share, gap to the target and days of every level (0 if none), by entity
-    and over all (entity null), in one aggregate."""
+    """Days, good days, their share, gap to the target and whether it is met, and days of every level (0 if none),
+    by entity and over all (entity null), in one aggregate; with columns exceed_hours and obs_hours their sums and
+    share as well."""
     good = F.col("value") <= ceiling
     d = df.where("value IS NOT NULL").withColumn("level", level)
-    out = d.groupingSets([["entity"], []], "entity").agg(F.count("*").alias("days"), F.count_if(good).alias("good_days"), F.avg("value").alias("mean"), F.max("value").alias("peak"), *(F.count_if(F.col("level") == x).alias(f"days_{x}") for x in levels))
+    hours = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("exceed_hours", "obs_hours") if c in df.columns]
+    out = d.groupingSets([["entity"], []], "entity").agg(F.count("*").alias("days"), F.count_if(good).alias("good_days"), F.count_if(~good).alias("exceed_days"), F.avg("value").alias("mean"), F.max("value").alias("peak"), *hours, *(F.count_if(F.col("level") == x).alias(f"days_{x}") for x in levels))
     out = out.withColumn("good_percent", 100.0 * F.try_divide("good_days", "days"))
-    return out.withColumn("gap", F.col("good_percent") - target)
+    if len(hours) == 2:
+        out = out.withColumn("exceed_hour_percent", 100.0 * F.try_divide(F.col("exceed_hours"), F.col("obs_hours")))
+    return out.withColumns({"target": F.lit(target), "gap": F.col("good_percent") - target, "target_met": F.col("good_percent") >= target})
+
+
+def compliance_totals(report: DataFrame) -> DataFrame:
+    """One row over the entities of ``compliance``: how many, how many meet the target, the best and the worst."""
+    d = report.where("entity IS NOT NULL")
+    return d.agg(F.count("*").alias("entities"), F.count_if("target_met").alias("meeting_target"), F.min_by("entity", F.struct(-F.col("good_percent"), F.col("entity"))).alias("best"), F.min_by("entity", F.struct(F.col("good_percent"), F.col("entity"))).alias("worst"))
+
+
+# Directions of a change where less is better.
+BETTER, WORSE, SAME, UNKNOWN = "改善", "转差", "持平", "数据不足"
+
+
+def _changes(d: DataFrame, now: Column, before: Column) -> DataFrame:
+    """Means and days of two periods by entity, their difference, percentage and direction."""
+    mean = lambda c: F.avg(F.when(c, F.col("value")))
+    d = d.groupBy("entity").agg(mean(now).alias("current"), mean(before).alias("previous"), F.count_if(now).alias("current_days"), F.count_if(before).alias("previous_days"))
+    delta = F.col("current") - F.col("previous")
+    trend = F.when(delta.isNull(), UNKNOWN).when(delta < 0, BETTER).when(delta > 0, WORSE).otherwise(SAME)
+    return d.where("current_days > 0").withColumns({"delta": delta, "percent": 100.0 * F.try_divide(delta, F.abs("previous")), "trend": trend})
 
 
 def period_change(df: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Means of the last ``days`` days to ``as_of`` and of as many before, in one pass."""
     end = F.lit(as_of).cast("date")
     age = F.date_diff(end, F.col("date"))
-    now, before = age.between(0, days - 1), age.between(days, 2 * days - 1)
-    d = df.where(F.col("date").between(F.date_sub(end, 2 * days - 1), end)).groupBy("entity")
-    d = d.agg(F.avg(F.when(now, F.col("value"))).alias("current"), F.avg(F.when(before, F.col("value"))).alias("previous"))
-    return d.withColumns({"delta": F.col("current") - F.col("previous"), "percent": 100.0 * F.try_divide(F.col("current") - F.col("previous"), F.abs("previous"))})
+    return _changes(df.where(F.col("date").between(F.date_sub(end, 2 * days - 1), end)), age.between(0, days - 1), age.between(days, 2 * days - 1))
+
+
+def year_period_change(df: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """The last ``days`` days to ``as_of`` with the same period a year before (28 Feb for 29 Feb), in one pass."""
+    end, date = F.lit(as_of).cast("date"), F.col("date")
+    first = F.date_sub(end, days - 1)
+    now, before = date.between(first, end), date.between(F.add_months(first, -12), F.add_months(end, -12))
+    return _changes(df.where(now | before), now, before)
 
 
 def year_change(df: DataFrame) -> DataFrame:

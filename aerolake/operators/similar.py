@@ -1,40 +1,97 @@
-"""Similarity and clustering of entities by numeric features."""
+"""Similarity and clustering of entities by numeric features.
+
+Pairs of entities grow with the square of their number, so these are for dimension tables: more than MOST entities
+are an error.
+"""
 
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Entities whose pairs are formed at most.
+MOST = 5000
+# From this many deviations on a feature tells a cluster apart, and the words for it.
+APART, HIGH, LOW, EVEN, KIND, AND = 0.55, "偏高", "偏低", "特征均衡型", "型", "、"
+
+
+def _few(features: DataFrame) -> DataFrame:
+    if features.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"pairs of more than {MOST} entities")
+    return features
+
+
 def _distance(a: str, b: str, kind: str) -> F.Column:
     parts = F.zip_with(a, b, lambda x, y: F.abs(x - y) if kind == "manhattan" else (x - y) * (x - y))
     total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
     return total if kind == "manhattan" else F.sqrt(total)
 
 
-def similarity(features: DataFrame, kind: str = "euclidean", top: int = 12) -> DataFrame:
+def similarity(features: DataFrame, kind: str = "euclidean", top: int | None = 12) -> DataFrame:
     """Distance and similarity (1 - d / max d) of the pairs of entities (entity, v); for dimension
     tables, as the number of pairs is the square of their rows."""
+    features = _few(features)
     a, b = features.select(F.col("entity").alias("left"), F.col("v").alias("lv")), features.select(F.col("entity").alias("right"), F.col("v").alias("rv"))
     d = a.join(b, F.col("left") < F.col("right")).select("left", "right", _distance("lv", "rv", kind).alias("distance"))
     most = d.agg(F.max("distance").alias("most"))
     d = d.join(F.broadcast(most))  # one row
-    return d.select("left", "right", "distance", F.when(F.col("most") > 0, 1 - F.col("distance") / F.col("most")).otherwise(1.0).alias("similarity")).orderBy(F.desc("similarity"), "left", "right").limit(top)
+    d = d.select("left", "right", "distance", F.when(F.col("most") > 0, 1 - F.col("distance") / F.col("most")).otherwise(1.0).alias("similarity"))
+    return d.orderBy(F.desc("similarity"), "left", "right").limit(top) if top else d
 
 
 def cluster(features: DataFrame, k: int, restarts: int = 10, seed: int = 1) -> DataFrame:
-    """entity and cluster of the best of several k-means runs."""
-    d = features.select("entity", array_to_vector("v").alias("features")).cache()
-    models = [KMeans(k=k, seed=seed + i, maxIter=300).fit(d) for i in range(restarts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(d).select("entity", F.col("prediction").alias("cluster"))
+    """entity and cluster of the best of several k-means runs; clusters are numbered by their least entity, so
+    that equal partitions have equal numbers."""
+    d = features.select("entity", array_to_vector("v").alias("features")).persist()
+    try:
+        models = [KMeans(k=k, seed=seed + i, maxIter=300).fit(d) for i in range(restarts)]
+        best = min(models, key=lambda m: m.summary.trainingCost)
+    finally:
+        d.unpersist()
+    found = best.transform(d).select("entity", F.col("prediction").alias("c"))
+    firsts = found.groupBy("c").agg(F.min("entity").alias("first"))  # a row for each cluster
+    numbers = firsts.withColumn("cluster", (F.row_number().over(Window.orderBy("first")) - 1).cast("int")).drop("first")
+    return found.join(F.broadcast(numbers), "c").select("entity", "cluster")
+
+
+def choose_k(features: DataFrame, least: int = 2, most: int = 6, restarts: int = 10) -> DataFrame:
+    """k, silhouette and best for each number of clusters up to one less than the entities; the best has the
+    largest silhouette, else the first one is."""
+    spark, n = features.sparkSession, _few(features).count()
+    rows = []
+    for k in range(least, min(most, max(least, n - 1)) + 1):
+        s = silhouette(features, cluster(features, k, restarts)).first()["silhouette"]
+        rows.append((k, s))
+    scored = [r for r in rows if r[1] is not None]
+    best = max(scored, key=lambda r: (r[1], -r[0]))[0] if scored else rows[0][0]
+    return spark.createDataFrame([(k, s, k == best) for k, s in rows], "k int, silhouette double, best boolean")
+
+
+def cluster_report(features: DataFrame, clusters: DataFrame, names: list[str], top: int = 4) -> DataFrame:
+    """Each cluster of standardised features (entity, v): size, centroid, what tells it apart (``top`` features of
+    |z| from APART on), a label in words, and its members with their mean similarity to the others."""
+    d = features.join(clusters, "entity")
+    pairs = similarity(features, top=None)
+    both = pairs.select(F.col("left").alias("entity"), F.col("right").alias("other"), "similarity").unionAll(pairs.select("right", "left", "similarity"))
+    near = both.join(clusters, "entity").join(clusters.select(F.col("entity").alias("other"), F.col("cluster").alias("oc")), "other").where("cluster = oc").groupBy("entity").agg(F.avg("similarity").alias("affinity"))
+    member = F.struct((-F.round(F.coalesce("affinity", F.lit(1.0)), 4)).alias("order"), "entity")
+    centre = [F.avg(F.get("v", i)).alias(f"m{i}") for i in range(len(names))]
+    out = d.join(near, "entity", "left").groupBy("cluster").agg(F.count("*").alias("size"), *centre, F.array_sort(F.collect_list(member)).alias("m"))  # of MOST entities at most
+    z = F.array(*(F.struct(F.lit(n).alias("feature"), F.round(f"m{i}", 3).alias("z")) for i, n in enumerate(names)))
+    apart = F.array_sort(F.filter(z, lambda x: F.abs(x["z"]) >= APART), lambda a, b: F.when(F.abs(a["z"]) > F.abs(b["z"]), -1).when(F.abs(a["z"]) < F.abs(b["z"]), 1).otherwise(0))
+    word = lambda x: F.concat(x["feature"], F.when(x["z"] > 0, HIGH).otherwise(LOW))
+    out = out.withColumn("apart", F.slice(apart, 1, top))
+    label = F.when(F.size("apart") == 0, EVEN).otherwise(F.concat(F.array_join(F.transform(F.slice("apart", 1, 2), word), AND), F.lit(KIND)))
+    members = F.transform("m", lambda x: F.struct(x["entity"].alias("entity"), (-x["order"]).alias("affinity")))
+    return out.select("cluster", "size", label.alias("label"), members.alias("members"), F.array(*(F.col(f"m{i}") for i in range(len(names)))).alias("centroid"), "apart").orderBy(F.desc("size"), "cluster")
 
 
 def silhouette(features: DataFrame, clusters: DataFrame) -> DataFrame:
     """Mean silhouette (Euclidean); members of a cluster of one are skipped."""
-    d = features.join(clusters, "entity")
+    d = _few(features).join(clusters, "entity")
     a, b = d.select(F.col("entity").alias("e"), F.col("cluster").alias("c"), F.col("v").alias("lv")), d.select(F.col("entity").alias("o"), F.col("cluster").alias("oc"), F.col("v").alias("rv"))
     means = a.join(b, F.col("e") != F.col("o")).groupBy("e", "c", "oc").agg(F.avg(_distance("lv", "rv", "euclidean")).alias("m"))
     s = means.groupBy("e").agg(F.max(F.when(F.col("c") == F.col("oc"), F.col("m"))).alias("own"), F.min(F.when(F.col("c") != F.col("oc"), F.col("m"))).alias("near"))

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolake.functions import standards as S
+
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
@@ -26,13 +28,22 @@ def _fences(df: DataFrame, value: str, by: list[str], factor: float) -> DataFram
 
 
 def boxplot(df: DataFrame, value: str, by: list[str], factor: float = 1.5, most: int = 50) -> DataFrame:
-    """Quartiles, fences, whiskers inside the fences, number of outliers and the ``most`` least."""
+    """Quartiles, fences, whiskers inside the fences, number of outliers and the ``most`` least; of the
+    outliers each task of a group keeps the ``most`` least only."""
     v, inside = F.col(value), F.col(value).between(F.col("low_fence"), F.col("high_fence"))
-    d = df.where(v.isNotNull()).join(_fences(df, value, by, factor), by)
+    fences = _fences(df, value, by, factor)
+    d = df.where(v.isNotNull()).join(fences, by)
     keys = [*by, "q1", "median", "q3", "low_fence", "high_fence"]
-    d = d.withColumn("place", F.when(~inside, F.row_number().over(Window.partitionBy(*by, ~inside).orderBy(v))))
-    out = d.groupBy(*keys).agg(F.min(F.when(inside, v)).alias("low_whisker"), F.max(F.when(inside, v)).alias("high_whisker"), F.count_if(~inside).alias("n_outliers"), F.array_sort(F.collect_list(F.when(F.col("place") <= most, v))).alias("outliers"))
-    return out
+    out = d.groupBy(*keys).agg(F.min(F.when(inside, v)).alias("low_whisker"), F.max(F.when(inside, v)).alias("high_whisker"), F.count_if(~inside).alias("n_outliers"))
+    part = d.where(~inside).withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(64)))
+    few = least_of(least_of(part, [*by, "_part"], [v.asc()], most), by, [v.asc()], most)
+    lists = few.groupBy(*by).agg(F.array_sort(F.collect_list(v)).alias("outliers"))  # of ``most`` at most
+    return out.join(lists, by, "left").withColumn("outliers", F.coalesce("outliers", F.array().cast("array<double>")))
+
+
+def least_of(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group; Spark keeps n a group in every task before it shuffles."""
+    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
 def histogram(df: DataFrame, value: str, by: list[str], bins: int = 20) -> DataFrame:
@@ -56,11 +67,14 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def average_ranks(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Ranks with ties averaged, one column ``rank_<c>`` for each."""
+    """Ranks with ties averaged, one column ``rank_<c>`` for each: from the counts of the distinct values of a
+    group, which alone are put in order, so that a value's rows needn't meet."""
     out = df
     for c in columns:
-        w = Window.partitionBy(*by).orderBy(c)
-        out = out.withColumn(f"rank_{c}", F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2.0)
+        counts = df.groupBy(*by, c).agg(F.count("*").alias("_n"))
+        w = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+        ranks = counts.select(*by, c, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(f"rank_{c}"))
+        out = out.join(ranks, [*by, c])
     return out
 
 
@@ -90,10 +104,11 @@ def binned_curve(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
 
 
 def z_scores(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """df with ``z`` (sample deviation; 0 if that is 0)."""
-    w = Window.partitionBy(*by)
-    s = F.stddev_samp(value).over(w)
-    return df.where(F.col(value).isNotNull()).withColumn("z", F.when(s > 0, (F.col(value) - F.avg(value).over(w)) / s).otherwise(0.0))
+    """df with ``z`` (sample deviation; 0 if that is 0); mean and deviation are an aggregate joined back."""
+    d = df.where(F.col(value).isNotNull())
+    stats = d.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    d = d.join(stats, by)
+    return d.withColumn("z", F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("_m", "_s")
 
 
 def robust_z(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -106,10 +121,20 @@ def robust_z(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return d.withColumn("z", F.when(F.col("mad") > 0, 0.6745 * (F.col(value) - F.col("med")) / F.col("mad")).otherwise(0.0)).drop("med", "dev", "mad")
 
 
-def outliers(df: DataFrame, value: str, by: list[str], threshold: float = 3.0, per_group: int = 60) -> DataFrame:
-    """Rows with |z| over the threshold, at most ``per_group`` of each group by |z|."""
-    w = Window.partitionBy(*by).orderBy(F.abs("z").desc(), *[c for c in df.columns if c not in by])
-    return z_scores(df, value, by).where(F.abs("z") > threshold).withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_group)
+def outliers(df: DataFrame, value: str, by: list[str], threshold: float = 3.0, per_group: int = 60, total: int | None = None) -> DataFrame:
+    """Rows with |z| over the threshold, at most ``per_group`` of each group by |z|, and of those at most
+    ``total`` by |z|."""
+    rest = [c for c in df.columns if c not in by]
+    w = Window.partitionBy(*by).orderBy(F.abs("z").desc(), *rest)
+    out = z_scores(df, value, by).where(F.abs("z") > threshold).withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_group)
+    return out.orderBy(F.abs("z").desc(), *by, *rest).limit(total) if total else out
+
+
+def outlier_report(df: DataFrame, value: str, by: list[str], threshold: float = 3.0, fewest: int = 3) -> DataFrame:
+    """samples, flagged and their share, mean, deviation and largest |z| of each group of ``fewest`` rows."""
+    z = z_scores(df, value, by)
+    d = z.groupBy(*by).agg(F.count("*").alias("samples"), F.count_if(F.abs("z") > threshold).alias("flagged"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.max(F.abs("z")).alias("max_z"))
+    return d.where(F.col("samples") >= fewest).withColumn("flagged_percent", F.round(100.0 * F.col("flagged") / F.col("samples"), 3))
 
 
 def fence_outliers(df: DataFrame, value: str, by: list[str], factor: float = 1.5) -> DataFrame:
@@ -118,10 +143,19 @@ def fence_outliers(df: DataFrame, value: str, by: list[str], factor: float = 1.5
     return d.groupBy(*by).agg(F.count("*").alias("n"), F.count_if((F.col(value) < F.col("low_fence")) | (F.col(value) > F.col("high_fence"))).alias("n_outliers"))
 
 
-def thinned(df: DataFrame, by: list[str], order: list[str], most: int = 1500) -> DataFrame:
-    """Every (n // most)-th row of a group in order."""
-    n, k = F.count("*").over(Window.partitionBy(*by)), F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumns({"n_": n, "k_": k}).where((F.col("k_") - 1) % F.greatest(F.lit(1), F.floor(F.col("n_") / most)) == 0).drop("n_", "k_")
+def thinned(df: DataFrame, by: list[str], order: list[str], most: int = 1500, ranges: int = 64) -> DataFrame:
+    """Every (n // most)-th row of a group in order. Places come from counts by group and slice of the first
+    order column (equal widths between its extremes), so that no task has to put a whole group in order."""
+    first = F.unix_micros(F.col(order[0]).cast("timestamp")) if dict(df.dtypes)[order[0]].startswith(("timestamp", "date")) else F.col(order[0]).cast("double")
+    d = df.withColumn("_v", first)
+    ends = d.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    slice_ = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges), F.lit(ranges - 1))).otherwise(0).cast("int")
+    d = d.join(ends, by).withColumn("_slice", F.coalesce(slice_, F.lit(-1)))
+    sizes = d.groupBy(*by, "_slice").agg(F.count("*").alias("_s"))
+    before = sizes.select(*by, "_slice", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    d = d.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order))).join(before, [*by, "_slice"])
+    step = F.greatest(F.lit(1), F.floor(F.col("_n") / most))
+    return d.where((F.col("_before") + F.col("_in") - 1) % step == 0).drop("_v", "_lo", "_hi", "_n", "_slice", "_in", "_before")
 
 
 def column_profile(df: DataFrame, columns: list[str], ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -140,3 +174,58 @@ def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     stats = df.agg(*(F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"s_{c}") for c in columns))
     out = df.join(F.broadcast(stats))
     return out.withColumns({c: (F.col(c) - F.col(f"s_{c}.m")) / F.when(F.col(f"s_{c}.s") > 0, F.col(f"s_{c}.s")).otherwise(1.0) for c in columns}).drop(*(f"s_{c}" for c in columns))
+
+
+def top_values(df: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
+    """column, value and count of the n most frequent values of each column; ties go by value."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
+    counts = df.select(F.inline(pairs)).where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("count"))
+    return least_of(counts, ["column"], [F.desc("count"), F.col("value")], n)
+
+
+def long(df: DataFrame, metrics: list[str], keep: list[str]) -> DataFrame:
+    """One row for each row and metric: keep, metric, value."""
+    return df.select(*keep, F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics)))).where("value IS NOT NULL AND NOT isnan(value)")
+
+
+def distribution(df: DataFrame, metrics: list[str], entity: str) -> DataFrame:
+    """Description and boxplot of each metric over all entities (entity null) and by entity, in one job: a row
+    counts twice, for its entity and for all."""
+    d = long(df, metrics, [entity]).select("metric", F.explode(F.array(F.col(entity).cast("string"), F.lit(None).cast("string"))).alias("entity"), "value")
+    d = d.withColumn("entity", F.coalesce("entity", F.lit("")))
+    out = describe(d, "value", ["metric", "entity"]).join(boxplot(d, "value", ["metric", "entity"]).drop("median"), ["metric", "entity"])
+    return out.withColumn("entity", F.when(F.col("entity") != "", F.col("entity")))
+
+
+def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """left, right, Pearson and Spearman of every pair of columns, over the rows that have all of them."""
+    d = df.dropna(subset=columns).select(*columns)
+    ranks = average_ranks(d.withColumn("_all", F.lit(0)), columns, ["_all"])
+    pairs = list(combinations(columns, 2))
+    aggs = [a for i, (x, y) in enumerate(pairs) for a in (pearson(F.col(x), F.col(y)).alias(f"p{i}"), pearson(F.col(f"rank_{x}"), F.col(f"rank_{y}")).alias(f"s{i}"))]
+    rows = F.array(*(F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), F.col(f"p{i}").alias("pearson"), F.col(f"s{i}").alias("spearman")) for i, (x, y) in enumerate(pairs)))
+    return ranks.agg(*aggs).select(F.inline(rows))
+
+
+def relationship(df: DataFrame, x: str, y: str, entity: str) -> DataFrame:
+    """Correlations and regression of y on x over all rows (entity null) and by entity, with strengths in words;
+    curve and points are ``binned_curve`` and ``thinned``."""
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.explode(F.array(F.col(entity).cast("string"), F.lit(None).cast("string"))).alias("entity"), x, y)
+    out = pair(d.withColumn("entity", F.coalesce("entity", F.lit(""))), x, y, ["entity"])
+    return out.withColumns({"entity": F.when(F.col("entity") != "", F.col("entity")), "pearson_label": S.correlation_label(F.col("pearson")), "spearman_label": S.correlation_label(F.col("spearman"))})
+
+
+def interpretation(pearson_r: Column, spearman_r: Column, x_label: str, y_label: str) -> Column:
+    """The relation in a sentence: direction and strength, and whether it bends or hardly exists."""
+    # The sentences of reports.
+    text = F.concat(F.lit(f"{x_label}增大时，{y_label}整体呈"), F.when(pearson_r > 0, "上升").otherwise("下降"), F.lit("趋势（"), S.correlation_label(pearson_r), F.lit("）。"))
+    bent = F.when(F.abs(spearman_r) - F.abs(pearson_r) > 0.15, "秩相关明显强于线性相关，说明关系是单调但非线性的，存在边际效应递减或阈值效应。").otherwise("")
+    weak = F.when(F.abs(pearson_r) < 0.2, "相关性很弱，说明在该时段内两者基本独立，影响浓度的主因可能在别处。").otherwise("")
+    return F.when(pearson_r.isNull(), "样本不足或数据无变化，无法给出相关性结论。").otherwise(F.concat(text, bent, weak))
+
+
+def imputed(features: DataFrame, columns: list[str]) -> DataFrame:
+    """Missing features become the mean of their column, or 0 if that has no value; rows without any go."""
+    d = features.dropna(how="all", subset=columns)
+    means = d.agg(*(F.avg(c).alias(f"_{c}") for c in columns))
+    return d.join(F.broadcast(means)).withColumns({c: F.coalesce(c, f"_{c}", F.lit(0.0)) for c in columns}).drop(*(f"_{c}" for c in columns))  # one row

@@ -23,16 +23,19 @@ def fused(forecast: DataFrame, archive: DataFrame, air: DataFrame) -> DataFrame:
 
 
 def hourly(df: DataFrame) -> DataFrame:
-    """Indices, levels and weather measures of every hour; particles as means of 24 rows, ozone of 8."""
+    """Indices, levels and weather measures of every hour; particles as means of 24 rows, ozone of 8. The
+    largest sub-index and load are columns of a projection of their own, so that each is computed once."""
     mean = lambda c, n: trailing_mean(F.col(c), n, "city_id")
-    d = df.withColumn("china", S.china_aqi(_indices(mean("pm2_5", 24), mean("pm10", 24), mean("ozone", 8))))
+    d = df.withColumns({"_pm25": mean("pm2_5", 24), "_pm10": mean("pm10", 24), "_o3": mean("ozone", 8)})
+    d = d.withColumns({"_iaqi": S.best_iaqi(_indices(F.col("_pm25"), F.col("_pm10"), F.col("_o3"))), "_load": S.best_load({k: F.col(k) for k in S.LOAD_POINTS})})
+    china = S.china_of(F.col("_iaqi"), list(S.IAQI_POINTS))
     d = d.withColumns({
-        "china_aqi": F.col("china.aqi"), "china_aqi_level": F.col("china.level"), "china_primary_pollutant": F.col("china.primary"),
-        "aqi_level": S.aqi_level(F.col("european_aqi")), "primary_pollutant": S.primary_pollutant({k: F.col(k) for k in S.LOAD_POINTS}),
+        "china_aqi": china["aqi"], "china_aqi_level": china["level"], "china_primary_pollutant": china["primary"],
+        "aqi_level": S.aqi_level(F.col("european_aqi")), "primary_pollutant": S.primary_of(F.col("_load"), list(S.LOAD_POINTS)),
         "comfort_index": S.comfort_index(F.col("temperature_2m"), F.col("relative_humidity_2m"), F.col("wind_speed_10m")),
         "ventilation_index": S.ventilation_index(F.col("wind_speed_10m")), "is_stagnant": S.is_stagnant(F.col("wind_speed_10m"), F.col("precipitation")),
     })
-    return d.drop("china")
+    return d.drop("_pm25", "_pm10", "_o3", "_iaqi", "_load")
 
 
 def daily(df: DataFrame, good: float = 100.0, exceed: float = 100.0) -> DataFrame:
@@ -45,6 +48,7 @@ def daily(df: DataFrame, good: float = 100.0, exceed: float = 100.0) -> DataFram
         F.avg("pm2_5").alias("pm2_5"), F.avg("pm10").alias("pm10"), F.max("o8").alias("ozone"), *(F.avg(g).alias(g) for g in GASES),
         F.count_if(F.col("china_aqi") > exceed).alias("exceed_hours"), zero(F.sum("is_stagnant")).alias("stagnant_hours"), F.count("*").alias("obs_hours"),
     )
-    out = out.withColumn("china", S.china_aqi(_indices(F.col("pm2_5"), F.col("pm10"), F.col("ozone"))))
-    out = out.withColumns({"china_aqi": F.col("china.aqi"), "china_aqi_level": F.col("china.level"), "china_primary_pollutant": F.col("china.primary"), "dominant_aqi_level": S.aqi_level(F.col("aqi_max"))})
-    return out.withColumn("good_air_day", (F.col("china_aqi") <= good).cast("int")).drop("china")
+    out = out.withColumn("_iaqi", S.best_iaqi(_indices(F.col("pm2_5"), F.col("pm10"), F.col("ozone"))))
+    china = S.china_of(F.col("_iaqi"), list(S.IAQI_POINTS))
+    out = out.withColumns({"china_aqi": china["aqi"], "china_aqi_level": china["level"], "china_primary_pollutant": china["primary"], "dominant_aqi_level": S.aqi_level(F.col("aqi_max"))})
+    return out.withColumn("good_air_day", (F.col("china_aqi") <= good).cast("int")).drop("_iaqi")

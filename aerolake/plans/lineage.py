@@ -5,21 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Edges of the platform's own assets.
-EDGES = [
-    ("openmeteo.geocoding.places", "openmeteo.weather.forecast.hourly", "reference"),
-    ("openmeteo.geocoding.places", "openmeteo.air_quality.hourly", "reference"),
-    ("openmeteo.geocoding.places", "openmeteo.weather.forecast.daily", "reference"),
-    ("openmeteo.geocoding.places", "openmeteo.weather.archive.hourly", "reference"),
-    ("openmeteo.weather.forecast.hourly", "atmos.city_environment.hourly", "join"),
-    ("openmeteo.air_quality.hourly", "atmos.city_environment.hourly", "join"),
-    ("openmeteo.weather.archive.hourly", "atmos.city_environment.hourly", "enrich"),
-    ("atmos.city_environment.hourly", "atmos.city_environment.daily", "aggregate"),
-]
 
-
-def edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EDGES, "upstream string, downstream string, transform string")
+def edges(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    """A table of edges from rows of a configuration: upstream, downstream, transform."""
+    return spark.createDataFrame(rows, "upstream string, downstream string, transform string")
 
 
 def depths(e: DataFrame) -> DataFrame:
@@ -32,21 +21,38 @@ def depths(e: DataFrame) -> DataFrame:
         SELECT node, max(depth) AS depth FROM walk GROUP BY node""")
 
 
-def trace(e: DataFrame, node: str, down: bool = True, most: int = 10) -> DataFrame:
-    """Nodes reached from ``node`` and the fewest steps, level by level."""
-    a, b = ("upstream", "downstream") if down else ("downstream", "upstream")
+def trace(e: DataFrame, node: str, direction: str = "down", most: int = 10) -> DataFrame:
+    """Nodes reached from ``node`` down, up or both ways, and the fewest steps, level by level."""
+    ways = {"down": [("upstream", "downstream")], "up": [("downstream", "upstream")], "both": [("upstream", "downstream"), ("downstream", "upstream")]}[direction]
+    step = e.select(F.col(ways[0][0]).alias("a"), F.col(ways[0][1]).alias("b"))
+    for a, b in ways[1:]:
+        step = step.unionAll(e.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    step = step.distinct()
     seen = e.sparkSession.createDataFrame([(node, 0)], "node string, level int")
     front = seen
     for level in range(1, most + 1):
-        front = front.join(e, F.col("node") == F.col(a)).select(F.col(b).alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(level).alias("level"))
+        front = front.join(step, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(level).alias("level"))
         if front.isEmpty():
             break
         seen = seen.unionAll(front)
     return seen
 
 
-def summary(e: DataFrame) -> DataFrame:
-    """Sources, sinks, nodes and edges."""
-    up, down = e.select(F.col("upstream").alias("node")).distinct(), e.select(F.col("downstream").alias("node")).distinct()
-    n = lambda d, name: d.agg(F.count("*").alias(name))
-    return n(up.join(down, "node", "left_anti"), "sources").join(n(down.join(up, "node", "left_anti"), "sinks")).join(n(up.union(down).distinct(), "nodes")).join(n(e, "edges"))
+def degrees(nodes: DataFrame, e: DataFrame) -> DataFrame:
+    """Each node (column node) with its numbers of edges from above and to below."""
+    up = e.groupBy(F.col("downstream").alias("node")).agg(F.count("*").alias("upstream_count"))
+    down = e.groupBy(F.col("upstream").alias("node")).agg(F.count("*").alias("downstream_count"))
+    return nodes.select("node").join(up, "node", "left").join(down, "node", "left").fillna(0)
+
+
+def summary(nodes: DataFrame, e: DataFrame) -> DataFrame:
+    """One row: nodes, edges, sources, sinks, isolated nodes, mean edges from above, and edges by transform."""
+    up, down = F.col("upstream_count"), F.col("downstream_count")
+    d = degrees(nodes, e).agg(F.count("*").alias("nodes"), F.count_if((up == 0) & (down > 0)).alias("sources"), F.count_if((down == 0) & (up > 0)).alias("sinks"), F.count_if((up == 0) & (down == 0)).alias("isolated"), F.round(F.coalesce(F.avg(up), F.lit(0.0)), 2).alias("avg_upstream"))
+    kinds = e.groupBy("transform").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("transform", "n")))).alias("transforms"))  # kinds of transforms
+    return d.crossJoin(kinds)  # one row each
+
+
+def orphans(nodes: DataFrame, e: DataFrame) -> DataFrame:
+    """Nodes without any edge."""
+    return degrees(nodes, e).where("upstream_count = 0 AND downstream_count = 0").select("node")

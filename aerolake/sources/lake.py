@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +14,37 @@ from pyspark.sql import types as T
 
 from aerolake.operators.joins import keep_last
 
+#: Columns that every writer may add.
+INJECTED = {"city_id", "ingested_at", "source_run_id"}
 TYPES = {"string": T.StringType(), "double": T.DoubleType(), "integer": T.LongType(), "timestamp": T.TimestampNTZType(), "date": T.DateType(), "boolean": T.BooleanType()}
 
 
 @dataclass(frozen=True)
 class Asset:
-    """A governed table: columns by declared type, its key, its time column (None: not split by month)."""
+    """A governed table: columns by declared type, its key, its time column (None: not split by month), and
+    what the catalog and the checks know of it; ``info`` of a column may hold unit, description, range, enum
+    and nullable."""
 
     key: str
     columns: dict[str, str]
     primary_key: tuple[str, ...]
     time: str | None = "time"
+    name: str = ""
+    domain: str = ""
+    layer: str = ""
+    owner: str = ""
+    status: str = "active"
+    description: str = ""
+    granularity: str = "hourly"
+    sla_minutes: int | None = None
+    tags: tuple[str, ...] = ()
+    info: dict[str, dict] = field(default_factory=dict)
+
+    @property
+    def schema_hash(self) -> str:
+        """SHA-256 of the columns' canonical JSON."""
+        columns = [{"name": c, "type": t, **self.info.get(c, {})} for c, t in self.columns.items()]
+        return hashlib.sha256(json.dumps(columns, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
     @property
     def schema(self) -> T.StructType:
@@ -56,63 +79,155 @@ def _fs(spark: SparkSession, path: str):
 
 
 def has_data(spark: SparkSession, root: str, asset: Asset, city: str | None = None) -> bool:
-    fs, p = _fs(spark, f"{root}/{asset.key}" + (f"/city={city}" if city else ""))
-    return fs.exists(p)
+    fs, p = _fs(spark, f"{root}/{asset.key}")
+    if not fs.exists(p) or city is None:
+        return fs.exists(p)
+    return not _whole(spark, root, asset).where(F.col("city") == city).limit(1).isEmpty()
+
+
+def _parts_schema(asset: Asset) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in asset.parts])
 
 
-def scan(spark: SparkSession, root: str, asset: Asset, cities: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Rows of an asset; both bounds are inclusive. City and month become predicates on the
-    partition columns too, so other folders aren't read. No data: an empty table of the schema."""
+def _whole(spark: SparkSession, root: str, asset: Asset) -> DataFrame:
+    """All rows with the partition columns."""
+    schema = T.StructType(asset.schema.fields + _parts_schema(asset).fields)
     if not has_data(spark, root, asset):
-        return spark.createDataFrame([], asset.schema)
-    parts = T.StructType([T.StructField(c, T.StringType()) for c in asset.parts])
-    d = spark.read.schema(T.StructType(asset.schema.fields + parts.fields)).parquet(f"{root}/{asset.key}")
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/{asset.key}")
+
+
+def scan(spark: SparkSession, root: str, asset: Asset, cities: list[str] | None = None, start=None, end=None) -> DataFrame:
+    """Rows of an asset; both bounds (text, date or datetime) are inclusive. City and month become
+    predicates on the partition columns too, so other folders aren't read. No data: an empty table of
+    the schema."""
+    d = _whole(spark, root, asset)
     if cities is not None:
         d = d.where(F.col("city").isin(cities) & F.col("city_id").isin(cities))
-    for bound, op in ((start, ">="), (end, "<=")):
+    for bound, op in ((start, "__ge__"), (end, "__le__")):
         if bound is not None and asset.time:
-            d = d.where(F.expr(f"{asset.time} {op} CAST('{bound}' AS {'DATE' if asset.columns[asset.time] == 'date' else 'TIMESTAMP_NTZ'})") & F.expr(f"concat(year, month) {op} '{bound[:4]}{bound[5:7]}'"))
+            kind = "date" if asset.columns[asset.time] == "date" else "timestamp_ntz"
+            text = bound if isinstance(bound, str) else bound.isoformat()
+            d = d.where(getattr(F.col(asset.time), op)(F.lit(text).cast(kind)) & getattr(F.concat("year", "month"), op)(F.lit(text[:4] + text[5:7])))
     return d.select(*asset.columns)
 
 
+def read_partition(spark: SparkSession, root: str, asset: Asset, city: str, year: int | None = None, month: int | None = None) -> DataFrame:
+    """Rows of one partition; empty if there is none."""
+    d = _whole(spark, root, asset).where(F.col("city") == city)
+    if asset.time and year is not None and month is not None:
+        d = d.where((F.col("year") == f"{year:04d}") & (F.col("month") == f"{month:02d}"))
+    return d.select(*asset.columns)
+
+
+def _leaves(fs, path, depth: int) -> list:
+    """Paths of the folders ``depth`` levels below, of names with an equals sign."""
+    found = [x.getPath() for x in fs.listStatus(path) if x.isDirectory() and "=" in x.getPath().getName()]
+    return found if depth == 1 else [y for x in found for y in _leaves(fs, x, depth - 1)]
+
+
+def _rename(fs, a, b) -> None:
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"can't rename {a} to {b}")
+
+
+def _swap(fs, pairs: list[tuple], path) -> None:
+    """Put each new folder in the place of its target and the old one into its backup; if any step
+    fails, everything moved so far goes back and the error goes on."""
+    done = []
+    try:
+        for new, target, backup in pairs:
+            if fs.exists(target):
+                _rename(fs, target, backup)
+                done.append((backup, target))
+            _rename(fs, new, target)
+            done.append((target, new))
+    except Exception:
+        for there, back in reversed(done):
+            _rename(fs, there, back)
+        raise
+
+
+def _among(c: str, values: set) -> Column:
+    """c is one of these values, of which None is one as well."""
+    known = sorted(v for v in values if v is not None)
+    hit = F.col(c).isin(known) if known else F.lit(False)
+    return F.coalesce(hit, F.lit(None in values))
+
+
+REPORT = "asset_key string, rows_received bigint, rows_without_time bigint, rows_merged bigint, rows_written bigint, duplicates_removed bigint, partitions_written int, bytes_written bigint, missing_columns array<string>, extra_columns array<string>, earliest_data_time timestamp_ntz, latest_data_time timestamp_ntz, schema_hash string"
+
+
 def upsert(df: DataFrame, root: str, asset: Asset) -> DataFrame:
     """Merge rows into the partitions they belong to, the last arrival of a key wins, and return the
-    report (received, written, missing, extra). Touched partitions are written beside the table
-    first and then swapped in, so that a failure leaves the old ones."""
+    report (one row of REPORT). Touched partitions are written beside the table first and then swapped
+    in; if a swap fails, the old ones are put back. Only touched partitions are read. Rows without a
+    time are left out and counted; a batch that has no time at all is an error; an empty one writes
+    nothing. A null city is a partition of its own."""
     spark = df.sparkSession
     new, missing, extra = aligned(df, asset)
-    new = new.withColumn("_at", F.lit(1)).withColumn("_seq", F.monotonically_increasing_id())
-    if asset.time:
-        new = new.where(F.col(asset.time).isNotNull()).withColumns({"year": F.date_format(asset.time, "yyyy"), "month": F.date_format(asset.time, "MM")})
-    new = new.withColumn("city", F.col("city_id"))
     work = f"{root}/_work/{uuid.uuid4().hex}"
-    new.write.parquet(f"{work}/new")
-    new = spark.read.parquet(f"{work}/new")
-    touched = new.select(*asset.parts).distinct()
-    old = scan(spark, root, asset)
-    if asset.time:
-        old = old.withColumns({"year": F.date_format(asset.time, "yyyy"), "month": F.date_format(asset.time, "MM")})
-    old = old.withColumn("city", F.col("city_id")).join(touched, asset.parts, "left_semi").withColumns({"_at": F.lit(0), "_seq": F.lit(0).cast("long")})
-    merged = keep_last(old.unionByName(new), list(asset.primary_key), ["_at", "_seq"]).drop("_at", "_seq")
-    out = merged.repartition(*asset.parts).sortWithinPartitions(*asset.parts, *([asset.time] if asset.time else []))
-    out.write.partitionBy(*asset.parts).option("compression", "zstd").parquet(f"{work}/out")
     fs, _ = _fs(spark, root)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for row in touched.toLocalIterator():  # partitions, not rows
-        part = "/".join(f"{c}={row[c]}" for c in asset.parts)
-        target = path(f"{root}/{asset.key}/{part}")
-        fs.mkdirs(target.getParent())
-        if fs.exists(target):
-            fs.rename(target, path(f"{work}/old-{uuid.uuid4().hex}"))
-        fs.rename(path(f"{work}/out/{part}"), target)
-    report = spark.createDataFrame([(new.count(), missing, extra)], "received bigint, missing array<string>, extra array<string>")
-    fs.delete(path(work), True)
-    return report
+    new = new.withColumns({"_at": F.lit(1), "_seq": F.monotonically_increasing_id(), "city": F.col("city_id")})
+    if asset.time:
+        new = new.withColumns({"year": F.date_format(asset.time, "yyyy"), "month": F.date_format(asset.time, "MM")})
+    try:
+        new.write.parquet(f"{work}/new")
+        new = spark.read.schema(new.schema).parquet(f"{work}/new")
+        timed = F.col(asset.time).isNotNull() if asset.time else F.lit(True)
+        stamp = F.col(asset.time).cast("timestamp_ntz") if asset.time else F.lit(None).cast("timestamp_ntz")
+        received, good, earliest, latest = new.agg(F.count("*"), F.count_if(timed), F.min(stamp), F.max(stamp)).first()
+        if received and not good:
+            raise ValueError(f"no row of {asset.key} has a valid {asset.time}")
+        new = new.where(timed)
+        touched = new.select(*asset.parts).distinct().collect()  # folders, not rows
+        old = _whole(spark, root, asset)
+        for c in asset.parts:
+            old = old.where(_among(c, {r[c] for r in touched}))
+        same = reduce(lambda a, b: a & b, (F.col(f"o.{c}").eqNullSafe(F.col(f"t.{c}")) for c in asset.parts))
+        wanted = spark.createDataFrame(touched, _parts_schema(asset))
+        old = old.alias("o").join(F.broadcast(wanted.alias("t")) if len(touched) <= 100_000 else wanted.alias("t"), same, "left_semi")
+        old = old.withColumns({"_at": F.lit(0), "_seq": F.lit(0).cast("long")})
+        merged = keep_last(old.unionByName(new), list(asset.primary_key), ["_at", "_seq"]).drop("_at", "_seq")
+        out = merged.repartition(*asset.parts).sortWithinPartitions(*asset.parts, *([asset.time] if asset.time else []))
+        before, size, leaves = old.count(), 0, []
+        if good:
+            out.write.partitionBy(*asset.parts).option("compression", "zstd").parquet(f"{work}/out")
+            leaves = _leaves(fs, path(f"{work}/out"), len(asset.parts))
+            size = sum(x.getLen() for leaf in leaves for x in fs.listStatus(leaf))
+        written = spark.read.parquet(f"{work}/out").count() if leaves else 0
+        inner = ["/".join(str(leaf).rsplit("/", len(asset.parts))[1:]) for leaf in leaves]
+        _swap(fs, [(leaf, _below(path, f"{root}/{asset.key}", name), _below(path, f"{work}/old", name)) for leaf, name in zip(leaves, inner, strict=True)], path)
+    finally:
+        fs.delete(path(work), True)
+    return spark.createDataFrame([(asset.key, received, received - good, good, written, before + good - written, len(leaves), size, missing, sorted(set(extra) - INJECTED), earliest, latest, asset.schema_hash)], REPORT)
+
+
+def _below(path, root: str, name: str):
+    """root/name, whatever signs (%, :, ...) the parts of the name hold."""
+    out = path(root)
+    for part in name.split("/"):
+        out = path(out, path(None, None, part)) if ":" in part else path(out, part)
+    return out
 
 
 def partitions(spark: SparkSession, root: str, asset: Asset) -> DataFrame:
-    """File, bytes and modification time of every file of an asset."""
-    return spark.read.parquet(f"{root}/{asset.key}").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    """Partition values, file, bytes and modification time of every file of an asset, from a listing;
+    no file is opened."""
+    if not has_data(spark, root, asset):
+        return spark.createDataFrame([], T.StructType(_parts_schema(asset).fields)).select("*", F.lit("").alias("file"), F.lit(0).cast("long").alias("bytes"), F.lit(None).cast("timestamp").alias("modified"))
+    d = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{root}/{asset.key}")
+    return d.select(*(F.col(c).cast("string").alias(c) if c == "city" else F.lpad(F.col(c).cast("string"), 2 if c == "month" else 4, "0").alias(c) for c in asset.parts), F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def dataset_stats(spark: SparkSession, root: str, asset: Asset) -> DataFrame:
+    """One row: rows, bytes, files, partitions, cities, and the first and last time of an asset."""
+    time = F.col(asset.time).cast("timestamp_ntz") if asset.time else F.lit(None).cast("timestamp_ntz")
+    rows = scan(spark, root, asset).agg(F.count("*").alias("row_count"), F.min(time).alias("earliest_data_time"), F.max(time).alias("latest_data_time"))
+    files = partitions(spark, root, asset).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("byte_size"), F.count("*").alias("file_count"), F.count_distinct(F.struct(*asset.parts)).alias("partition_count"), F.count_distinct("city").alias("city_count"))
+    return rows.crossJoin(files).select(F.lit(asset.key).alias("asset_key"), "*")  # one row each
 
 
 def rows_of(columnar: DataFrame, variables: dict[str, str], payload: str = "body") -> DataFrame:

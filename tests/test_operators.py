@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aerolake.functions import standards as S
 from aerolake.operators import joins, patterns, stats
 from aerolake.plans import derive, quality, summary
+from aerolake.sources import lake
 from aerolake.sources.lake import Asset, partitions, rows_of, scan, upsert
 from aerolake.streaming.ingest import ingest
 
@@ -107,7 +108,9 @@ def test_upsert_twice_and_over_a_month(spark, tmp_path):
     d = spark.createDataFrame([("a", f"2026-01-31T{22 + h}:00", "1.5", "2.5", "x") for h in (0, 1)] + [("a", f"2026-02-01T0{h}:00", "not-a-number", "3.5", "x") for h in (0, 1)], "city_id string, time string, value string, n string, extra string")
     for _ in range(2):
         r = upsert(d, str(tmp_path), ASSET).first()
-    assert (r["received"], r["missing"], r["extra"]) == (4, [], ["extra"])
+    assert (r["rows_received"], r["missing_columns"], r["extra_columns"]) == (4, [], ["extra"])
+    assert (r["rows_merged"], r["rows_written"], r["duplicates_removed"], r["partitions_written"]) == (4, 4, 4, 2) and r["bytes_written"] > 0
+    assert (r["earliest_data_time"], r["latest_data_time"]) == (dt.datetime(2026, 1, 31, 22), dt.datetime(2026, 2, 1, 1)) and len(r["schema_hash"]) == 64
     got = scan(spark, str(tmp_path), ASSET).orderBy("time").collect()
     assert [(x["value"], x["n"]) for x in got] == [(1.5, 2), (1.5, 2), (None, 4), (None, 4)]
     assert sorted(p.name for p in (tmp_path / "weather/city=a/year=2026").iterdir()) == ["month=01", "month=02"]
@@ -117,6 +120,61 @@ def test_upsert_twice_and_over_a_month(spark, tmp_path):
     assert partitions(spark, str(tmp_path), ASSET).count() == 2
 
 
+CITIES = ["Coeur d'Alene", "a/b", "c:d e", "x=y%20z", None]
+
+
+def test_upsert_of_odd_partition_values(spark, tmp_path):
+    rows = [(c, f"2026-01-0{k + 1}T00:00", float(k)) for c in CITIES for k in range(2)]
+    make = lambda rows: spark.createDataFrame(rows, "city_id string, time string, value double")
+    for n in range(2):
+        r = upsert(make(rows), str(tmp_path), ASSET).first()
+        assert (r["partitions_written"], r["rows_written"], r["duplicates_removed"]) == (5, 10, 10 * n)
+    upsert(make([("a/b", "2026-01-01T00:00", 7.0), (None, "2026-02-01T00:00", 8.0)]), str(tmp_path), ASSET)
+    got = scan(spark, str(tmp_path), ASSET)
+    assert got.count() == 11 and got.where("value = 7.0").first()["city_id"] == "a/b"
+    assert {r["city_id"] for r in got.collect()} == set(CITIES)
+    assert lake.read_partition(spark, str(tmp_path), ASSET, "a/b", 2026, 1).count() == 2 and lake.has_data(spark, str(tmp_path), ASSET, "c:d e") and not lake.has_data(spark, str(tmp_path), ASSET, "q")
+    s = lake.dataset_stats(spark, str(tmp_path), ASSET).first()
+    assert (s["row_count"], s["file_count"], s["partition_count"]) == (11, 6, 6)
+
+
+def test_upsert_without_times(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "city_id string, time string, value double")
+    r = upsert(make([("a", "2026-01-01T00:00", 1.0), ("a", "never", 2.0)]), str(tmp_path), ASSET).first()
+    assert (r["rows_received"], r["rows_without_time"], r["rows_written"]) == (2, 1, 1)
+    with pytest.raises(ValueError):
+        upsert(make([("a", "never", 2.0)]), str(tmp_path), ASSET)
+    assert upsert(make([]), str(tmp_path), ASSET).first()["rows_written"] == 0
+    assert scan(spark, str(tmp_path), ASSET).count() == 1 and not list((tmp_path / "_work").glob("*"))
+
+
+def test_upsert_puts_everything_back_if_a_swap_fails(spark, tmp_path, monkeypatch):
+    make = lambda v: spark.createDataFrame([(c, "2026-01-01T00:00", v) for c in "abc"], "city_id string, time string, value double")
+    upsert(make(1.0), str(tmp_path), ASSET)
+    real, calls = lake._rename, []
+
+    def failing(fs, a, b):
+        calls.append(a)
+        if len(calls) == 4:
+            raise OSError("lost")
+        real(fs, a, b)
+
+    monkeypatch.setattr(lake, "_rename", failing)
+    with pytest.raises(OSError):
+        upsert(make(2.0), str(tmp_path), ASSET)
+    assert sorted((r["city_id"], r["value"]) for r in scan(spark, str(tmp_path), ASSET).collect()) == [("a", 1.0), ("b", 1.0), ("c", 1.0)]
+
+
+def test_upsert_reads_only_touched_partitions(spark, tmp_path):
+    upsert(spark.createDataFrame([(c, f"2026-0{m}-01T00:00", 1.0) for c in "ab" for m in (1, 2)], "city_id string, time string, value double"), str(tmp_path), ASSET)
+    d = lake._whole(spark, str(tmp_path), ASSET)
+    for c, v in (("city", {"a"}), ("year", {"2026"}), ("month", {"01", None})):
+        d = d.where(lake._among(c, v))
+    filters = d._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert all(f"{c}#" in filters for c in ("city", "year", "month"))
+    assert len(d.select("_metadata.file_path").distinct().collect()) == 1
+
+
 def test_scan_of_nothing(spark, tmp_path):
     assert scan(spark, str(tmp_path), ASSET).columns == list(ASSET.columns)
 
@@ -137,7 +195,7 @@ def test_stream_into_the_lake(spark, tmp_path):
 def test_nearest(spark, km):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 60.0, 0.0)], "id int, lat double, lon double")
     c = spark.createDataFrame([(7, 0.5, 0.0), (8, 0.4, 0.1)], "cand_id int, lat double, lon double")
-    assert [(r["id"], r["cand_id"]) for r in joins.nearest(p, c, km).collect()] == [(1, 8)]
+    assert sorted((r["id"], r["cand_id"], r["far"]) for r in joins.nearest(p, c, km).collect()) == [(1, 8, False), (2, None, True)]
 
 
 def test_statuses(spark):
