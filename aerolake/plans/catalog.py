@@ -211,6 +211,12 @@ def outdated(df: DataFrame, table: str, cutoff: Column) -> DataFrame:
     return df.join(newest_of, "asset_key").where((F.col("scored_at") < cutoff) & (F.col("scored_at") < F.col("_newest"))).drop("_newest")
 
 
+def _current_scores(df: DataFrame, cutoff: Column) -> DataFrame:
+    """The scores that aren't outdated."""
+    d = df.join(df.groupBy("asset_key").agg(F.max("scored_at").alias("_newest")), "asset_key", "left")
+    return d.where(~F.coalesce((F.col("scored_at") < cutoff) & (F.col("scored_at") < F.col("_newest")), F.lit(False))).select(df.columns)
+
+
 def prune(spark: SparkSession, root: str, now, days: int = 90, dry_run: bool = True) -> DataFrame:
     """table, rows and pruned of the aged tables. Without ``dry_run`` what stays is written beside a table and
     swapped in for it, and back if that fails."""
@@ -222,7 +228,7 @@ def prune(spark: SparkSession, root: str, now, days: int = 90, dry_run: bool = T
         df = read(spark, root, table)
         total, old = df.count(), outdated(df, table, cutoff).count()
         if old and not dry_run:
-            stay = df.join(outdated(df, table, cutoff), df.columns, "left_anti") if table == "scores" else df.where(~F.coalesce(F.col(AGED[table]) < cutoff, F.lit(False)))
+            stay = _current_scores(df, cutoff) if table == "scores" else df.where(~F.coalesce(F.col(AGED[table]) < cutoff, F.lit(False)))
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
             fs, _ = lake._fs(spark, root)
             stay.write.mode("overwrite").parquet(f"{root}/_{table}_new")
