@@ -6,16 +6,20 @@ assets; suppliers are columns and files.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.functions import scalars
 from aerolake.functions import standards as S
 from aerolake.operators import joins, patterns, report, similar, stats
-from aerolake.plans import catalog, episodes, jobs, quality, read_model
+from aerolake.plans import catalog, derive, episodes, insights, jobs, quality, read_model
 from aerolake.registry import _CHINA, _EURO, DAYS, HOURS, OFF_TIES, days, features, hours, query, rounded, table
 from aerolake.sinks import exports
-from aerolake.sources import endpoints
+from aerolake.sources import endpoints, lake
 from aerolake.sources import query as reading
 
 NOW = "2024-01-20 12:00:00"
@@ -504,3 +508,78 @@ def ranked_hours(spark, sf_dir):
 def config_sync(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("v"))
     return joins.sync(s.where("k % 3 <> 0").withColumn("v", F.col("v") + F.col("k") % 2), s, ["k"], "v").select("k", "action")
+
+
+# --- the lake -----------------------------------------------------------------------------------------------------
+
+_EVENTS = lake.Asset("events", {"city_id": "string", "time": "timestamp", "event": "integer", "value": "double"}, ("city_id", "event"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder of its own where the cluster shares files; a temporary one on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or Path(tempfile.mkdtemp(prefix='lake-')).as_uri()).rstrip('/')}/lake-{uuid.uuid4().hex}"
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A lake of the events, written in two overlapping batches of which the second one changes values."""
+    root = _scratch(spark)
+    e = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("/"), F.col("user_id") % 2).alias("city_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), F.col("event_id").alias("event"), F.col("value").cast("string").alias("value"), F.lit(1).alias("extra"))
+    lake.upsert(e.where("event % 3 <> 0"), root, _EVENTS)
+    return root, lake.upsert(e.where("event % 2 = 0").withColumn("value", F.when(F.col("event") % 4 == 0, "not a number").otherwise(F.col("value"))).drop("extra"), root, _EVENTS)
+
+
+@query("WITH l AS (SELECT event_type || '/' || (user_id % 2) AS city_id, ts, event_id AS event, CASE WHEN event_id % 4 <> 0 THEN value END AS value FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0) SELECT city_id, count(*) AS n, count(value) AS known, round(sum(value), 4) AS total, CAST(sum(event) AS BIGINT) AS events FROM l GROUP BY 1")
+def lake_upsert(spark, sf_dir):
+    root, _ = _upserted(spark, sf_dir)
+    return rounded(lake.scan(spark, root, _EVENTS).groupBy("city_id").agg(F.count("*").alias("n"), F.count("value").alias("known"), F.sum("value").alias("total"), F.sum("event").alias("events")))
+
+
+@query("WITH a AS (SELECT event_id, event_type || '/' || (user_id % 2) AS city FROM events) SELECT 'events' AS asset_key, count(*) FILTER (event_id % 2 = 0) AS rows_received, count(*) FILTER (event_id % 3 <> 0 OR event_id % 2 = 0) AS rows_written, count(*) FILTER (event_id % 3 <> 0 AND event_id % 2 = 0) AS duplicates_removed, CAST(count(DISTINCT city) FILTER (event_id % 2 = 0) AS INT) AS partitions_written, 0 AS n_missing FROM a")
+def lake_report(spark, sf_dir):
+    return _upserted(spark, sf_dir)[1].select("asset_key", "rows_received", "rows_written", "duplicates_removed", "partitions_written", F.size("missing_columns").alias("n_missing"))
+
+
+@query("SELECT 'events' AS asset_key, count(*) AS row_count, count(DISTINCT event_type || '/' || (user_id % 2)) AS city_count, date_trunc('second', min(ts)) AS earliest_data_time, date_trunc('second', max(ts)) AS latest_data_time FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0")
+def dataset_stats(spark, sf_dir):
+    root, _ = _upserted(spark, sf_dir)
+    return lake.dataset_stats(spark, root, _EVENTS).select("asset_key", "row_count", "city_count", "earliest_data_time", "latest_data_time")
+
+
+@query("SELECT event_id AS event, round(value, 4) AS value FROM events WHERE event_type = 'click' AND user_id % 2 = 1 AND event_id % 3 <> 0 AND event_id % 2 <> 0 AND date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 23:59:59'")
+def lake_scan(spark, sf_dir):
+    root, _ = _upserted(spark, sf_dir)
+    d = lake.scan(spark, root, _EVENTS, ["click/1"], "2024-01-05", "2024-01-06T23:59:59")
+    return rounded(d.where("event % 2 <> 0").select("event", "value"))
+
+
+@query("WITH f AS (SELECT user_id AS city_id, date_trunc('hour', ts) AS time, max(value) AS t, 1 AS is_forecast FROM events WHERE event_type = 'click' GROUP BY 1, 2), a AS (SELECT user_id AS city_id, date_trunc('hour', ts) AS time, max(value) AS t, min(value) AS w FROM events WHERE event_type = 'view' GROUP BY 1, 2), x AS (SELECT user_id AS city_id, date_trunc('hour', ts) AS time, max(value) AS p FROM events WHERE event_type = 'error' GROUP BY 1, 2), fa AS (SELECT city_id, time, coalesce(f.t, a.t) AS t, w, coalesce(is_forecast, 0) AS is_forecast FROM f FULL JOIN a USING (city_id, time)) SELECT city_id, time, round(coalesce(t, -1), 4) AS t, round(coalesce(w, -1), 4) AS w, round(coalesce(p, -1), 4) AS p, coalesce(is_forecast, -1) AS is_forecast FROM fa FULL JOIN x USING (city_id, time)")
+def fuse_three(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("city_id"), scalars.floor_hour(F.col("ts")).alias("time"), "event_type", "value")
+    side = lambda kind, *aggs: e.where(F.col("event_type") == kind).groupBy("city_id", "time").agg(*aggs)
+    f = side("click", F.max("value").alias("t")).withColumn("is_forecast", F.lit(1))
+    d = derive.fused(f, side("view", F.max("value").alias("t"), F.min("value").alias("w")), side("error", F.max("value").alias("p")))
+    return rounded(d.fillna(-1, ["t", "w", "p", "is_forecast"]).select("city_id", "time", "t", "w", "p", "is_forecast"))
+
+
+@query("SELECT * FROM (VALUES (0, 'distribution', '统计与分布', '描述性分析', 'hourly'), (1, 'correlation', '指标相关性', '描述性分析', 'hourly'), (2, 'hourly-profile', '日内规律画像', '时段规律', 'hourly'), (3, 'weekly-profile', '周内规律画像', '时段规律', 'daily'), (4, 'monthly-trend', '月度趋势', '时段规律', 'daily'), (5, 'outliers', '异常点检测', '异常与过程', 'hourly'), (6, 'episodes', '污染过程识别', '异常与过程', 'hourly'), (7, 'relationship', '气象—空气质量关系', '归因分析', 'hourly'), (8, 'compliance', '达标考核', '考核与报表', 'daily'), (9, 'comparison', '环比与同比', '考核与报表', 'daily'), (10, 'clustering', '城市聚类与相似度', '横向对比', 'hourly')) t(place, key, name, category, needs)")
+def insight_catalog(spark, sf_dir):
+    return insights.catalog(spark)
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"hourly": hourly(spark, sf_dir).withColumn("china_aqi", F.col("value")), "daily": daily(spark, sf_dir).withColumn("china_aqi", F.col("aqi_avg"))}
+
+
+@query(f"WITH {_DAILY}, {_CITIES}, c AS (SELECT city_id, 100.0 * count(*) FILTER (aqi_avg <= 100) / count(*) AS p FROM daily WHERE city_id IN (SELECT city_id FROM cities WHERE active) AND date BETWEEN DATE '2024-01-20' - 30 AND DATE '2024-01-20' GROUP BY 1), t AS (SELECT 100.0 * count(*) FILTER (aqi_avg <= 100) / count(*) AS p, avg(aqi_avg) AS m, count(*) AS n FROM daily WHERE city_id IN (SELECT city_id FROM c) AND date BETWEEN DATE '2024-01-20' - 30 AND DATE '2024-01-20'), hm AS (SELECT city_id, hour(time) AS k, avg(value) AS m FROM env WHERE time >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND city_id IN (SELECT city_id FROM c) GROUP BY 1, 2), w AS (SELECT city_id, max(m) - min(m) AS a FROM hm GROUP BY 1) SELECT round(p, 2) AS good_percent, round(m, 2) AS aqi_avg, n AS days, (SELECT city_id FROM c ORDER BY p DESC, city_id LIMIT 1) AS best_city, (SELECT city_id FROM c ORDER BY p, city_id LIMIT 1) AS worst_city, (SELECT city_id FROM w ORDER BY a DESC, city_id LIMIT 1) AS most_volatile FROM t")
+def digest(spark, sf_dir):
+    d = insights.digest(_tables(spark, sf_dir), cities(spark, sf_dir), NOW)
+    return rounded(d.select("good_percent", "aqi_avg", "days", "best_city", "worst_city", "most_volatile"), 2)
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem WHERE l_quantity > 10")
+def distinct_keys(spark, sf_dir):
+    d = reading.sql(spark, "SELECT * FROM {lines} WHERE l_quantity > :least", {"lines": table(spark, sf_dir, "lineitem")}, least=10)
+    return reading.distinct(d, "l_returnflag", "l_linestatus")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.functions.standards import clean
@@ -126,3 +126,19 @@ def required(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in (c for c in columns if c in df.columns):
         df = df.where((clean(F.col(c)) if dict(df.dtypes)[c] in ("double", "float") else F.col(c)).isNotNull())
     return df
+
+
+def sql(spark: SparkSession, text: str, frames: dict[str, DataFrame] | None = None, **values) -> DataFrame:
+    """A query over the named frames, with {name} for a frame and :name for a value; values never become SQL."""
+    return spark.sql(text, args=values, **(frames or {}))
+
+
+def scalar(df: DataFrame):
+    """The first value of the first row; None without rows."""
+    row = df.first()
+    return row[0] if row else None
+
+
+def distinct(df: DataFrame, *columns: str) -> DataFrame:
+    """The distinct values of some columns, in order."""
+    return df.select(*map(identifier, columns)).distinct().orderBy(*columns)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from aerolake.functions import scalars
 from aerolake.functions import standards as S
 from aerolake.operators import patterns, similar, stats
-from aerolake.plans import catalog, derive, episodes, jobs, quality, read_model
+from aerolake.plans import catalog, derive, episodes, insights, jobs, quality, read_model
 from aerolake.sinks import exports
 from aerolake.sources import endpoints, lake
 from aerolake.sources import query as reading
@@ -234,3 +234,28 @@ def test_thinned_and_outliers_of_odd_groups(spark):
     b = stats.boxplot(spark.createDataFrame([("a", float(v)) for v in [*range(1, 10), 100, 90, 80]], "g string, v double"), "v", ["g"], most=2).first()
     assert b["outliers"] == [80.0, 90.0] and b["n_outliers"] == 3
     assert stats.interpretation(F.lit(None).cast("double"), F.lit(0.1), "x", "y") is not None
+
+
+def test_insights_by_name(spark):
+    rows = [(c, dt.datetime(2026, 1, 1) + dt.timedelta(hours=h), float(v), float(v) / 2, 10.0 + h % 24, 5.0 + h % 7) for c, base in (("a", 20), ("b", 60), ("c", 110), ("d", 200)) for h in range(96) for v in [base + h % 24]]
+    hourly = spark.createDataFrame(rows, "city_id string, time timestamp_ntz, pm2_5 double, pm10 double, temperature_2m double, wind_speed_10m double").withColumns({"european_aqi": F.col("pm2_5"), "china_aqi": F.col("pm2_5")}).cache()
+    daily = hourly.groupBy("city_id", F.to_date("time").alias("date")).agg(F.avg("china_aqi").alias("china_aqi"), F.avg("european_aqi").alias("aqi_avg"), F.count_if(F.col("china_aqi") > 100).alias("exceed_hours"), F.count("*").alias("obs_hours"))
+    cities = spark.createDataFrame([(c, c != "d") for c in "abcd"], "city_id string, active boolean")
+    run = lambda key, **p: insights.run(key, {"hourly": hourly, "daily": daily}, cities, dt.datetime(2026, 1, 5), **p)
+    assert {r["entity"] for r in run("distribution").collect()} == {"a", "b", "c", None}
+    assert run("correlation").first()["strength"] == "极强正相关"
+    assert run("hourly-profile").where("entity = 'a'").first()["peak_hour"] == 23
+    assert run("weekly-profile").count() == run("monthly-trend").count() == 3
+    assert run("outliers").count() == run("outliers", method="iqr", threshold=1.5).count() == 3
+    assert {r["city_id"] for r in run("episodes").collect()} == {"c"} and run("episodes", limit=1).count() == 1
+    assert run("relationship").count() == 4
+    c = {r["entity"]: r for r in run("compliance", ceiling=75.0).collect()}
+    assert (c["a"]["target_met"], c["c"]["target_met"], c[None]["days"], c["c"]["exceed_hour_percent"]) == (True, False, 12, 100.0)
+    assert {r["trend"] for r in run("comparison", days=7).collect()} == {"数据不足"}
+    assert sum(r["size"] for r in run("clustering", k=2, restarts=2).collect()) == 3
+    for bad in ({"key": "nope"}, {"key": "outliers", "threshold": 11}, {"key": "clustering", "k": 9}, {"key": "episodes", "gap": -1}):
+        with pytest.raises(ValueError):
+            run(**bad)
+    with pytest.raises(ValueError):
+        similar._few(spark.range(similar.MOST + 1))
+    assert reading.scalar(reading.sql(spark, "SELECT :x AS v", x=3)) == 3 and reading.scalar(spark.range(0)) is None
