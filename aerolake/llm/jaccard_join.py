@@ -4,13 +4,14 @@ Documents with equal n-gram sets are one node, so copies cost nothing beyond the
 share a band hash are candidates; ``bands_for`` picks rows and bands for a target recall. No pair of
 nodes ever becomes a row: a node lives in one block of about BLOCK nodes, chosen by popular bands;
 two blocks meet if some band has nodes of both, and one task compares their full sets with a
-matrix product. A task returns for each of its nodes the number of linked documents and one edge of a
+matrix product, unless the sizes of their sets are too far apart for any link. A task returns for each of its nodes the number of linked documents and one edge of a
 spanning forest. Classes are the connected components of those edges.
 
 Cases: a text of 1 to N - 1 words has one n-gram, all its words; null texts and texts without a word
 have no n-gram, no link, and are a class of their own; rows with a null doc_id are not searched, have
-a null class and no link; repeated rows are copies of each other; an empty table gives an empty
-result; further columns are ignored.
+a null class and no link; repeated rows are copies of each other; very long texts are hashed whole, in
+blocks of whole texts; at the similarity itself there is a link, and of equal labels the least doc_id names
+the class; an empty table gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def _names(found: np.ndarray, at: np.ndarray, full: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = N) -> DataFrame:
-    """doc_id, node (the name of its n-gram set; null without n-grams) and band hashes of each row."""
+    """doc_id, node (the name of its n-gram set; null without n-grams), size of the set and band hashes of each row."""
     bands, rows = bands_for(similarity, recall)
     a, b = _families(bands * rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -73,6 +74,7 @@ def signatures(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
                 found, at = distinct(batch.column(1).slice(i, j - i), n)
                 full = np.flatnonzero(np.diff(at))
                 node, own = [None] * (j - i), [None] * (j - i)
+                sizes = np.diff(at)
                 if len(full):
                     small, starts = (found >> np.uint64(32)).astype(np.uint32), at[:-1][full]
                     hashes = np.zeros((bands, len(full)), np.uint64)
@@ -81,9 +83,9 @@ def signatures(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
                         hashes[k // rows] = common.mix(hashes[k // rows] * np.uint64(0x100000001B3) + low + np.uint64(k // rows + 1))
                     for r, name, h in zip(full.tolist(), _names(found, at, full), hashes.T.view(np.int64), strict=True):
                         node[r], own[r] = name.tobytes(), h
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(node, pa.binary()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(node, pa.binary()), pa.array(sizes, pa.int32()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "node", "grams", "bands"])
 
-    return common.map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, node binary, bands array<bigint>")
+    return common.map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, node binary, grams int, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -179,11 +181,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _blocks(shared: DataFrame) -> DataFrame:
-    """node and block of every candidate (shared: node, band, n). A node's home is its most popular
-    band. Homes follow the most popular home met in their band, twice; those that come together are
-    packed into blocks of about BLOCK nodes, and a larger home is split by hash."""
-    home = common.stage(shared.groupBy("node").agg(F.max(F.struct("n", "band")).alias("h")).select("node", "h.n", "h.band"))
+def _blocks(shared: DataFrame, similarity: float) -> DataFrame:
+    """node, block and grams of every candidate (shared: node, grams, band, n). A node's home is its most popular
+    band. Homes follow the most popular home met in their band, twice; those that come together are packed into
+    blocks of about BLOCK nodes. A larger home is split by the size of the sets, in steps of which two span the
+    similarity, and then by hash."""
+    home = common.stage(shared.groupBy("node").agg(F.max(F.struct("n", "band")).alias("h"), F.first("grams").alias("grams")).select("node", "grams", "h.n", "h.band"))
     met = shared.select("node", F.col("band").alias("via")).join(home, "node").groupBy("via").agg(F.max(F.struct("n", "band")).alias("t"))
     homes = common.stage(home.groupBy("band").agg(F.count("*").alias("size")).join(met.select(F.col("via").alias("band"), F.col("t.band").alias("next")), "band"))
     for _ in range(2):
@@ -192,9 +195,12 @@ def _blocks(shared: DataFrame) -> DataFrame:
     before = Window.partitionBy("next", F.col("size") > BLOCK).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     packed = F.when(F.col("size") > BLOCK, -1).otherwise(F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / BLOCK))
     homes = common.stage(homes.withColumn("chunk", packed.cast("long")))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))
-    block = F.when(F.col("chunk") < 0, F.xxhash64("band", F.lit(1), part)).otherwise(F.xxhash64("next", F.lit(0), "chunk"))
-    return home.drop("n").join(homes, "band").select("node", block.alias("block"))
+    step = F.floor(F.log("grams") / (-log(similarity) / 2)).cast("int")
+    home = home.withColumn("step", step)
+    steps = home.groupBy("band", "step").agg(F.count("*").alias("in_step"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("in_step") / BLOCK))
+    block = F.when(F.col("chunk") < 0, F.xxhash64("band", F.lit(1), "step", part)).otherwise(F.xxhash64("next", F.lit(0), "chunk"))
+    return home.drop("n").join(homes, "band").join(steps, ["band", "step"]).select("node", block.alias("block"), "grams")
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = N) -> DataFrame:
@@ -202,17 +208,18 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     similarity) of every row."""
     known = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     signed = common.stage(signatures(known, similarity, recall, n))
-    nodes = common.stage(signed.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
-    bands = nodes.select("node", F.explode("bands").alias("band"))
+    nodes = common.stage(signed.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("grams").alias("grams"), F.first("bands").alias("bands")))
+    bands = nodes.select("node", "grams", F.explode("bands").alias("band"))
     popular = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = common.stage(bands.join(popular, "band"))
-    blocks = common.stage(_blocks(shared))
-    # Which blocks meet: by band over blocks, not over nodes.
-    there = shared.join(blocks, "node").select("band", "block").distinct()
-    one, two = there.select("band", F.col("block").alias("one")), there.select("band", F.col("block").alias("two"))
-    meet = common.stage(one.join(two, "band").where("one <= two").select("one", "two").distinct())
+    blocks = common.stage(_blocks(shared, similarity))
+    # Which blocks meet: by band over blocks, not over nodes; those whose sets differ too much in size don't.
+    there = shared.select("node", "band").join(blocks, "node").groupBy("band", "block").agg(F.min("grams").alias("least"), F.max("grams").alias("most"))
+    side = lambda name: there.select("band", F.col("block").alias(name), F.col("least").alias(f"least_{name}"), F.col("most").alias(f"most_{name}"))
+    near = (F.col("most_one") >= similarity * F.col("least_two") - 1e-6) & (F.col("most_two") >= similarity * F.col("least_one") - 1e-6)
+    meet = common.stage(side("one").join(side("two"), "band").where(F.col("one") <= F.col("two")).where(near).select("one", "two").distinct())
     uses = common.stage(meet.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block")))
-    wanted = common.stage(nodes.drop("bands").join(blocks, "node").select(F.col("first_id").alias("doc_id"), "node", "block", "copies"))
+    wanted = common.stage(nodes.drop("bands", "grams").join(blocks.drop("grams"), "node").select(F.col("first_id").alias("doc_id"), "node", "block", "copies"))
     sets = _sets(docs, common.small(wanted), n).join(common.small(uses), "block")
     found = common.stage(sets.groupBy("one", "two").applyInPandas(lambda pair: compare(pair, similarity), "node binary, root binary, links bigint"))
     labels = components(found.select("node", "root"))
