@@ -7,8 +7,9 @@ from the fit sets the temperature of the scores and the score under which a pred
 As the softmax is linear, a prediction needs only one table of logits for each bucket.
 
 Cases: a null text or one without a letter gets ``und`` and score 0; so does every row if no labelled
-row can be learned from; null ``lang`` is never learned; repeated rows stay; an empty table gives an
-empty result; further columns are ignored.
+row can be learned from; null ``lang`` is never learned; of equally likely languages the first by name is
+taken; very long texts count whole; repeated rows stay; an empty table gives an empty result; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
