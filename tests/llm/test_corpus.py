@@ -170,6 +170,20 @@ def test_jaccard_join(docs, empty):
     assert Counter(kept) == Counter([None, *{v for v in first.values()}])
 
 
+def test_jaccard_join_of_split_groups(spark, monkeypatch):
+    """A group of near copies of many sizes, in blocks of three: every link between blocks is found."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(160)]
+    rows = [(i, " ".join(words[: 60 + 2 * i] + [f"own{i}"])) for i in range(45)] + [(100 + i, " ".join(words[:90])) for i in range(4)]
+    found, at = jaccard_join.distinct(pa.array([t for _, t in rows]))
+    sets = [set(found[i:j].tolist()) for i, j in zip(at, at[1:], strict=False)]
+    want = {rows[i][0]: sum(k != i and len(a & b) >= 0.8 * len(a | b) for k, b in enumerate(sets)) for i, a in enumerate(sets)}
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    lost = {i: (n, got[i]) for i, n in want.items() if n != got[i]}
+    assert sum(abs(a - b) for a, b in lost.values()) <= 0.002 * sum(want.values()), lost
+
+
 def test_bands_reach_the_recall():
     b, r = jaccard_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**r) ** b >= 0.999 and b * r <= 128
@@ -332,6 +346,49 @@ def test_language_id(spark, empty):
     assert langid.train(empty) is None and langid.identify(empty, None).count() == 0
 
 
+def test_language_model_equals_plain_sums(spark):
+    """The table of logits against embeddings averaged word by word, ties and rejection."""
+    texts = pa.array(["Hello wörld, hello!", "", None, "1234 ab abc abcd", "x" * 5000 + " the end"], pa.large_string())
+    found, at = langid.subwords(texts)
+    rng = np.random.default_rng(2)
+    m = langid.Model(["a", "b"], rng.normal(size=(1 << langid.BITS, 2)).astype(np.float32), np.array([0.1, -0.1], np.float32), 0.5, 0.6)
+    best, score = m.predict(texts)
+    for k, (i, j) in enumerate(zip(at, at[1:], strict=False)):
+        z = (m.logits[found[i:j]].mean(axis=0) if j > i else np.zeros(2)) + m.bias
+        p = np.exp(z / 0.5) / np.exp(z / 0.5).sum()
+        assert best[k] == p.argmax() and abs(score[k] - p.max()) < 1e-4
+    assert langid.Model(["a", "b"], np.zeros((1 << langid.BITS, 2), np.float32), np.zeros(2, np.float32)).predict(texts)[0].tolist() == [0] * 5
+    docs = spark.createDataFrame([(1, "Hello wörld", "zz", "clash"), (1, "Hello wörld", None, "clash")], "doc_id bigint, text string, lang string, score string")
+    rows = langid.identify(docs, m).collect()
+    assert rows[0] == rows[1] and len(rows) == 2
+
+
+def test_quality_model_equals_plain_sums(spark):
+    """Levels, tails and expected grades against sums over words and stems in Python."""
+    m = quality_model.Model(np.random.default_rng(3).normal(size=1 << quality_model.BITS), np.array([-1.0, 0.5]), 0.3)
+    texts = ["Plain words, plain wording and Überlegungen", "", None, "a"]
+    found, value, at = quality_model.features(pa.array(texts, pa.large_string()))
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, kept string")
+    got = {r["doc_id"]: r for r in quality_model.classify(docs, m).collect()}
+    for i in range(len(texts)):
+        level = float((m.weights[found[at[i] : at[i + 1]]] * value[at[i] : at[i + 1]]).sum())
+        tails = [1 - 1 / (1 + np.exp(-(t - level))) for t in (-1.0, 0.5)]
+        assert abs(got[i]["expected_grade"] - sum(tails)) < 1e-6 and got[i]["kept"] == (tails[0] >= 0.3)
+    n = np.diff(at)
+    words = ["plain", "words", "wording", "and", "überlegungen"]
+    assert n[0] == len(words) + len({(w[:k], k) for w in words for k in quality_model.STEMS if len(w) > k}) and n[1] == n[2] == 0
+
+
+def test_quality_model_on_real_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    m = quality_model.train(docs, quality_model.graded(labels.where(half)))
+    got = quality_model.classify(docs, m).join(quality_model.graded(labels.where(~half)), "doc_id").toPandas()
+    means = got.groupby("grade").expected_grade.mean()
+    assert means[0] < means[1] < means[2] and got[got.grade == 2].kept.mean() > 0.9
+
+
 def test_quality_model(spark, docs, empty):
     words = [f"w{i}" for i in range(50)]
     rng = np.random.default_rng(3)
