@@ -9,7 +9,8 @@
    distributed counts of their strings' hashes instead, so no task holds an unbounded group.
 3. The starts are joined to the documents by text, whose spans are cut out.
 
-Equal texts share a key (a 64-bit hash with the length), so copies need no row number.
+Equal texts share a key (a 64-bit hash with the length), so copies need no row number. What is joined grows with the
+corpus, so nothing of it is broadcast, at any size.
 
 Cases: a null text counts as empty; texts under 400 bytes keep everything; repeats inside one text
 count; repeated rows remove each other whole if long enough; a string may begin or end inside a
@@ -274,7 +275,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     found = common.stage(_occurrences(docs, length, gram), made)
     twice = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
     twice = common.stage(twice, made)  # a table of its own, so that a join with a hot anchor can be split
-    found = common.stage(found.join(common.small(twice), "anchor"))
+    found = common.stage(found.join(twice.hint("merge"), "anchor"))
     for path in made:
         common.remove(docs.sparkSession, path)
     settled = found.where("NOT mixed").select("key", "bytes", "first", "last").distinct()
@@ -290,7 +291,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     def cut(side: DataFrame) -> DataFrame:
         """Contexts with their bytes: anchor, n, key, bytes, first, data."""
         wanted = common.stage(side.groupBy("key", "bytes").agg(F.collect_list(F.struct("anchor", "n", "first", "last")).alias("own")))
-        d = _keyed(docs).where(f"bytes >= {length}").join(common.small(wanted), ["key", "bytes"]).select("key", "bytes", "text", "own")
+        d = _keyed(docs).where(f"bytes >= {length}").join(wanted.hint("merge"), ["key", "bytes"]).select("key", "bytes", "text", "own")
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -367,7 +368,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     ``text``, the kept bytes as text; halves of characters at the edges of what went are left out."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = common.stage(spans(docs, length, gram, hot))
-    d = _keyed(docs.select("doc_id", "text")).join(common.small(found), ["key", "bytes"], "left").select("doc_id", "text", "spans")
+    d = _keyed(docs.select("doc_id", "text")).join(found.hint("merge"), ["key", "bytes"], "left").select("doc_id", "text", "spans")
     last = "kept_sha256 string" if digests else "kept binary"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
