@@ -32,7 +32,8 @@ from . import common
 from .token_counts import MODEL, Pieces
 
 LENGTH = 256
-PER_SHARD = 1 << 16
+#: Sequences of a shard, and the most shards; beyond them shards grow with the input.
+PER_SHARD, MOST_SHARDS = 1 << 16, 50_000
 KEY = "training order"
 ROUNDS = 6
 #: </s> of the model; it closes documents, fills up sequences and ends records.
@@ -136,7 +137,7 @@ def _offsets(runs: DataFrame) -> DataFrame:
     return inner.join(F.broadcast(bases), "range").select("run_file", "run_row", (F.col("base") + F.col("inner")).alias("offset"), "n")
 
 
-def materialise(docs: DataFrame, path: str | None = None, model: str = MODEL, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY) -> DataFrame:
+def materialise(docs: DataFrame, path: str | None = None, model: str = MODEL, length: int = LENGTH, per_shard: int | None = None, key: str = KEY) -> DataFrame:
     """Write the shards under ``path`` (a new shared folder if None) and return one row for each
     sequence: slot, doc_id, part, n_tokens, shard, byte_offset in it. Shard k is the k-th file of
     the folder (column ``folder``) by name; slot s begins at byte (s % per_shard) * stride of shard s // per_shard, so
@@ -151,6 +152,7 @@ def materialise(docs: DataFrame, path: str | None = None, model: str = MODEL, le
         runs = numbered.groupBy("run_file", "run_row").agg(F.count("*").alias("n"))
         runs = common.stage(_offsets(runs))
         count, total = runs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        per_shard = per_shard or max(PER_SHARD, -(-total // MOST_SHARDS))
         placed = F.pandas_udf(lambda i: pd.Series(slots(i.to_numpy(), total, key)), "bigint")
         offsets = runs.drop("n")
         offsets = F.broadcast(offsets) if count <= MOST_RUNS else offsets
