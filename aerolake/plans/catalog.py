@@ -10,6 +10,7 @@ appended; the newest row of a key counts. Tables that aren't there yet are empty
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -211,6 +212,18 @@ def outdated(df: DataFrame, table: str, cutoff: Column) -> DataFrame:
     return df.join(newest_of, "asset_key").where((F.col("scored_at") < cutoff) & (F.col("scored_at") < F.col("_newest"))).drop("_newest")
 
 
+def _replace(df: DataFrame, root: str, table: str) -> None:
+    """Write df beside a table and swap it in; the old one is back if that fails."""
+    spark, work = df.sparkSession, f"{root}/_work_{uuid.uuid4().hex}"
+    fs, _ = lake._fs(spark, root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    try:
+        df.write.parquet(f"{work}/new")
+        lake._swap(fs, [(path(f"{work}/new"), path(f"{root}/{table}"), path(f"{work}/old"))])
+    finally:
+        fs.delete(path(work), True)
+
+
 def _current_scores(df: DataFrame, cutoff: Column) -> DataFrame:
     """The scores that aren't outdated."""
     d = df.join(df.groupBy("asset_key").agg(F.max("scored_at").alias("_newest")), "asset_key", "left")
@@ -229,11 +242,7 @@ def prune(spark: SparkSession, root: str, now, days: int = 90, dry_run: bool = T
         total, old = df.count(), outdated(df, table, cutoff).count()
         if old and not dry_run:
             stay = _current_scores(df, cutoff) if table == "scores" else df.where(~F.coalesce(F.col(AGED[table]) < cutoff, F.lit(False)))
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-            fs, _ = lake._fs(spark, root)
-            stay.write.mode("overwrite").parquet(f"{root}/_{table}_new")
-            lake._swap(fs, [(path(f"{root}/_{table}_new"), path(f"{root}/{table}"), path(f"{root}/_{table}_old"))], path)
-            fs.delete(path(f"{root}/_{table}_old"), True)
+            _replace(stay, root, table)
         report.append((table, total, old))
     return spark.createDataFrame(report, "table string, rows bigint, pruned bigint")
 
@@ -266,11 +275,7 @@ def sync_table(spark: SparkSession, root: str, table: str, want: DataFrame, keys
         rows = rows.withColumn(deactivate, F.when(F.col("action") == "deactivate", F.lit(False)).otherwise(F.col(deactivate)))
     report = d.groupBy("action").agg(F.count("*").alias("n"))
     report = spark.createDataFrame(report.collect(), report.schema)  # an action a row
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs, _ = lake._fs(spark, root)
-    rows.select(*want.columns).write.mode("overwrite").parquet(f"{root}/_{table}_new")
-    lake._swap(fs, [(path(f"{root}/_{table}_new"), path(f"{root}/{table}"), path(f"{root}/_{table}_old"))], path)
-    fs.delete(path(f"{root}/_{table}_old"), True)
+    _replace(rows.select(*want.columns), root, table)
     return report
 
 

@@ -36,7 +36,7 @@ def current(hourly: DataFrame, cities: DataFrame, only: list[str] | None = None)
     if only:
         hourly = hourly.where(F.col("city_id").isin(only))
     d = patterns.latest(hourly, [F.col("is_forecast").asc_nulls_last(), F.col("time").desc_nulls_last()], ["city_id"])
-    d = d.join(F.broadcast(cities) if "active" in cities.columns else cities, "city_id", "left")  # a dimension of some thousand rows
+    d = d.join(cities, "city_id", "left")  # Spark broadcasts cities while they are small
     aqi, forecast = F.col("european_aqi"), F.coalesce("is_forecast", F.lit(0)) > 0
     d = d.withColumn("aqi_level", S.aqi_level(aqi))
     d = d.withColumns({

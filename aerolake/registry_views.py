@@ -21,6 +21,7 @@ from aerolake.registry import _CHINA, _EURO, DAYS, HOURS, OFF_TIES, days, featur
 from aerolake.sinks import exports
 from aerolake.sources import endpoints, lake
 from aerolake.sources import query as reading
+from aerolake.streaming import ingest
 
 NOW = "2024-01-20 12:00:00"
 
@@ -583,3 +584,29 @@ def digest(spark, sf_dir):
 def distinct_keys(spark, sf_dir):
     d = reading.sql(spark, "SELECT * FROM {lines} WHERE l_quantity > :least", {"lines": table(spark, sf_dir, "lineitem")}, least=10)
     return reading.distinct(d, "l_returnflag", "l_linestatus")
+
+
+@query("SELECT event_type || '/' || (user_id % 2) AS city, count(DISTINCT strftime(ts, '%Y-%m')) AS partitions, count(DISTINCT strftime(ts, '%Y-%m')) AS files FROM events WHERE event_id % 3 <> 0 OR event_id % 2 = 0 GROUP BY 1")
+def partition_summary(spark, sf_dir):
+    root, _ = _upserted(spark, sf_dir)
+    d = lake.partitions(spark, root, _EVENTS)
+    return d.groupBy("city").agg(F.count_distinct("year", "month").alias("partitions"), F.count("*").alias("files"))
+
+
+@query(f"WITH {_RUNS}, {_SCORES}, {_RESULTS}, m AS (SELECT asset_key, max(scored_at) AS newest FROM scores GROUP BY 1) SELECT 'runs' AS \"table\", count(*) AS rows, count(*) FILTER (started_at < TIMESTAMP '{_LAST_DAY}' - INTERVAL 90 DAY) AS pruned FROM runs UNION ALL SELECT 'results', count(*), count(*) FILTER (evaluated_at < TIMESTAMP '{_LAST_DAY}' - INTERVAL 90 DAY) FROM results UNION ALL SELECT 'scores', count(*), count(*) FILTER (scored_at < TIMESTAMP '{_LAST_DAY}' - INTERVAL 90 DAY AND scored_at < newest) FROM scores JOIN m USING (asset_key) UNION ALL SELECT 'runs left', count(*), 0 FROM runs WHERE started_at >= TIMESTAMP '{_LAST_DAY}' - INTERVAL 90 DAY")
+def catalog_prune(spark, sf_dir):
+    root = _scratch(spark)
+    for name, d in (("runs", _runs(spark, sf_dir)), ("results", _results(spark, sf_dir)), ("scores", _scores(spark, sf_dir))):
+        catalog.append(d, root, name)
+    report = catalog.prune(spark, root, _LAST_DAY, 90, dry_run=False)
+    left = catalog.read(spark, root, "runs").agg(F.count("*").alias("rows")).select(F.lit("runs left").alias("table"), "rows", F.lit(0).cast("bigint").alias("pruned"))
+    return report.unionAll(left)
+
+
+@query("SELECT event_type AS city_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_ingest(spark, sf_dir):
+    root = _scratch(spark)
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("city_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), F.col("event_id").alias("event"), "value")
+    e.write.json(f"{root}/arrived")
+    ingest.ingest(spark, f"{root}/arrived", f"{root}/lake", _EVENTS, f"{root}/checkpoint").awaitTermination()
+    return rounded(lake.scan(spark, f"{root}/lake", _EVENTS).groupBy("city_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")))

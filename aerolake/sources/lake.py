@@ -132,7 +132,7 @@ def _rename(fs, a, b) -> None:
         raise OSError(f"can't rename {a} to {b}")
 
 
-def _swap(fs, pairs: list[tuple], path) -> None:
+def _swap(fs, pairs: list[tuple]) -> None:
     """Put each new folder in the place of its target and the old one into its backup; if any step
     fails, everything moved so far goes back and the error goes on."""
     done = []
@@ -199,20 +199,12 @@ def upsert(df: DataFrame, root: str, asset: Asset) -> DataFrame:
             size = sum(x.getLen() for leaf in leaves for x in fs.listStatus(leaf))
         written = spark.read.parquet(f"{work}/out").count() if leaves else 0
         inner = ["/".join(str(leaf).rsplit("/", len(asset.parts))[1:]) for leaf in leaves]
-        _swap(fs, [(leaf, _below(path, f"{root}/{asset.key}", name), _below(path, f"{work}/old", name)) for leaf, name in zip(leaves, inner, strict=True)], path)
+        _swap(fs, [(leaf, path(f"{root}/{asset.key}/{name}"), path(f"{work}/old/{name}")) for leaf, name in zip(leaves, inner, strict=True)])
     finally:
         fs.delete(path(work), True)
     return spark.createDataFrame([(asset.key, received, received - good, good, written, before + good - written, len(leaves), size, missing, sorted(set(extra) - INJECTED), earliest, latest, asset.schema_hash)], REPORT)
 
 
-def _below(path, root: str, name: str):
-    """root/name, whatever signs (%, :, ...) the parts of the name hold."""
-    out = path(root)
-    for part in name.split("/"):
-        out = path(out, path(None, None, part)) if ":" in part else path(out, part)
-    return out
-
-
 def partitions(spark: SparkSession, root: str, asset: Asset) -> DataFrame:
     """Partition values, file, bytes and modification time of every file of an asset, from a listing;
     no file is opened."""

@@ -15,6 +15,7 @@ from aerolake.plans import catalog, derive, episodes, insights, jobs, quality, r
 from aerolake.sinks import exports
 from aerolake.sources import endpoints, lake
 from aerolake.sources import query as reading
+from aerolake.streaming.ingest import live_coverage
 
 NOW = dt.datetime(2026, 1, 10, 12)
 POLLUTANTS = "pm2_5 pm10 ozone nitrogen_dioxide sulphur_dioxide carbon_monoxide".split()
@@ -259,3 +260,13 @@ def test_insights_by_name(spark):
     with pytest.raises(ValueError):
         similar._few(spark.range(similar.MOST + 1))
     assert reading.scalar(reading.sql(spark, "SELECT :x AS v", x=3)) == 3 and reading.scalar(spark.range(0)) is None
+
+
+def test_live_coverage_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [("a", "2026-01-01T01:00:00"), ("a", "2026-01-01T05:00:00"), ("a", "2026-01-02T01:00:00"), ("b", "2026-01-01T01:00:00")]
+    (tmp_path / "in/x.json").write_text("".join(json.dumps({"city_id": c, "time": t}) + "\n" for c, t in rows))
+    stream = spark.readStream.schema("city_id string, time timestamp").json(str(tmp_path / "in"))
+    q = live_coverage(stream).writeStream.format("memory").queryName("coverage").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["city_id"], r["n"]) for r in spark.table("coverage").collect()) == [("a", 1), ("a", 2), ("b", 1)]
