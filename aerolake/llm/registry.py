@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, jaccard_join, langid, quality_model, quality_rules, suffix_dedup, surrogates, token_counts, training_order
+from . import bpe, chat_format, common, decontaminate, filter_audit, jaccard_join, langid, quality_model, quality_rules, source_audit, suffix_dedup, surrogates, token_counts, training_order
 
 table = common.table
 
@@ -51,5 +52,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_training_order, op3_jaccard_join, op4_pii_surrogates, op5_suffix_dedup, op6_language_id, op7_bpe, op8_quality_classifier, op9_quality_rules, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7, whose texts are control strings of several templates."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_format.read_back(chat_format.format_chats(turns.unionByName(own)))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_training_order, op3_jaccard_join, op4_pii_surrogates, op5_suffix_dedup, op6_language_id, op7_bpe, op8_quality_classifier, op9_quality_rules, op10_token_counts, op11_chat_format, op12_filter_audit, op13_source_divergence)}
+ORACLE_SQL: dict[str, str] = {"op11_chat_format": chat_format.SQL, "op12_filter_audit": filter_audit.SQL, "op13_source_divergence": source_audit.SQL}
