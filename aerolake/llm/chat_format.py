@@ -62,15 +62,6 @@ def pieces(formatted: Column) -> Column:
     return F.regexp_extract_all(formatted, F.lit(PIECE), F.lit(0))
 
 
-def parse(formatted: Column) -> Column:
-    """The turns (role, text) of a formatted text; null where it isn't of the grammar: something stands between
-    turns, a turn holds a control string, or a named turn has no name or a name with a form of its own."""
-    found = F.transform(pieces(formatted), _turn)
-    plain = lambda x: ~x["role"].rlike(CONTROL) & ~x["text"].rlike(CONTROL)
-    turns = F.transform(found, lambda x: F.struct(unescape(x["role"]).alias("role"), unescape(x["text"]).alias("text")))
-    return F.when((F.array_join(pieces(formatted), "") == formatted) & F.forall(found, plain), turns)
-
-
 def _render(role: Column, text: Column) -> Column:
     out = F.concat(F.lit(OTHER[0]), role, F.lit(OTHER[1]), text, F.lit(OTHER[2]))
     for name, opening in OPEN.items():
@@ -78,6 +69,16 @@ def _render(role: Column, text: Column) -> Column:
     return out
 
 
+def parse(formatted: Column) -> Column:
+    """The turns (role, text) of a formatted text; null where it isn't of the grammar: something stands between
+    turns, a turn holds a control string, or a named turn has no name or one with a form of its own."""
+    found = F.transform(pieces(formatted), _turn)
+    plain = lambda x: ~x["role"].rlike(CONTROL) & ~x["text"].rlike(CONTROL)
+    turns = F.transform(found, lambda x: F.struct(unescape(x["role"]).alias("role"), unescape(x["text"]).alias("text")))
+    again = F.array_join(F.transform(found, lambda x: _render(x["role"], x["text"])), "")
+    return F.when((again == formatted) & F.forall(found, plain), turns)
+
+
 def render_turns(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, ``piece`` (the rendered turn) and ``rounds`` (of escapes that it took)."""
     d = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
