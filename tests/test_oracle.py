@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 
 from aerolake import registry
-from aerolake import registry_views as _  # noqa: F401  it registers its queries
+from aerolake import registry_rules as _rules  # noqa: F401  it registers its queries
+from aerolake import registry_views as _  # noqa: F401  so does this
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
