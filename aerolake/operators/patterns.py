@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolake import rounds
+from aerolake.operators import places
 
-def _series() -> Window:
-    return Window.partitionBy("entity").orderBy("time")
-
+#: Rows of a series that lie in one piece where series are cut.
+PIECE = 100_000
 
 
 def hour(ts: Column) -> Column:
@@ -27,24 +28,39 @@ def trailing_mean(value: Column, rows: int, by: str = "entity", time: str = "tim
     return F.when(F.count(value).over(w) == rows, F.avg(value).over(w))
 
 
-def episodes(df: DataFrame, threshold: float, gap: int = 3, shortest: int = 2, facts: dict[str, Column] | None = None, rank: bool = True) -> DataFrame:
+def trailing_means(df: DataFrame, means: dict[str, tuple[str, int]], by: str = "entity", time: str = "time", piece: int = PIECE) -> DataFrame:
+    """df with means of the last n rows, by name a column and its n; null unless all n have a value. A series is cut in
+    pieces of ``piece`` rows, each with copies of the n - 1 rows before it, so that no series is one task's."""
+    back = max(n for _, n in means.values()) - 1
+    d = places.chunked(places.numbered(df, [by], [time], "_p"), "_p", max(piece, back), back)
+    frame = lambda n: Window.partitionBy(by, "_chunk").orderBy("_p").rowsBetween(1 - n, 0)
+    d = d.withColumns({k: F.when(F.count(c).over(frame(n)) == n, F.avg(c).over(frame(n))) for k, (c, n) in means.items()})
+    return d.where("_own").drop("_p", "_chunk", "_own")
+
+
+def episodes(df: DataFrame, threshold: float, gap: int = 3, shortest: int = 2, facts: dict[str, Column] | None = None, rank: bool = True, piece: int = PIECE) -> DataFrame:
     """Runs of rows over the threshold, bridged over up to ``gap`` rows that are not; rows count, not
-    hours. One sort of each series: a row's next and last row over the threshold tell whether it lies in a
-    run or in a bridge. ``facts`` are further aggregates over an episode's rows. Ranked by peak and duration
-    through a range of the peaks; ``rank=False`` leaves that to the caller, with series_rows (of the entity)."""
-    series = _series()
-    so_far, ahead = series.rowsBetween(Window.unboundedPreceding, 0), series.rowsBetween(0, Window.unboundedFollowing)
-    d = df.where("value IS NOT NULL").withColumns({"p": F.row_number().over(series), "series_rows": F.count("*").over(Window.partitionBy("entity"))})
+    hours. A series is cut in pieces of ``piece`` rows with copies of the gap + 1 rows on either side, which tell what
+    is a run, a bridge and a beginning; episodes are numbered by the beginnings in the pieces before. ``facts`` are
+    further aggregates over an episode's rows. Ranked by peak and duration through a range of the peaks;
+    ``rank=False`` leaves that to the caller, with series_rows (of the entity)."""
+    d = places.numbered(df.where("value IS NOT NULL"), ["entity"], ["time"], "p", "series_rows")
+    d = places.chunked(d, "p", max(piece, gap + 1), gap + 1, gap + 1)
+    near = Window.partitionBy("entity", "_chunk").orderBy("p")
     hit = F.when(F.col("value") > threshold, F.col("p"))
-    d = d.withColumns({"_last": F.last(hit, True).over(so_far), "_next": F.first(hit, True).over(ahead)})
+    d = d.withColumns({"_last": F.last(hit, True).over(near.rowsBetween(-gap - 1, 0)), "_next": F.first(hit, True).over(near.rowsBetween(0, gap + 1)), "_prev": F.last(hit, True).over(near.rowsBetween(-gap - 1, -1))})
     # Rows over the threshold have _last = _next = p; a bridge has at most ``gap`` rows between the two.
-    d = d.where((F.col("_next") - F.col("_last") - 1 <= gap) & F.col("_last").isNotNull() & F.col("_next").isNotNull())
-    begins = F.coalesce((F.col("p") - F.lag("p").over(series) > 1).cast("int"), F.lit(1))
-    d = d.withColumn("_new", begins).withColumn("seg", F.sum("_new").over(so_far))
+    d = d.where(F.col("_own") & (F.col("_next") - F.col("_last") - 1 <= gap))
+    d = d.withColumn("_new", ((F.col("value") > threshold) & F.col("_prev").isNull()).cast("int"))
+    # Beginnings of the pieces before: a row for each piece of a series.
+    starts = d.groupBy("entity", "_chunk").agg(F.sum("_new").alias("_n"))
+    starts = starts.select("entity", "_chunk", F.coalesce(F.sum("_n").over(Window.partitionBy("entity").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    d = places.on(d, starts, ["entity", "_chunk"]).withColumn("seg", F.col("_base") + F.sum("_new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
     more = [c.alias(k) for k, c in (facts or {}).items()]
     out = d.groupBy("entity", "seg").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count("*").alias("duration"), F.max("value").alias("peak"), F.max_by("time", F.struct("value", -F.col("p"))).alias("peak_time"), F.avg("value").alias("mean"), F.count_if(F.col("value") > threshold).alias("n_over"), F.max("series_rows").alias("series_rows"), *more)
     out = out.where(F.col("duration") >= shortest).drop("seg")
-    return ranked(out.drop("series_rows"), "peak", [F.desc("duration"), F.col("entity"), F.col("start_time")], "place") if rank else out
+    # Computed once: the ranges of the peaks and their places are two uses.
+    return ranked(rounds.cut(out.drop("series_rows")), "peak", [F.desc("duration"), F.col("entity"), F.col("start_time")], "place") if rank else out
 
 
 def ranked(df: DataFrame, key: str, ties: list[Column], name: str, ranges: int = 200) -> DataFrame:

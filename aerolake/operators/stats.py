@@ -7,22 +7,30 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolake import rounds
 from aerolake.functions import standards as S
+from aerolake.operators import places
 
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
 def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """count, mean, std (0 for one row), min, max, range, five percentiles, iqr and cv."""
+    """count, mean, std (0 for one row), min, max, range, five percentiles, iqr and cv. The percentiles of groups too large for
+    one buffer are selected (``places.quantiles``)."""
     v = F.col(value)
-    d = df.where(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("count"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.lit(PERCENTILES)).alias("p"))
+    d = df.where(v.isNotNull())
+    some = [F.count("*").alias("count"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
+    if places.largest(d, by) <= places.HOT:
+        d = d.groupBy(*by).agg(*some, F.percentile(v, F.lit(PERCENTILES)).alias("p"))
+    else:
+        d = places.on(d.groupBy(*by).agg(*some), places.percentiles(d, value, by, PERCENTILES).withColumnRenamed("q", "p"), by)
     names = [f"p{int(100 * p)}" for p in PERCENTILES]
     d = d.select(*by, "count", "mean", "std", "min", "max", *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(names)))
     return d.withColumns({"range": F.col("max") - F.col("min"), "iqr": F.col("p75") - F.col("p25"), "cv": F.try_divide("std", F.abs("mean"))})
 
 
 def _fences(df: DataFrame, value: str, by: list[str], factor: float) -> DataFrame:
-    q = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile(value, F.lit([0.25, 0.5, 0.75])).alias("q"))
+    q = places.percentiles(df, value, by, [0.25, 0.5, 0.75])
     q = q.select(*by, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))
     return q.withColumns({"low_fence": F.col("q1") - factor * (F.col("q3") - F.col("q1")), "high_fence": F.col("q3") + factor * (F.col("q3") - F.col("q1"))})
 
@@ -67,14 +75,14 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def average_ranks(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Ranks with ties averaged, one column ``rank_<c>`` for each: from the counts of the distinct values of a
-    group, which alone are put in order, so that a value's rows needn't meet."""
+    """Ranks with ties averaged, one column ``rank_<c>`` for each: the distinct values of all groups are dealt by ranges, counted,
+    and each begins after what the ranges before hold of its group, so that neither a value's rows nor a group's
+    values need meet. Few distinct values (their bytes are counted) are broadcast to the rows."""
     out = df
     for c in columns:
-        counts = df.groupBy(*by, c).agg(F.count("*").alias("_n"))
-        w = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        ranks = counts.select(*by, c, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(f"rank_{c}"))
-        out = out.join(ranks, [*by, c])
+        counts = places.summed(df.groupBy(*by, c).agg(F.count("*").alias("_n")), by, [c], F.col("_n"), "_before")
+        ranks = rounds.small(rounds.cut(counts.select(*by, c, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(f"rank_{c}"))))
+        out = places.on(out, ranks, [*by, c])
     return out
 
 
@@ -114,9 +122,9 @@ def z_scores(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 def robust_z(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """df with ``z`` from the median and the median absolute deviation."""
     d = df.where(F.col(value).isNotNull())
-    med = d.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("med"))
+    med = places.percentiles(d, value, by, [0.5]).select(*by, F.get("q", 0).alias("med"))
     d = d.join(med, by).withColumn("dev", F.abs(F.col(value) - F.col("med")))
-    mad = d.groupBy(*by).agg(F.percentile("dev", F.lit(0.5)).alias("mad"))
+    mad = places.percentiles(d, "dev", by, [0.5]).select(*by, F.get("q", 0).alias("mad"))
     d = d.join(mad, by)
     return d.withColumn("z", F.when(F.col("mad") > 0, 0.6745 * (F.col(value) - F.col("med")) / F.col("mad")).otherwise(0.0)).drop("med", "dev", "mad")
 
@@ -159,7 +167,15 @@ def thinned(df: DataFrame, by: list[str], order: list[str], most: int = 1500, ra
 
 
 def column_profile(df: DataFrame, columns: list[str], ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """One row for each numeric column: rows, nulls, distinct, min, max, mean, median, std, out of range."""
+    """One row for each numeric column: rows, nulls, distinct, min, max, mean, median, std, out of range. Beyond
+    ``places.HOT`` rows the medians are selected and the distinct values counted by shuffles of their own."""
+    if df.count() > places.HOT:
+        v = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"), F.lit((ranges or {}).get(c, (None, None))[0]).cast("double").alias("lo"), F.lit((ranges or {}).get(c, (None, None))[1]).cast("double").alias("hi")) for c in columns))))
+        sums = v.groupBy("column").agg(F.count("*").alias("rows"), F.count_if(F.col("v").isNull()).alias("nulls"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.count_if((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).alias("out_of_range"))
+        found = v.where("v IS NOT NULL").select("column", "v").distinct().groupBy("column").agg(F.count("*").alias("distinct_values"))
+        half = places.percentiles(v, "v", ["column"], [0.5]).select("column", F.get("q", 0).alias("median"))
+        d = sums.join(found, "column", "left").fillna(0, ["distinct_values"]).join(half, "column", "left")
+        return d.select("column", "rows", "nulls", "distinct_values", "min", "max", "mean", "median", "std", "out_of_range")
     aggs = []
     for i, c in enumerate(columns):
         lo, hi = (ranges or {}).get(c, (float("-inf"), float("inf")))
@@ -216,12 +232,14 @@ def relationship(df: DataFrame, x: str, y: str, entity: str) -> DataFrame:
 
 
 def interpretation(pearson_r: Column, spearman_r: Column, x_label: str, y_label: str) -> Column:
-    """The relation in a sentence: direction and strength, and whether it bends or hardly exists."""
-    # The sentences of reports.
-    text = F.concat(F.lit(f"{x_label}增大时，{y_label}整体呈"), F.when(pearson_r > 0, "上升").otherwise("下降"), F.lit("趋势（"), S.correlation_label(pearson_r), F.lit("）。"))
-    bent = F.when(F.abs(spearman_r) - F.abs(pearson_r) > 0.15, "秩相关明显强于线性相关，说明关系是单调但非线性的，存在边际效应递减或阈值效应。").otherwise("")
-    weak = F.when(F.abs(pearson_r) < 0.2, "相关性很弱，说明在该时段内两者基本独立，影响浓度的主因可能在别处。").otherwise("")
-    return F.when(pearson_r.isNull(), "样本不足或数据无变化，无法给出相关性结论。").otherwise(F.concat(text, bent, weak))
+    """A few words on a relation: how strong it is on a line and by ranks, and which of the two fits better."""
+    two = lambda r: F.format_number(r, 2)
+    way = F.element_at(F.create_map(F.lit(1.0), F.lit("rises"), F.lit(-1.0), F.lit("falls"), F.lit(0.0), F.lit("stays")), F.signum(pearson_r))
+    share = F.format_number(100 * pearson_r * pearson_r, 0)
+    line = F.concat(F.lit(f"{y_label} "), way, F.lit(f" with {x_label}: r = "), two(pearson_r), F.lit(", so a line accounts for "), share, F.lit(" % of its variance"))
+    gain = F.greatest(F.lit(0.0), spearman_r * spearman_r - pearson_r * pearson_r)
+    ranks = F.concat(F.lit("; by ranks "), two(spearman_r), F.lit(", "), F.format_number(100 * gain, 0), F.lit(" points more"))
+    return F.coalesce(F.concat(line, F.coalesce(ranks, F.lit(""))), F.lit(f"too few pairs of {x_label} and {y_label}, or one of them is constant"))
 
 
 def imputed(features: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolake.functions import standards as S
 from aerolake.operators.joins import fuse
-from aerolake.operators.patterns import trailing_mean
+from aerolake.operators.patterns import trailing_means
 
 GASES = ["nitrogen_dioxide", "sulphur_dioxide", "carbon_monoxide"]
 
@@ -25,8 +25,7 @@ def fused(forecast: DataFrame, archive: DataFrame, air: DataFrame) -> DataFrame:
 def hourly(df: DataFrame) -> DataFrame:
     """Indices, levels and weather measures of every hour; particles as means of 24 rows, ozone of 8. The
     largest sub-index and load are columns of a projection of their own, so that each is computed once."""
-    mean = lambda c, n: trailing_mean(F.col(c), n, "city_id")
-    d = df.withColumns({"_pm25": mean("pm2_5", 24), "_pm10": mean("pm10", 24), "_o3": mean("ozone", 8)})
+    d = trailing_means(df, {"_pm25": ("pm2_5", 24), "_pm10": ("pm10", 24), "_o3": ("ozone", 8)}, "city_id")
     d = d.withColumns({"_iaqi": S.best_iaqi(_indices(F.col("_pm25"), F.col("_pm10"), F.col("_o3"))), "_load": S.best_load({k: F.col(k) for k in S.LOAD_POINTS})})
     china = S.china_of(F.col("_iaqi"), list(S.IAQI_POINTS))
     d = d.withColumns({
@@ -40,7 +39,7 @@ def hourly(df: DataFrame) -> DataFrame:
 
 def daily(df: DataFrame, good: float = 100.0, exceed: float = 100.0) -> DataFrame:
     """One row for each city and day. Sums of nothing are 0."""
-    d = df.withColumns({"date": F.to_date("time"), "o8": trailing_mean(F.col("ozone"), 8, "city_id")})
+    d = trailing_means(df, {"o8": ("ozone", 8)}, "city_id").withColumn("date", F.to_date("time"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = d.groupBy("city_id", "date").agg(
         F.avg("temperature_2m").alias("temp_avg"), F.max("temperature_2m").alias("temp_max"), F.min("temperature_2m").alias("temp_min"), F.avg("relative_humidity_2m").alias("humidity_avg"),

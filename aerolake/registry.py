@@ -97,8 +97,7 @@ def latest(spark, sf_dir):
 
 @query(f"WITH {HOURS} SELECT entity, time, CASE WHEN count(value) OVER w24 = 24 THEN round(avg(value) OVER w24, 4) END AS mean_24, CASE WHEN count(value) OVER w8 = 8 THEN round(avg(value) OVER w8, 4) END AS mean_8 FROM h WINDOW w24 AS (PARTITION BY entity ORDER BY time ROWS 23 PRECEDING), w8 AS (PARTITION BY entity ORDER BY time ROWS 7 PRECEDING)")
 def trailing(spark, sf_dir):
-    v = F.col("value")
-    return rounded(hours(spark, sf_dir).select("entity", "time", patterns.trailing_mean(v, 24).alias("mean_24"), patterns.trailing_mean(v, 8).alias("mean_8")))
+    return rounded(patterns.trailing_means(hours(spark, sf_dir), {"mean_24": ("value", 24), "mean_8": ("value", 8)}).drop("value"))
 
 
 @query(f"""WITH {HOURS}, p AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY time) AS p FROM h),
@@ -287,11 +286,11 @@ _AT = "CAST({k} * 37 % 120 AS DOUBLE) / 2 - 30 AS lat, CAST({k} * 53 % 360 AS DO
 
 @query(f"""WITH p AS (SELECT c_custkey AS id, {_AT.format(k='c_custkey')} FROM customer), c AS (SELECT s_suppkey AS cand_id, {_AT.format(k='(s_suppkey + 7)')} FROM supplier),
 d AS (SELECT id, cand_id, 2 * 6371.0 * asin(least(1.0, sqrt(power(sin(radians(c.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * power(sin(radians(c.lon - p.lon) / 2), 2)))) AS km FROM p, c)
-SELECT id, coalesce(arg_min(cand_id, struct_pack(km := km, c := cand_id)) FILTER (km <= 300), -1) AS cand_id, round(coalesce(min(km) FILTER (km <= 300), -1), 3) AS km, NOT bool_or(km <= 300) AS far FROM d GROUP BY 1""")
+SELECT id, arg_min(cand_id, struct_pack(km := km, c := cand_id)) AS cand_id, round(min(km), 3) AS km, min(km) > 300 AS far FROM d GROUP BY 1""")
 def nearest(spark, sf_dir):
     at = lambda d, key, k, name: d.select(F.col(key).alias(name), (F.expr(f"CAST({k} * 37 % 120 AS DOUBLE) / 2 - 30")).alias("lat"), F.expr(f"CAST({k} * 53 % 360 AS DOUBLE) - 180").alias("lon"))
     p, c = at(table(spark, sf_dir, "customer"), "c_custkey", "c_custkey", "id"), at(table(spark, sf_dir, "supplier"), "s_suppkey", "(s_suppkey + 7)", "cand_id")
-    return rounded(joins.nearest(p, c, 300.0).fillna(-1, ["cand_id", "km"]), 3)
+    return rounded(joins.nearest(p, c, 300.0), 3)
 
 
 # --- domain expressions and derivations ----------------------------------------------------------------

@@ -435,11 +435,11 @@ def correlation_matrix(spark, sf_dir):
 
 
 @query("""WITH x AS (SELECT l_returnflag AS entity, l_quantity AS x, l_extendedprice AS y FROM lineitem UNION ALL SELECT NULL, l_quantity, l_extendedprice FROM lineitem), r AS (SELECT *, rank() OVER (PARTITION BY entity ORDER BY x) + (count(*) OVER (PARTITION BY entity, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY entity ORDER BY y) + (count(*) OVER (PARTITION BY entity, y) - 1) / 2.0 AS ry FROM x),
-c AS (SELECT entity, count(*) AS samples, corr(x, y) AS p, corr(rx, ry) AS s, regr_slope(y, x) AS slope FROM r GROUP BY 1) SELECT entity, samples, round(p, 4) AS pearson, round(s, 4) AS spearman, round(slope, 2) AS slope, CASE WHEN abs(p) < 0.2 THEN '几乎无' ELSE CASE WHEN abs(p) >= 0.8 THEN '极强' WHEN abs(p) >= 0.6 THEN '强' WHEN abs(p) >= 0.4 THEN '中等' ELSE '弱' END || CASE WHEN p > 0 THEN '正' ELSE '负' END || '相关' END AS pearson_label, substr('quantity增大时，price整体呈' || CASE WHEN p > 0 THEN '上升' ELSE '下降' END || '趋势', 1, 40) AS said FROM c""")
+c AS (SELECT entity, count(*) AS samples, corr(x, y) AS p, corr(rx, ry) AS s, regr_slope(y, x) AS slope FROM r GROUP BY 1) SELECT entity, samples, round(p, 4) AS pearson, round(s, 4) AS spearman, round(slope, 2) AS slope, CASE WHEN abs(p) < 0.2 THEN '几乎无' ELSE CASE WHEN abs(p) >= 0.8 THEN '极强' WHEN abs(p) >= 0.6 THEN '强' WHEN abs(p) >= 0.4 THEN '中等' ELSE '弱' END || CASE WHEN p > 0 THEN '正' ELSE '负' END || '相关' END AS pearson_label, 'price ' || CASE WHEN p > 0 THEN 'rises' ELSE 'falls' END || ' with quantity' AS said FROM c""")
 def relationship(spark, sf_dir):
     d = stats.relationship(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
-    said = F.element_at(F.split(stats.interpretation(F.col("pearson"), F.col("spearman"), "quantity", "price"), "（"), 1)
-    d = rounded(d.select("entity", "samples", "pearson", "spearman", "slope", "pearson_label", F.substring(said, 1, 40).alias("said")))
+    said = F.element_at(F.split(stats.interpretation(F.col("pearson"), F.col("spearman"), "quantity", "price"), ":"), 1)
+    d = rounded(d.select("entity", "samples", "pearson", "spearman", "slope", "pearson_label", said.alias("said")))
     return d.withColumn("slope", F.round("slope", 2))
 
 
