@@ -2,15 +2,16 @@
 
 A document's ids and an end mark are cut into sequences of ``length`` ids, the last one padded.
 Sequences count from 0 in the order of the input (file, row, part), whatever the tasks that read
-it: each task numbers the sequences of its own rows of a file, and these runs get offsets from a table
-with one row for each. A keyed Feistel network over the smallest fitting power of four, walked on until
+it: each task numbers the sequences of its own rows of a file, and these runs, named by the task and their
+number in it, get offsets from a table with one row for each. A keyed Feistel network over the smallest fitting power of four, walked on until
 it falls below the number of sequences, maps that number to the slot. Slots are dealt to shards by
 range, sorted and written as records of one stride: ``length`` little-endian 16-bit ids and a closing
 end mark. Spark's own writer makes the files, so they may lie on any store and survive lost tasks.
 
 Cases: a null text counts as empty; an empty text is one sequence with just the end mark; repeated
 rows and ids are sequences of their own; an empty table gives no shard and an empty result; an input
-that isn't read from files is staged and counts in the order of its partitions; very long texts are cut in
+that isn't a plain scan of files (projections and filters aside) is staged and counts in the order of its partitions, and
+a path that is read twice gives every sequence twice; very long texts are cut in
 segments and their sequences follow each other before the permutation; slots are all different, so there
 are no ties; further columns, whatever their names, are ignored.
 """
@@ -24,8 +25,9 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -61,18 +63,28 @@ def slots(index: np.ndarray, total: int, key: str = KEY) -> np.ndarray:
 _workers: dict[tuple[str, bool], Pieces] = {}
 
 
+def _plain(docs: DataFrame) -> bool:
+    """Whether docs are rows of files as a scan gives them, the same in the same order at every reading."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, text and the place of each row; what isn't read from files is staged first."""
     place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
-    try:
-        return docs.select("doc_id", "text", *place)
-    except AnalysisException:
-        return common.stage(docs.select("doc_id", "text")).select("doc_id", "text", *place)
+    if _plain(docs):
+        try:
+            return docs.select("doc_id", "text", *place)
+        except AnalysisException:  # a source without row numbers
+            pass
+    return common.stage(docs.select("doc_id", "text")).select("doc_id", "text", *place)
 
 
 def sequences(rows: DataFrame, tokens: bool, model: str = MODEL, length: int = LENGTH) -> DataFrame:
-    """run_file, run_row and local (a sequence's number in its run), with the tokens of each sequence
-    or with its doc_id, part and n_tokens."""
+    """task, piece (the number of a run in its task), run_file and run_row (where it begins) and local (a sequence's
+    number in its run), with the tokens of each sequence or with its doc_id, part and n_tokens."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +92,7 @@ def sequences(rows: DataFrame, tokens: bool, model: str = MODEL, length: int = L
             pieces = _workers[model, tokens] = Pieces(model, keep_ids=tokens)
         if pieces.sp.get_piece_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits don't fit the records")
+        task, piece = TaskContext.get().partitionId(), -1
         run, last, local = ("", 0), ("", -2), 0
         for b in batches:
             for i, j in common.blocks(b.column(1)):
@@ -94,16 +107,17 @@ def sequences(rows: DataFrame, tokens: bool, model: str = MODEL, length: int = L
                 starts = at[owner] + part * length
                 ends = np.minimum(starts + length, at[owner + 1])
                 files, places = b.column(2).slice(i, j - i).to_pylist(), b.column(3).slice(i, j - i).to_pylist()
-                own_file, own_row, number = [], [], []
+                own_file, own_row, own_piece, number = [], [], [], []
                 for f, r, n in zip(files, places, per.tolist(), strict=True):
                     if f != last[0] or r <= last[1]:  # gaps (rows that a filter dropped) don't end a run
-                        run, local = (f, r), 0
+                        run, local, piece = (f, r), 0, piece + 1
                     last = (f, r)
                     own_file += [run[0]] * n
                     own_row += [run[1]] * n
+                    own_piece += [piece] * n
                     number += range(local, local + n)
                     local += n
-                out = {"run_file": pa.array(own_file, pa.string()), "run_row": pa.array(own_row, pa.int64()), "local": pa.array(number, pa.int64())}
+                out = {"task": pa.array(np.full(len(number), task, np.int32)), "piece": pa.array(own_piece, pa.int32()), "run_file": pa.array(own_file, pa.string()), "run_row": pa.array(own_row, pa.int64()), "local": pa.array(number, pa.int64())}
                 if tokens:
                     offsets = np.append(starts, ends[-1:]).astype(np.int32) * 2
                     out["tokens"] = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
@@ -111,7 +125,7 @@ def sequences(rows: DataFrame, tokens: bool, model: str = MODEL, length: int = L
                     out |= {"doc_id": b.column(0).slice(i, j - i).take(pa.array(owner)), "part": pa.array(part, pa.int32()), "n_tokens": pa.array(ends - starts, pa.int32())}
                 yield pa.RecordBatch.from_pydict(out)
 
-    return common.map_batches(rows, work, "run_file string, run_row bigint, local bigint, " + ("tokens binary" if tokens else f"doc_id {kind}, part int, n_tokens int"))
+    return common.map_batches(rows, work, "task int, piece int, run_file string, run_row bigint, local bigint, " + ("tokens binary" if tokens else f"doc_id {kind}, part int, n_tokens int"))
 
 
 @contextmanager
@@ -129,12 +143,13 @@ def _same_splits(spark: SparkSession) -> Iterator[None]:
 def _offsets(runs: DataFrame) -> DataFrame:
     """runs with ``offset``, the sum of n over the runs before: within each range of runs, and then over the
     ranges, of which there are no more than shuffle partitions."""
-    ranged = common.stage(runs.repartitionByRange("run_file", "run_row").withColumn("range", F.spark_partition_id()))
+    order = ["run_file", "run_row", "task", "piece"]
+    ranged = common.stage(runs.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranged.groupBy("range").agg(F.sum("n").alias("total")).select("range", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("range").orderBy("run_file", "run_row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inner = ranged.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    return inner.join(F.broadcast(bases), "range").select("run_file", "run_row", (F.col("base") + F.col("inner")).alias("offset"), "n")
+    return inner.join(F.broadcast(bases), "range").select("task", "piece", (F.col("base") + F.col("inner")).alias("offset"), "n")
 
 
 def materialise(docs: DataFrame, path: str | None = None, model: str = MODEL, length: int = LENGTH, per_shard: int | None = None, key: str = KEY) -> DataFrame:
@@ -144,22 +159,22 @@ def materialise(docs: DataFrame, path: str | None = None, model: str = MODEL, le
     that reading can resume anywhere.
 
     The texts are read twice: a first pass only counts, so that no token is kept on disk between
-    the passes; a second pass whose runs the first didn't see fails."""
+    the passes; a second pass that doesn't meet the runs and numbers of the first fails."""
     spark = docs.sparkSession
     rows, path = _rows(docs), path or common.shared_dir(spark)
     with _same_splits(spark):
         numbered = common.stage(sequences(rows, False, model, length))
-        runs = numbered.groupBy("run_file", "run_row").agg(F.count("*").alias("n"))
+        runs = numbered.groupBy("task", "piece", "run_file", "run_row").agg(F.count("*").alias("n"))
         runs = common.stage(_offsets(runs))
         count, total = runs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         per_shard = per_shard or max(PER_SHARD, -(-total // MOST_SHARDS))
         placed = F.pandas_udf(lambda i: pd.Series(slots(i.to_numpy(), total, key)), "bigint")
-        offsets = runs.drop("n")
-        offsets = F.broadcast(offsets) if count <= MOST_RUNS else offsets
+        offsets = F.broadcast(runs) if count <= MOST_RUNS else runs
 
         def dealt(d: DataFrame) -> DataFrame:
-            offset = F.coalesce("offset", F.raise_error(F.lit("a run of rows that the first pass didn't see: the input or its splits changed")).cast("bigint"))
-            d = d.join(offsets, ["run_file", "run_row"], "left").withColumn("slot", placed(offset + F.col("local")))
+            changed = F.raise_error(F.lit("a run of rows that the first pass didn't see: the input or its splits changed")).cast("bigint")
+            offset = F.when(F.col("local") < F.col("n"), F.col("offset")).otherwise(changed)
+            d = d.join(offsets, ["task", "piece"], "left").withColumn("slot", placed(offset + F.col("local")))
             return d.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
 
         mark = END.to_bytes(2, "little")
@@ -167,5 +182,8 @@ def materialise(docs: DataFrame, path: str | None = None, model: str = MODEL, le
             record = F.rpad(F.col("tokens"), 2 * length, F.lit(mark)).cast("string").alias("record")
             d = dealt(sequences(rows, True, model, length)).select("slot", "shard", "tokens")
             d = d.repartitionById(shards, "shard").sortWithinPartitions("slot").select(record)
-            d.write.option("lineSep", mark.decode("latin-1")).text(path)
+            written = Observation()
+            d.observe(written, F.count("*").alias("n")).write.option("lineSep", mark.decode("latin-1")).text(path)
+            if written.get["n"] != total:
+                raise ValueError(f"the second pass wrote {written.get['n']} of {total} sequences: the input or its splits changed")
     return dealt(numbered).select("slot", "doc_id", "part", "n_tokens", "shard", ((F.col("slot") % per_shard) * 2 * (length + 1)).alias("byte_offset"), F.lit(path).alias("folder"))

@@ -119,11 +119,35 @@ def test_training_order_of_filtered_rows(spark, docs, tmp_path):
     m = training_order.materialise(some, str(tmp_path / "o"), length=64, per_shard=50).collect()
     assert sorted(r["slot"] for r in m) == list(range(len(m))) and {r["folder"] for r in m} == {str(tmp_path / "o")}
     assert {r["doc_id"] for r in m} == {r["doc_id"] for r in some.collect()}
-    runs = spark.createDataFrame([(f"f{i % 7}", i, i % 5 + 1) for i in range(500)], "run_file string, run_row bigint, n bigint")
-    got, at = training_order._offsets(runs).orderBy("run_file", "run_row").collect(), 0
-    for r in got:
-        assert r["offset"] == at
-        at += r["n"]
+    rows = [(i % 9, i, f"f{i % 7}", i // 2, i % 5 + 1) for i in range(500)]
+    runs = spark.createDataFrame(rows, "task int, piece int, run_file string, run_row bigint, n bigint")
+    got, at = {(r["task"], r["piece"]): r["offset"] for r in training_order._offsets(runs).collect()}, 0
+    for task, piece, _, _, n in sorted(rows, key=lambda r: (r[2], r[3], r[0], r[1])):
+        assert got[task, piece] == at
+        at += n
+
+
+@pytest.mark.parametrize("kind", ["exploded", "twice", "union", "shuffled"])
+def test_training_order_of_rows_that_share_a_place(spark, docs, tmp_path, kind):
+    """Rows that come twice from one place of a file have slots and bytes of their own."""
+    path = str(tmp_path / "in")
+    docs.coalesce(2).write.parquet(path)
+    d = {
+        "exploded": lambda: spark.read.parquet(path).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))),
+        "twice": lambda: spark.read.parquet(path, path),
+        "union": lambda: spark.read.parquet(path).unionByName(spark.read.parquet(path)).coalesce(1),
+        "shuffled": lambda: spark.read.parquet(path).unionByName(spark.read.parquet(path)).repartition(3, "text"),
+    }[kind]()
+    m = training_order.materialise(d, str(tmp_path / "o"), length=64, per_shard=100).collect()
+    files = sorted(Path(tmp_path / "o").glob("part-*"))
+    assert sorted(r["slot"] for r in m) == list(range(len(m))) and sum(f.stat().st_size for f in files) == len(m) * 130
+    sp, want = token_counts.Pieces(token_counts.MODEL).sp, Counter()
+    seen = Counter((r["doc_id"], r["part"], np.fromfile(files[r["shard"]], "<u2", 65, offset=r["byte_offset"]).tobytes()) for r in m)
+    for i, t in texts(docs):
+        ids = sp.encode(t) + [2]
+        for k in range(0, len(ids), 64):
+            want[i, k // 64, np.array((ids[k : k + 64] + [2] * 65)[:65], "<u2").tobytes()] += 2
+    assert seen == want
 
 
 def test_suffix_arrays():
