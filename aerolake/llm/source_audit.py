@@ -57,13 +57,13 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def given() -> Iterator[pa.RecordBatch]:
         for (lang, source), (occurrences, documents) in held.items():
-            terms = list(occurrences)
-            for i in range(0, max(len(terms), 1), 20_000):
+            terms = [None, *occurrences]
+            occurrences[None] = documents[None] = 0
+            for i in range(0, len(terms), 20_000):
                 some = terms[i : i + 20_000]
-                names = pa.array([*([None] if i == 0 else []), *(t.decode() for t in some)], pa.string())
-                n = [[*([0] if i == 0 else []), *(c[t] for t in some)] for c in (occurrences, documents)]
-                key = [pa.array([x] * len(names), pa.string()) for x in (lang, source)]
-                yield pa.RecordBatch.from_arrays([*key, names, *(pa.array(x, pa.int64()) for x in n)], names=["lang", "source", "term", "c", "d"])
+                key = [pa.repeat(x, len(some)) for x in (lang, source)]
+                n = [pa.array(list(map(c.__getitem__, some)), pa.int64()) for c in (occurrences, documents)]
+                yield pa.RecordBatch.from_arrays([*key, pa.array(some, pa.binary()).cast(pa.string()), *n], names=["lang", "source", "term", "c", "d"])
         held.clear()
 
     for b in batches:
@@ -83,8 +83,11 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def share(c: np.ndarray, total: int) -> np.ndarray:
-    """1 + floor(SCALE * (c + 1) / total), by long division in steps of a thousand; c < total."""
-    left, out = c.astype(np.int64) + 1, np.zeros(len(c), np.int64)
+    """1 + floor(SCALE * (c + 1) / total); c < total. Beyond 64 bits by long division in steps of a thousand."""
+    left = c.astype(np.int64) + 1
+    if total <= (1 << 63) // SCALE:
+        return left * SCALE // total + 1
+    out = np.zeros(len(c), np.int64)
     for _ in range(3):
         left = left * 1000
         out = out * 1000 + left // total
@@ -93,13 +96,16 @@ def share(c: np.ndarray, total: int) -> np.ndarray:
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places and counts of a group in a block as bytes: steps between places, then counts."""
+    """Places and shares of a group in a block as bytes: steps between places, then the p."""
     for b in batches:
         out = []
-        for entries in b.column("entries").to_pylist():
-            some = sorted((e["id"], e["c"]) for e in entries or ())
-            ids, counts = np.array([e[0] for e in some], np.int32), np.array([e[1] for e in some], np.int64)
-            out.append(zlib.compress(np.diff(ids, prepend=np.int32(0)).astype("<i4").tobytes() + counts.astype("<i8").tobytes(), 1))
+        entries, totals = b.column("entries"), b.column("total").to_pylist()
+        for i, total in enumerate(totals):
+            some = entries[i].values
+            ids, counts = (some.field(k).to_numpy(zero_copy_only=False) if some is not None else np.zeros(0, np.int64) for k in range(2))
+            order = np.argsort(ids)
+            ids = ids[order].astype(np.int32)
+            out.append(zlib.compress(np.diff(ids, prepend=np.int32(0)).astype("<i4").tobytes() + share(counts[order], total).astype("<i8").tobytes(), 1))
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(out, pa.binary())], names=[*b.schema.names[:-1], "packed"])
 
 
@@ -107,8 +113,8 @@ def shares(packed: bytes, size: int, total: int) -> np.ndarray:
     """The p of all terms of a block."""
     raw = zlib.decompress(packed)
     n = len(raw) // 12
-    out = np.full(size, share(np.zeros(1, np.int64), total)[0]) if size else np.zeros(0, np.int64)
-    out[np.cumsum(np.frombuffer(raw, "<i4", n))] = share(np.frombuffer(raw, "<i8", n, 4 * n), total)
+    out = np.full(size, 1 + SCALE // total)
+    out[np.cumsum(np.frombuffer(raw, "<i4", n))] = np.frombuffer(raw, "<i8", n, 4 * n)
     return out
 
 
@@ -131,7 +137,8 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if home != (lang, block, dest):
                 raise ValueError("a visitor came before its home")
-            square = (p - q) ** 2
+            square = p - q
+            square *= square
             for key, value in (((lang, dest, slot), (square // q).sum()), ((lang, slot, dest), (square // p).sum())):
                 sums[key] = sums.get(key, 0) + int(value)
             if len(sums) > HELD:
@@ -152,12 +159,12 @@ def best_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         c, whole, total, lang_total = (b.column(x).to_numpy(zero_copy_only=False) for x in ("c", "whole", "total", "lang_total"))
-        keys = list(zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), strict=True))
-        groups: dict[tuple[str, str], int] = {}
-        code = np.array([groups.setdefault(k, len(groups)) for k in keys], np.int64)
+        langs, sources = (b.column(x).dictionary_encode() for x in ("lang", "source"))
+        code = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
         terms = b.column("term")
-        for key, g in groups.items():
-            rows = np.flatnonzero(code == g)
+        for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else ():
+            key = b.column("lang")[int(rows[0])].as_py(), b.column("source")[int(rows[0])].as_py()
             p = share(c[rows], int(total[rows[0]]))
             q = share(whole[rows], int(lang_total[rows[0]]))
             value = (p - q) ** 2 // q
