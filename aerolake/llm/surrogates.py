@@ -1,12 +1,14 @@
 """PII surrogates: detected entities get keyed replacements of the same type, script and format.
 
-Numbers, addresses and secrets keep their punctuation and the class of every character; the letters
-and digits together are one number of a mixed radix, moved by a keyed Feistel permutation of exactly
-the numbers of that shape. So different values of a shape get different surrogates without any table,
-and a value gets the same one in every document. Cards keep their first digit and a valid check digit,
-addresses of networks their private or public range. Given names and surnames are replaced one by one
+A value is what its mentions share: digits of a phone or card, an IBAN without blanks, a mail address in small letters,
+an IPv6 address in full. Its letters and digits together are one number of a mixed radix, moved by a keyed Feistel
+permutation of exactly the numbers of that shape, in which every character keeps its class and punctuation stays; each
+mention renders the result in its own format. So different values of a shape get different surrogates without any table,
+and a value gets the same one in every document and format. Cards and IBANs keep valid check digits, cards their first
+digit, IBANs and phones their country, addresses of networks their private or public range. Given names and surnames are replaced one by one
 (so "Mr. X" and "Mr. Y X" stay linked), by syllables or letters of their script, given names with an ending
-for the gender of their title. Names count without their case, which each mention keeps; a name that follows
+for the gender of their title; parts around hyphens and apostrophes are replaced one by one, and particles (van, de la)
+stay. Names count without their case, which each mention keeps; a name that follows
 a title anywhere in a text is replaced wherever it stands in it as a capitalised word; a given name after a
 title of no gender takes the surrogate of the same name with a gender, if the corpus has it.
 
@@ -25,6 +27,7 @@ repeated rows get the same text; very long texts are searched whole, a row at a
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -61,18 +64,27 @@ LETTERS_OF = {"greek": (0x3B1, 0x3C1), "hebrew": (0x5D0, 0x5E9), "arabic": (0x62
 # Where the letters of each script lie.
 SCRIPTS = {"greek": (0x370, 0x3FF), "cyrillic": (0x400, 0x52F), "hebrew": (0x590, 0x5FF), "arabic": (0x600, 0x6FF), "devanagari": (0x900, 0x97F), "thai": (0xE00, 0xE7F), "georgian": (0x10A0, 0x10FF), "kana": (0x3040, 0x30FF), "han": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7AF)}
 
+# Words between given names and surnames, which stay.
+PARTICLES = "van von der den de del della da di du la le los las dos das ten ter zu zum zur af av bin ibn al el".split()
+# Calling codes of one and two digits; others have three.
+CODES = {"1", "7"} | {str(x) for x in (20, 27, *range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98)}
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: A capitalised word with parts, after particles.
+_NAME = rf"(?:(?:{'|'.join(PARTICLES)}) )*[^\W\d_a-zа-я](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
+
 KINDS = {
-    "email": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z0-9-]*[A-Za-z0-9]",
+    "email": r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[\w-]*\w",
     "secret": r"\b(?:AKIA[0-9A-Z]{12,}|ghp_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9-]{16,})\b|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)[^\s\"']{6,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ip6": rf"(?<![\w:])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*[0-9])(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "phone": r"(?<![\w+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}\b|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}\b|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "name": r"(?<!\w)(?:" + "|".join([*MALE, *FEMALE, *NEUTRAL]) + r")\.? [^\W\d_a-zа-я][^\W\d_]+(?: [^\W\d_a-zа-я][^\W\d_]+)?",
+    "phone": r"(?<![\w+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}\b|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}\b|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.-])\d{3} \d{3} \d{4}(?![\w-])",
+    "name": rf"(?<!\w)(?:{'|'.join([*MALE, *FEMALE, *NEUTRAL])})\.? {_NAME}(?: {_NAME})?",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
-_MAYBE = re.compile(r"[0-9@]|[=:]|\b(?:" + "|".join([*MALE, *FEMALE, *NEUTRAL]) + r")\b")
+_MAYBE = re.compile(r"[0-9@=:]|\b(?:" + "|".join([*MALE, *FEMALE, *NEUTRAL]) + r")\b")
 _ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?")
 
 
@@ -98,7 +110,7 @@ def _alphabet(c: str, hexa: bool) -> tuple[str, int] | None:
         return ("hex", 16) if hexa else ("0", 10)
     if hexa and c in "abcdef":
         return "hex", 16
-    for first, n in (("a", 26), ("A", 26), ("а", 32), ("А", 32), ("α", 25), ("Α", 25)):
+    for first, n in (("a", 26), ("A", 26), ("а", 32), ("А", 32), ("α", 25), ("Α", 25), ("à", 23), ("À", 23), ("ø", 8), ("Ø", 7)):
         if 0 <= ord(c) - ord(first) < n:
             return first, n
     return None
@@ -128,6 +140,16 @@ def _luhn(digits: str) -> int:
     return -sum(d - 9 if d > 9 else d for d in doubled) % 10
 
 
+def _iban_check(country: str, rest: str) -> str:
+    """The two check digits."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{rest}{country}00')) % 97:02d}"
+
+
+def _code(phone: str) -> str:
+    """The plus and country of a number that has them."""
+    return "+" + next((phone[1 : 1 + n] for n in (1, 2) if phone[1 : 1 + n] in CODES), phone[1:4]) if phone[0] == "+" else ""
+
+
 def _network(parts: list[int]) -> str:
     a, b = parts[:2]
     return "10" if a == 10 else "192.168" if (a, b) == (192, 168) else "127" if a == 127 else "public" if 1 <= a <= 223 else "other"
@@ -142,7 +164,7 @@ def letters(kind: str, value: str, attempt: int, key: str = KEY) -> str:
 
 def surrogate(kind: str, value: str, attempt: int = 0, syllables: int = 4, key: str = KEY) -> str:
     """The replacement of an entity; kinds given:m, given:f, given:n and surname are parts of names."""
-    if kind.startswith("given") or kind == "surname":
+    if is_name(kind):
         return shaped(kind, value, attempt, syllables, key)
     if attempt >= SHAPED_ATTEMPTS:
         return letters(kind, value, attempt, key)
@@ -156,26 +178,34 @@ def script_of(value: str) -> str:
     return next((s for s, (a, b) in SCRIPTS.items() if a <= ord(value[0]) <= b), "latin")
 
 
+def _syllabic(kind: str, value: str, tweak: str, syllables: int, key: str) -> str:
+    """A name in the script of the value, with the ending of its kind."""
+    script = script_of(value)
+    parts = SYLLABLES.get(script) or [chr(c) for c in range(LETTERS_OF[script][0], LETTERS_OF[script][1] + 1)]
+    h = int.from_bytes(blake2b(f"{tweak}|{value}".encode(), key=key.encode()[:64], digest_size=16).digest(), "big")
+    out = []
+    for _ in range(syllables):
+        h, d = divmod(h, len(parts))
+        out.append(parts[d])
+    return ("".join(out) + (ENDINGS.get((script, kind[-1]), "") if kind.startswith("given") else "")).capitalize()
+
+
 def shaped(kind: str, value: str, attempt: int = 0, syllables: int = 4, key: str = KEY) -> str:
     """The replacement in the format of the value."""
     tweak = f"{kind}|{attempt}"
-    if kind.startswith("given") or kind == "surname":
-        script = script_of(value)
-        parts = SYLLABLES.get(script) or [chr(c) for c in range(LETTERS_OF[script][0], LETTERS_OF[script][1] + 1)]
-        h = int.from_bytes(blake2b(f"{tweak}|{value}".encode(), key=key.encode()[:64], digest_size=16).digest(), "big")
-        out = []
-        for _ in range(syllables + attempt):
-            h, d = divmod(h, len(parts))
-            out.append(parts[d])
-        return ("".join(out) + (ENDINGS.get((script, kind[-1]), "") if kind.startswith("given") else "")).capitalize()
+    if is_name(kind):
+        pieces = re.split(r"(['’-])", value)
+        if len(pieces) > 1:  # each part for itself, though another one in another name
+            return "".join(p if i % 2 else _syllabic(kind, p, f"{tweak}|{value}|{i}", syllables + attempt, key) for i, p in enumerate(pieces))
+        return _syllabic(kind, value, tweak, syllables + attempt, key)
     if kind == "card":
-        digits = [c for c in value if c.isdigit()]
-        if int(digits[-1]) == _luhn("".join(digits[:-1])):
-            new = digits[0] + reshape("".join(digits[1:-1]), f"{tweak}|{digits[0]}", key)
-            new += str(_luhn(new))
-            it = iter(new)
-            return "".join(next(it) if c.isdigit() else c for c in value)
-        return value[0] + reshape(value[1:], f"{tweak}|{value[0]}", key)
+        if int(value[-1]) != _luhn(value[:-1]):
+            return value[0] + reshape(value[1:], f"{tweak}|{value[0]}", key)
+        new = value[0] + reshape(value[1:-1], f"{tweak}|{value[0]}", key)
+        return new + str(_luhn(new))
+    if kind == "ip6":  # within its first 16 bits
+        number = int(ipaddress.IPv6Address(value))
+        return ipaddress.IPv6Address(number >> 112 << 112 | permute(number & (1 << 112) - 1, 1 << 112, f"{tweak}|{number >> 112}", key)).exploded
     if kind == "ip":
         parts = [int(x) for x in value.split(".")]
         if max(parts) > 255:
@@ -190,9 +220,12 @@ def shaped(kind: str, value: str, attempt: int = 0, syllables: int = 4, key: str
         host, _, top = domain.rpartition(".")
         return reshape(f"{local}@{host}", f"{tweak}|{top}", key) + f".{top}"
     if kind == "iban":
-        return value[:2] + reshape(value[2:], f"{tweak}|{value[:2]}", key)
-    if kind == "phone" and value.startswith("+"):
-        code = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", value)[0]
+        country, rest = value[:2], value[4:]
+        if value[2:4] != _iban_check(country, rest):
+            return country + reshape(value[2:], f"{tweak}|{country}", key)
+        new = reshape(rest, f"{tweak}|{country}", key)
+        return country + _iban_check(country, new) + new
+    if kind == "phone" and (code := _code(value)):
         return code + reshape(value[len(code) :], f"{tweak}|{code}", key)
     if kind == "secret":
         prefix = re.match(r"AKIA|ghp_|sk-|", value)[0]
@@ -205,6 +238,36 @@ def is_name(kind: str) -> bool:
     return kind == "surname" or kind.startswith("given")
 
 
+def value_of(kind: str, mention: str) -> str | None:
+    """What the mentions of an entity share; None: it is none."""
+    if kind in ("phone", "card"):
+        return ("+" if mention[0] == "+" else "") + "".join(c for c in mention if c.isdigit())
+    if kind == "iban":
+        return mention.replace(" ", "")
+    if kind == "email":
+        return mention.lower()
+    if kind == "ip6":
+        try:
+            return ipaddress.IPv6Address(mention).exploded
+        except ValueError:
+            return None
+    return mention
+
+
+def render(kind: str, mention: str, new: str) -> str:
+    """The surrogate in the format of a mention."""
+    if is_name(kind) or kind == "email":
+        return new.upper() if len(mention) > 1 and mention.isupper() else new
+    if kind == "ip6" and ":" in new:
+        return ipaddress.IPv6Address(new).compressed if "::" in mention else new
+    if kind in ("phone", "card", "iban"):
+        own = [c for c in new if c.isalnum()]
+        if len(own) == sum(c.isalnum() for c in mention):
+            it = iter(own)
+            return "".join(next(it) if c.isalnum() else c for c in mention)
+    return new
+
+
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(begin, end, kind, value) of what is replaced, in order; names capitalised, whatever their case."""
     if not text or not _MAYBE.search(text):
@@ -215,7 +278,7 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         if kind == "secret" and (a := _ASSIGNED.match(m[0])):
             begin += a.end()
         if kind == "name":
-            title, *parts = re.finditer(r"[^ ]+", m[0])
+            title, *parts = (x for x in re.finditer(r"[^ ]+", m[0]) if x[0] not in PARTICLES)
             t = title[0].rstrip(".")
             gender = "m" if t in MALE else "f" if t in FEMALE else "n"
             kinds = [f"given:{gender}", "surname"] if len(parts) > 1 else ["surname"]
@@ -225,8 +288,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
                 out.append((begin + n.start(), begin + n.end(), k, value))
                 if names.get(value, "given:n") == "given:n":  # a known gender or a surname is better than none
                     names[value] = k
-        else:
-            out.append((begin, end, kind, text[begin:end]))
+        elif (value := value_of(kind, text[begin:end])) is not None:
+            out.append((begin, end, kind, value))
     if names:
         # Other mentions of these people, without a title.
         any_form = "|".join(re.escape(f) for f in sorted(forms, key=lambda f: (-len(f), f)))
@@ -327,7 +390,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
                         if len(cache) >= CACHE_SIZE:
                             cache.clear()
                         new = cache[kind, value] = surrogate(kind, value, 0, syllables, key)
-                    parts += [t[last:begin], new.upper() if is_name(kind) and end - begin > 1 and t[begin:end].isupper() else new]
+                    parts += [t[last:begin], render(kind, t[begin:end], new)]
                     last = end
                 texts.append("".join([*parts, t[last:]]) if spans else t)
                 counts.append(len(spans))
