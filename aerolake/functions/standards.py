@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 # European index bands (upper bound included) and the levels.
 LEVELS = ["优", "良", "轻度污染", "中度污染", "重度污染", "严重污染"]
@@ -97,13 +98,25 @@ def china_aqi_level(v: Column) -> Column:
     return _banded(v, CHINA_BOUNDS, LEVELS)
 
 
+def _segment(v: Column, ends: list[float]) -> Column:
+    """The number, from 1, of the first end that v doesn't exceed; one more than the ends beyond the last. A search in
+    a sorted array: chains of conditions over all sub-indices make a method that the JVM won't compile."""
+    at = InternalFunction.array_binary_search(F.lit([float(x) for x in ends]), v)
+    return F.when(at >= 0, at + 1).otherwise(-at)
+
+
+def _line(v: Column, i: Column, from_: list[float], low: list[float], width: list[float], rise: list[float]) -> Column:
+    """from_ + (v - low) / width * rise, of segment i."""
+    of = lambda xs: F.get(F.lit([float(x) for x in xs]), i - 1)
+    return of(from_) + (v - of(low)) / of(width) * of(rise)
+
+
 def pollutant_load(v: Column, pollutant: str) -> Column:
     """Position among the breakpoints: piecewise linear, 6 above the last, null if negative."""
-    out, low = F.when(v.isNull() | F.isnan(v) | (v < 0), None), 0.0
-    for i, b in enumerate(LOAD_POINTS[pollutant]):
-        out = out.when(v <= b, i + (v - low) / (b - low))
-        low = b
-    return out.otherwise(float(len(LOAD_POINTS[pollutant]) + 1))
+    ends = LOAD_POINTS[pollutant]
+    low = [0.0, *ends[:-1]]
+    line = _line(v, _segment(v, ends), list(range(len(ends))), low, [b - a for a, b in zip(low, ends, strict=True)], [1.0] * len(ends))
+    return F.when(~F.isnan(v) & (v >= 0), F.when(v > ends[-1], float(len(ends) + 1)).otherwise(line))
 
 
 def _best(values: list[Column]) -> Column:
@@ -137,13 +150,11 @@ def primary_pollutant(columns: dict[str, Column]) -> Column:
 
 def iaqi(v: Column, pollutant: str) -> Column:
     """Sub-index by linear interpolation, 500 from the last breakpoint on, rounded to 2 digits."""
-    points = IAQI_POINTS[pollutant]
     x = v / 1000.0 if pollutant == "carbon_monoxide" else v
-    out = F.when(v.isNull() | F.isnan(v) | (v < 0), None).when(x >= points[-1], 500.0)
-    for i in range(1, len(points)):
-        lo, hi, a, b = points[i - 1], points[i], IAQI_SCALE[i - 1], IAQI_SCALE[i]
-        out = out.when(x <= hi, float(b) if hi <= lo else F.round(a + (x - lo) / (hi - lo) * (b - a), 2))
-    return out.otherwise(500.0)
+    # Segments without a width are only reached by the end of the one before.
+    parts = [(lo, hi, a, b) for lo, hi, a, b in zip(IAQI_POINTS[pollutant], IAQI_POINTS[pollutant][1:], IAQI_SCALE, IAQI_SCALE[1:], strict=False) if hi > lo]
+    line = _line(x, _segment(x, [p[1] for p in parts]), [p[2] for p in parts], [p[0] for p in parts], [p[1] - p[0] for p in parts], [p[3] - p[2] for p in parts])
+    return F.when(~F.isnan(v) & (v >= 0), F.when(x >= IAQI_POINTS[pollutant][-1], 500.0).otherwise(F.round(line, 2)))
 
 
 def best_iaqi(columns: dict[str, Column]) -> Column:
