@@ -191,12 +191,23 @@ def overview(assets: DataFrame, scores: DataFrame, runs: DataFrame, now: Column)
 
 
 def snapshot(spark: SparkSession, lake_root: str, catalog_root: str, asset: lake.Asset, now, run_id: str | None = None) -> DataFrame:
-    """Statistics of an asset's files as a new row of versions, which is returned."""
-    s = lake.dataset_stats(spark, lake_root, asset)
+    """Statistics of an asset's files as a new row of versions, which is returned. The statistics by file stay beside the catalog
+    under the version's name, so that the next snapshot reads only files that are new or have changed."""
     t = F.lit(str(now)).cast("timestamp_ntz")
-    row = s.select("asset_key", F.concat(F.lit("snap-"), F.date_format(t, "yyyyMMdd'T'HHmmss")).alias("version"), F.lit(run_id).alias("run_id"), t.alias("snapshot_at"), "row_count", "byte_size", "file_count", "city_count", F.lit(asset.schema_hash).alias("schema_hash"), "latest_data_time")
+    folder = lambda version: f"{catalog_root}/_files/{asset.key}/{version}"
+    last = read(spark, catalog_root, "versions").where(F.col("asset_key") == asset.key).orderBy(F.desc("snapshot_at"), F.desc("version")).select("version").first()
+    fs, path = lake._fs(spark, catalog_root)[0], spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    known = spark.read.schema(lake.FILES).parquet(folder(last["version"])) if last and fs.exists(path(folder(last["version"]))) else None
+    version = spark.range(1).select(F.concat(F.lit("snap-"), F.date_format(t, "yyyyMMdd'T'HHmmss"))).first()[0]
+    if last and last["version"] == version:  # twice in a second: its own statistics are being read
+        version += f"-{uuid.uuid4().hex[:8]}"
+    lake.file_stats(spark, lake_root, asset, known).write.mode("overwrite").parquet(folder(version))
+    s = lake.summed(spark.read.schema(lake.FILES).parquet(folder(version)), asset)
+    row = s.select("asset_key", F.lit(version).alias("version"), F.lit(run_id).alias("run_id"), t.alias("snapshot_at"), "row_count", "byte_size", "file_count", "city_count", F.lit(asset.schema_hash).alias("schema_hash"), "latest_data_time")
     row = spark.createDataFrame(row.collect(), row.schema)  # one row
     append(row, catalog_root, "versions")
+    if known is not None:
+        fs.delete(path(folder(last["version"])), True)
     return row
 
 

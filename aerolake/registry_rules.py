@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolake import rounds
 from aerolake.plans import checks
 from aerolake.registry import hours, query, table
+from aerolake.registry_views import _EVENTS, _scratch
+from aerolake.sources import lake
 
 #: Three tables and the rules for them, as a data owner writes them.
 CONFIGURATION = """
@@ -160,3 +163,20 @@ UNION ALL SELECT * FROM (VALUES ('unknown_function', 'error', NULL, 0, 0), ('fai
 def isolated_checks(spark, sf_dir):
     """Five checks, one of which can't be analysed and one of which fails when it runs."""
     return checks.run(_events(spark, sf_dir), _assets()["stream.events"], _FIVE).select("check", "status", "score", "checked", "failed")
+
+
+# --- statistics of changed files ------------------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT event_type || '/' || (user_id % 2) AS city_id, ts, event_id FROM events WHERE event_id % 3 <> 0 OR (event_type = 'click' AND user_id % 2 = 1)), c AS (SELECT DISTINCT city_id FROM l)
+SELECT count(*) AS row_count, (SELECT count(*) FROM c) AS city_count, (SELECT count(*) FROM c) AS file_count, date_trunc('second', min(ts)) AS earliest_data_time, date_trunc('second', max(ts)) AS latest_data_time, CAST(1 AS BIGINT) AS files_read FROM l""")
+def incremental_stats(spark, sf_dir):
+    """Statistics of a lake before and after one of its partitions has changed: the second ones read that file alone."""
+    root = _scratch(spark)
+    e = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("/"), F.col("user_id") % 2).alias("city_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), F.col("event_id").alias("event"), F.col("value"))
+    lake.upsert(e.where("event % 3 <> 0"), root, _EVENTS)
+    before = rounds.cut(lake.file_stats(spark, root, _EVENTS))
+    lake.upsert(e.where("city_id = 'click/1'"), root, _EVENTS)
+    after = lake.file_stats(spark, root, _EVENTS, before)
+    fresh = after.join(before.select("place", "bytes", "modified"), ["place", "bytes", "modified"], "left_anti").agg(F.count("*").alias("files_read"))
+    return lake.summed(after, _EVENTS).crossJoin(fresh).select("row_count", "city_count", "file_count", "earliest_data_time", "latest_data_time", "files_read")  # one row each

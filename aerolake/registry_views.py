@@ -6,8 +6,10 @@ assets; suppliers are columns and files.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -521,7 +523,16 @@ def _scratch(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(base or Path(tempfile.mkdtemp(prefix='lake-')).as_uri()).rstrip('/')}/lake-{uuid.uuid4().hex}"
+    path = f"{(base or Path(tempfile.mkdtemp(prefix='lake-')).as_uri()).rstrip('/')}/lake-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder when the application ends; the session may be gone then."""
+    with suppress(Exception):
+        fs, p = lake._fs(spark, path)
+        fs.delete(p, True)
 
 
 def _upserted(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:

@@ -8,7 +8,7 @@ import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,6 +156,18 @@ def _among(c: str, values: set) -> Column:
     return F.coalesce(hit, F.lit(None in values))
 
 
+#: Partitions up to which a scan names each of them; beyond, each column's values.
+MOST_NAMED = 500
+
+
+def _exactly(parts: list[str], touched: list) -> Column:
+    """Rows of these partitions: by each of them where they are few, else by the values of each column (a little more)."""
+    if len(touched) <= MOST_NAMED:
+        same = [reduce(Column.__and__, (F.col(c).eqNullSafe(F.lit(r[c])) if r[c] is None else F.col(c) == r[c] for c in parts)) for r in touched]
+        return reduce(Column.__or__, same, F.lit(False))
+    return reduce(Column.__and__, (_among(c, {r[c] for r in touched}) for c in parts))
+
+
 REPORT = "asset_key string, rows_received bigint, rows_without_time bigint, rows_merged bigint, rows_written bigint, duplicates_removed bigint, partitions_written int, bytes_written bigint, missing_columns array<string>, extra_columns array<string>, earliest_data_time timestamp_ntz, latest_data_time timestamp_ntz, schema_hash string"
 
 
@@ -164,7 +176,9 @@ def upsert(df: DataFrame, root: str, asset: Asset) -> DataFrame:
     report (one row of REPORT). Touched partitions are written beside the table first and then swapped
     in; if a swap fails, the old ones are put back. Only touched partitions are read. Rows without a
     time are left out and counted; a batch that has no time at all is an error; an empty one writes
-    nothing. A null city is a partition of its own."""
+    nothing. A null city is a partition of its own. What the report counts is observed by the two writes; the rows that
+    were there come from the footers of their files. A table has one writer at a time, and a reader may
+    miss a partition in the moment of its swap."""
     spark = df.sparkSession
     new, missing, extra = aligned(df, asset)
     work = f"{root}/_work/{uuid.uuid4().hex}"
@@ -174,30 +188,30 @@ def upsert(df: DataFrame, root: str, asset: Asset) -> DataFrame:
     if asset.time:
         new = new.withColumns({"year": F.date_format(asset.time, "yyyy"), "month": F.date_format(asset.time, "MM")})
     try:
-        new.write.parquet(f"{work}/new")
-        new = spark.read.schema(new.schema).parquet(f"{work}/new")
         timed = F.col(asset.time).isNotNull() if asset.time else F.lit(True)
         stamp = F.col(asset.time).cast("timestamp_ntz") if asset.time else F.lit(None).cast("timestamp_ntz")
-        received, good, earliest, latest = new.agg(F.count("*"), F.count_if(timed), F.min(stamp), F.max(stamp)).first()
+        arrived = Observation()
+        new.observe(arrived, F.count("*").alias("n"), F.count_if(timed).alias("timed"), F.min(stamp).alias("earliest"), F.max(stamp).alias("latest")).write.parquet(f"{work}/new")
+        received, good, earliest, latest = (arrived.get[k] for k in ("n", "timed", "earliest", "latest"))
+        new = spark.read.schema(new.schema).parquet(f"{work}/new")
         if received and not good:
             raise ValueError(f"no row of {asset.key} has a valid {asset.time}")
         new = new.where(timed)
         touched = new.select(*asset.parts).distinct().collect()  # folders, not rows
-        old = _whole(spark, root, asset)
-        for c in asset.parts:
-            old = old.where(_among(c, {r[c] for r in touched}))
-        same = reduce(lambda a, b: a & b, (F.col(f"o.{c}").eqNullSafe(F.col(f"t.{c}")) for c in asset.parts))
-        wanted = spark.createDataFrame(touched, _parts_schema(asset))
-        old = old.alias("o").join(F.broadcast(wanted.alias("t")) if len(touched) <= 100_000 else wanted.alias("t"), same, "left_semi")
+        old = _whole(spark, root, asset).where(_exactly(asset.parts, touched))
+        if len(touched) > MOST_NAMED:
+            same = reduce(lambda a, b: a & b, (F.col(f"o.{c}").eqNullSafe(F.col(f"t.{c}")) for c in asset.parts))
+            old = old.alias("o").join(spark.createDataFrame(touched, _parts_schema(asset)).alias("t"), same, "left_semi")
         old = old.withColumns({"_at": F.lit(0), "_seq": F.lit(0).cast("long")})
         merged = keep_last(old.unionByName(new), list(asset.primary_key), ["_at", "_seq"]).drop("_at", "_seq")
         out = merged.repartition(*asset.parts).sortWithinPartitions(*asset.parts, *([asset.time] if asset.time else []))
-        before, size, leaves = old.count(), 0, []
+        before, written, size, leaves = old.count(), 0, 0, []
         if good:
-            out.write.partitionBy(*asset.parts).option("compression", "zstd").parquet(f"{work}/out")
+            put = Observation()
+            out.observe(put, F.count("*").alias("n")).write.partitionBy(*asset.parts).option("compression", "zstd").parquet(f"{work}/out")
+            written = put.get["n"]
             leaves = _leaves(fs, path(f"{work}/out"), len(asset.parts))
             size = sum(x.getLen() for leaf in leaves for x in fs.listStatus(leaf))
-        written = spark.read.parquet(f"{work}/out").count() if leaves else 0
         inner = ["/".join(str(leaf).rsplit("/", len(asset.parts))[1:]) for leaf in leaves]
         _swap(fs, [(leaf, path(f"{root}/{asset.key}/{name}"), path(f"{work}/old/{name}")) for leaf, name in zip(leaves, inner, strict=True)])
     finally:
@@ -222,6 +236,38 @@ def dataset_stats(spark: SparkSession, root: str, asset: Asset) -> DataFrame:
     return rows.crossJoin(files).select(F.lit(asset.key).alias("asset_key"), "*")  # one row each
 
 
+FILES = "asset_key string, place string, file string, bytes bigint, modified timestamp, city string, rows bigint, earliest timestamp_ntz, latest timestamp_ntz"
+
+
+def file_stats(spark: SparkSession, root: str, asset: Asset, known: DataFrame | None = None) -> DataFrame:
+    """Statistics of every file of an asset (FILES). Files that ``known`` (an earlier result) has with the same size and time are
+    taken from there, others are read, and those that are gone are left out: what is read grows with what has changed. A file's
+    ``place`` is its partition and name."""
+    name = F.concat_ws("/", *(F.coalesce(F.col(c), F.lit("")) for c in asset.parts), F.element_at(F.split("file", "/"), -1))
+    listed = partitions(spark, root, asset).withColumn("place", name)
+    have = (known if known is not None else spark.createDataFrame([], FILES)).where(F.col("asset_key") == asset.key)
+    same = ["place", "bytes", "modified"]
+    kept = have.join(listed.select(*same), same, "left_semi").select(*(c.split()[0] for c in FILES.split(", ")))
+    changed = listed.join(have.select(*same), same, "left_anti")
+    paths = [r["file"] for r in changed.select("file").collect()]  # names of files
+    if not paths:
+        return kept
+    time = F.col(asset.time).cast("timestamp_ntz") if asset.time else F.lit(None).cast("timestamp_ntz")
+    schema = T.StructType(asset.schema.fields + _parts_schema(asset).fields)
+    rows = spark.read.schema(schema).option("basePath", f"{root}/{asset.key}").parquet(*paths)
+    rows = rows.select(F.concat_ws("/", *(F.coalesce(F.col(c), F.lit("")) for c in asset.parts), "_metadata.file_name").alias("place"), time.alias("t"))
+    sums = rows.groupBy("place").agg(F.count("*").alias("rows"), F.min("t").alias("earliest"), F.max("t").alias("latest"))
+    fresh = changed.join(sums, "place", "left").select(F.lit(asset.key).alias("asset_key"), "place", "file", "bytes", "modified", "city", F.coalesce("rows", F.lit(0)).alias("rows"), "earliest", "latest")
+    return kept.unionByName(fresh)
+
+
+def summed(files: DataFrame, asset: Asset) -> DataFrame:
+    """The row of ``dataset_stats`` from the statistics of an asset's files."""
+    folder = F.regexp_replace("place", "/[^/]*$", "")
+    d = files.where(F.col("asset_key") == asset.key).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"), F.min("earliest").alias("earliest_data_time"), F.max("latest").alias("latest_data_time"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("byte_size"), F.count("*").alias("file_count"), F.count_distinct(folder).alias("partition_count"), F.count_distinct("city").alias("city_count"))
+    return d.select(F.lit(asset.key).alias("asset_key"), "*")
+
+
 def rows_of(columnar: DataFrame, variables: dict[str, str], payload: str = "body") -> DataFrame:
     """Rows of columnar JSON ({"hourly": {"time": [...], "v": [...]}}); short arrays end in nulls."""
     kinds = ", ".join(f"{v}: array<{t}>" for v, t in {"time": "string", **variables}.items())
