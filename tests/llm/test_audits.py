@@ -140,6 +140,8 @@ def brute_divergence(rows):
 @pytest.mark.parametrize(("in_flight", "block"), [(source_audit.IN_FLIGHT, source_audit.BLOCK), (1, 7), (40_000, 300)])
 def test_source_divergence(spark, in_flight, block):
     docs, rows = documents(spark)
+    if in_flight == 1:  # a shuffle for each round: fewer sources
+        docs, rows = docs.where("source IS NULL OR source < 'src14'"), [r for r in rows if r[3] is None or r[3] < "src14"]
     got = source_audit.audit(docs, in_flight, block).collect()
     assert Counter(map(tuple, got)) == Counter(brute_divergence(rows))
     assert {"xx", "", "yy"} <= {r["lang"] for r in got}
