@@ -204,12 +204,15 @@ def long(df: DataFrame, metrics: list[str], keep: list[str]) -> DataFrame:
     return df.select(*keep, F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics)))).where("value IS NOT NULL AND NOT isnan(value)")
 
 
-def distribution(df: DataFrame, metrics: list[str], entity: str) -> DataFrame:
+def distribution(df: DataFrame, metrics: list[str], entity: str, bins: int | None = None) -> DataFrame:
     """Description and boxplot of each metric over all entities (entity null) and by entity, in one job: a row
-    counts twice, for its entity and for all."""
+    counts twice, for its entity and for all. With ``bins`` the histogram as well: an array in the order of the bins."""
     d = long(df, metrics, [entity]).select("metric", F.explode(F.array(F.col(entity).cast("string"), F.lit(None).cast("string"))).alias("entity"), "value")
     d = d.withColumn("entity", F.coalesce("entity", F.lit("")))
     out = describe(d, "value", ["metric", "entity"]).join(boxplot(d, "value", ["metric", "entity"]).drop("median"), ["metric", "entity"])
+    if bins:
+        bars = histogram(d, "value", ["metric", "entity"], bins)
+        out = out.join(bars.groupBy("metric", "entity").agg(F.array_sort(F.collect_list(F.struct("bin", "left_edge", "right_edge", "n", "percent"))).alias("histogram")), ["metric", "entity"])  # bins of them
     return out.withColumn("entity", F.when(F.col("entity") != "", F.col("entity")))
 
 
@@ -224,13 +227,24 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def relationship(df: DataFrame, x: str, y: str, entity: str) -> DataFrame:
-    """Correlations and regression of y on x over all rows (entity null) and by entity, with strengths in words;
-    curve and points are ``binned_curve`` and ``thinned``."""
+    """Correlations and regression of y on x over all rows (entity null) and by entity, with strengths in words."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.explode(F.array(F.col(entity).cast("string"), F.lit(None).cast("string"))).alias("entity"), x, y)
     out = pair(d.withColumn("entity", F.coalesce("entity", F.lit(""))), x, y, ["entity"])
     return out.withColumns({"entity": F.when(F.col("entity") != "", F.col("entity")), "pearson_label": S.correlation_label(F.col("pearson")), "spearman_label": S.correlation_label(F.col("spearman"))})
 
 
+def relationship_report(df: DataFrame, x: str, y: str, entity: str, bins: int = 10, points: int = 600, labels: tuple[str, str] | None = None) -> DataFrame:
+    """``relationship`` with its sentence and, over all rows (entity null), the binned curve of y on x and about ``points``
+    of the pairs, every n-th by x and y."""
+    d = relationship(df, x, y, entity).withColumn("said", interpretation(F.col("pearson"), F.col("spearman"), *(labels or (x, y))))
+    curve = binned_curve(df, x, y, bins).agg(F.array_sort(F.collect_list(F.struct("bin", "mean", "median", "n"))).alias("curve"))
+    some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.lit(0).alias("_every"), x, y)
+    drawn = thinned(some, ["_every"], [x, y], points).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("points"))  # under 2 * points
+    both = curve.crossJoin(drawn)  # one row each
+    whole = d.where("entity IS NULL").crossJoin(both)
+    return whole.unionByName(d.where("entity IS NOT NULL").withColumns({"curve": F.lit(None).cast(both.schema["curve"].dataType), "points": F.lit(None).cast(both.schema["points"].dataType)}))
+
+
 def interpretation(pearson_r: Column, spearman_r: Column, x_label: str, y_label: str) -> Column:
     """A few words on a relation: how strong it is on a line and by ranks, and which of the two fits better."""
     two = lambda r: F.format_number(r, 2)

@@ -68,8 +68,8 @@ def found_episodes(df, threshold=100.0, gap=3, shortest=2, limit=30, value="chin
     return episodes.ranked(episodes.episodes(df, value, threshold, gap, shortest), limit)
 
 
-def relationship(df, x="wind_speed_10m", y="pm2_5", **_):
-    return stats.relationship(df, x, y, "city_id")
+def relationship(df, x="wind_speed_10m", y="pm2_5", bins=10, **_):
+    return stats.relationship_report(df, x, y, "city_id", bins)
 
 
 def compliance(df, ceiling=100.0, target=80.0, metric="china_aqi", **_):

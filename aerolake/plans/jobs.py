@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.operators import joins
-from aerolake.plans import summary
+from aerolake.plans import derive, summary
 from aerolake.sources import endpoints, lake
 
 # The stages of each scope.
@@ -58,6 +59,32 @@ def located(cities: DataFrame, answers: DataFrame, most_km: float = 100.0) -> Da
     return best.select("city_id", "b.*", "km", F.coalesce(F.col("km") >= most_km, F.lit(True)).alias("far"))
 
 
+#: Hours before the first derived one whose values its means take in.
+LEAD_HOURS = 23
+
+
+def _earlier(start: str | None, hours: int) -> str | None:
+    return None if start is None else (datetime.fromisoformat(start) - timedelta(hours=hours)).isoformat()
+
+
+def derive_hourly(spark: SparkSession, root: str, forecast: lake.Asset, archive: lake.Asset, air: lake.Asset, target: lake.Asset, cities: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """From the lake to the lake: weather and air quality of a window fused, with indices and measures, merged into ``target``. The report of the
+    upsert is returned. Hours before the window are read for the means and not written. Without any source row nothing is."""
+    some = lambda a: lake.scan(spark, root, a, cities, _earlier(start, LEAD_HOURS), end)
+    d = derive.hourly(derive.fused(some(forecast), some(archive), some(air)))
+    d = d.where(F.col("time") >= F.lit(start).cast("timestamp_ntz")) if start else d
+    return lake.upsert(d, root, target)
+
+
+def derive_daily(spark: SparkSession, root: str, hourly: lake.Asset, target: lake.Asset, cities: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """From the hourly table of the lake to the daily one, whole days only: the window begins and ends with its days.
+    The report of the upsert is returned."""
+    d = lake.scan(spark, root, hourly, cities, _earlier(start and start[:10], LEAD_HOURS), end and f"{end[:10]}T23:59:59")
+    d = derive.daily(d)
+    d = d.where(F.col("date") >= F.lit(start[:10]).cast("date")) if start else d
+    return lake.upsert(d, root, target)
+
+
 @dataclass(frozen=True)
 class Job:
     """run() does the work and returns the number of rows written; ``needs`` names jobs that come first."""

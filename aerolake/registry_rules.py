@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolake import rounds
-from aerolake.plans import checks
-from aerolake.registry import hours, query, table
+from aerolake.operators import similar, stats
+from aerolake.plans import checks, jobs
+from aerolake.registry import _FEATURES, features, hours, query, rounded, table
 from aerolake.registry_views import _EVENTS, _scratch
 from aerolake.sources import lake
 
@@ -180,3 +181,70 @@ def incremental_stats(spark, sf_dir):
     after = lake.file_stats(spark, root, _EVENTS, before)
     fresh = after.join(before.select("place", "bytes", "modified"), ["place", "bytes", "modified"], "left_anti").agg(F.count("*").alias("files_read"))
     return lake.summed(after, _EVENTS).crossJoin(fresh).select("row_count", "city_count", "file_count", "earliest_data_time", "latest_data_time", "files_read")  # one row each
+
+
+# --- jobs from the lake to the lake --------------------------------------------------------------------------
+
+_WEATHER = {"temperature_2m": "double", "relative_humidity_2m": "double", "wind_speed_10m": "double", "precipitation": "double"}
+_AIR = {c: "double" for c in ("pm2_5", "pm10", "ozone", "nitrogen_dioxide", "sulphur_dioxide", "carbon_monoxide", "european_aqi")}
+_KEY = {"city_id": "string", "time": "timestamp"}
+_FORECAST = lake.Asset("forecast", _KEY | _WEATHER | {"is_forecast": "integer"}, ("city_id", "time"))
+_ARCHIVE = lake.Asset("archive", _KEY | _WEATHER, ("city_id", "time"))
+_AIR_QUALITY = lake.Asset("air", _KEY | _AIR, ("city_id", "time"))
+_HOURLY = lake.Asset("hourly", _KEY | _WEATHER | _AIR | {"is_forecast": "integer", "china_aqi": "double", "aqi_level": "string", "is_stagnant": "integer", "comfort_index": "double"}, ("city_id", "time"))
+_DAILY = lake.Asset("daily", {"city_id": "string", "date": "date", "temp_max": "double", "precipitation_sum": "double", "wind_speed_avg": "double", "pm2_5": "double", "ozone": "double", "aqi_max": "double", "obs_hours": "integer"}, ("city_id", "date"), "date")
+
+
+@query("""WITH h AS (SELECT event_type AS city_id, date_trunc('hour', ts) AS time, max(value) AS v, count(*) AS n FROM events GROUP BY 1, 2),
+f AS (SELECT *, v + 100 AS t, 8.0 AS w FROM h WHERE hour(time) < 8), a AS (SELECT *, v AS t, 4.0 AS w FROM h WHERE hour(time) BETWEEN 6 AND 20), q AS (SELECT * FROM h WHERE hour(time) % 12 <> 0),
+u AS (SELECT coalesce(f.city_id, a.city_id, q.city_id) AS city_id, coalesce(f.time, a.time, q.time) AS time, coalesce(f.t, a.t) AS t, coalesce(f.w, a.w) AS w, q.v AS p, CASE WHEN q.v IS NOT NULL THEN q.v * 2 END AS o
+    FROM f FULL JOIN a ON f.city_id = a.city_id AND f.time = a.time FULL JOIN q ON coalesce(f.city_id, a.city_id) = q.city_id AND coalesce(f.time, a.time) = q.time),
+m AS (SELECT *, CASE WHEN count(o) OVER w8 = 8 THEN avg(o) OVER w8 END AS o8 FROM u WINDOW w8 AS (PARTITION BY city_id ORDER BY time ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
+SELECT city_id, strftime(time, '%Y-%m-%d') AS date, round(max(t), 4) AS temp_max, round(avg(w), 4) AS wind, round(avg(p), 4) AS pm2_5, round(max(o8), 4) AS ozone, count(*) AS obs_hours FROM m
+WHERE city_id IN ('click', 'view') AND time >= TIMESTAMP '2024-01-10' AND time < TIMESTAMP '2024-01-16' GROUP BY 1, 2""")
+def lake_jobs(spark, sf_dir):
+    """Three collected tables in a lake, the hourly and the daily job over a window of it, and what the daily table holds."""
+    root = _scratch(spark)
+    h = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("city_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time")).agg(F.max("value").alias("v"))
+    h = rounds.cut(h)
+    weather = lambda t, w: {"temperature_2m": t, "relative_humidity_2m": F.lit(50.0), "wind_speed_10m": F.lit(w), "precipitation": F.lit(0.0)}
+    lake.upsert(h.where(F.hour("time") < 8).withColumns(weather(F.col("v") + 100, 8.0) | {"is_forecast": F.lit(1)}), root, _FORECAST)
+    lake.upsert(h.where(F.hour("time").between(6, 20)).withColumns(weather(F.col("v"), 4.0)), root, _ARCHIVE)
+    lake.upsert(h.where(F.hour("time") % 12 != 0).withColumns({c: F.col("v") * (2 if c == "ozone" else 1) for c in _AIR}), root, _AIR_QUALITY)
+    window = {"cities": ["click", "view"], "start": "2024-01-10T00:00:00", "end": "2024-01-15T23:00:00"}
+    jobs.derive_hourly(spark, root, _FORECAST, _ARCHIVE, _AIR_QUALITY, _HOURLY, window["cities"], "2024-01-09T00:00:00", window["end"])
+    jobs.derive_daily(spark, root, _HOURLY, _DAILY, **window)
+    d = lake.scan(spark, root, _DAILY)
+    return rounded(d.select("city_id", F.col("date").cast("string").alias("date"), "temp_max", F.col("wind_speed_avg").alias("wind"), "pm2_5", "ozone", "obs_hours"))
+
+
+# --- reports and blocks -----------------------------------------------------------------------------------------
+
+
+@query("""WITH x AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem), e AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM x),
+b AS (SELECT CAST(least(floor((x - lo) / (hi - lo) * 7), 6) AS INT) AS bin, count(*) AS n, avg(y) AS m, median(y) AS h FROM x, e GROUP BY 1), p AS (SELECT x, y, row_number() OVER (ORDER BY x, y) - 1 AS k FROM x)
+SELECT bin, n, round(m, 2) AS mean, round(h, 2) AS median, (SELECT count(*) FROM p, e WHERE k % greatest(1, e.n // 500) = 0) AS points, (SELECT round(sum(x), 2) FROM p, e WHERE k % greatest(1, e.n // 500) = 0) AS sum_x FROM b""")
+def relationship_report(spark, sf_dir):
+    """The curve of price over quantity and how many points are drawn, from the one report."""
+    d = stats.relationship_report(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag", 7, 500).where("entity IS NULL")
+    total = F.aggregate("points", F.lit(0.0), lambda a, p: a + p["x"])
+    return rounded(d.select(F.size("points").cast("bigint").alias("points"), total.alias("sum_x"), F.inline("curve")).select("bin", "n", "mean", "median", "points", "sum_x"), 2)
+
+
+_BARS = "x AS (SELECT 'l_quantity' AS metric, l_returnflag AS entity, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_tax', l_returnflag, l_tax FROM lineitem), a AS (SELECT * FROM x UNION ALL SELECT metric, NULL, v FROM x)"
+
+
+@query(f"""WITH {_BARS}, e AS (SELECT metric, entity, min(v) AS lo, max(v) AS hi FROM a GROUP BY 1, 2), n AS (SELECT a.metric, a.entity, least(floor((v - lo) / ((hi - lo) / 9)), 8) AS bin, count(*) AS n FROM a JOIN e ON a.metric = e.metric AND a.entity IS NOT DISTINCT FROM e.entity GROUP BY 1, 2, 3)
+SELECT e.metric, e.entity, CAST(g.bin AS INT) AS bin, coalesce(n.n, 0) AS n FROM e CROSS JOIN range(9) g(bin) LEFT JOIN n ON n.metric = e.metric AND n.entity IS NOT DISTINCT FROM e.entity AND n.bin = g.bin""")
+def distribution_histogram(spark, sf_dir):
+    d = stats.distribution(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"], "l_returnflag", 9)
+    return d.select("metric", "entity", F.inline("histogram")).select("metric", "entity", "bin", "n")
+
+
+@query(f"""WITH {_FEATURES}, c AS (SELECT z.entity, n_regionkey AS c, a, b FROM z JOIN nation ON n_name = entity),
+t AS (SELECT x.entity, x.c, y.c AS o, avg(sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2))) AS m FROM c x JOIN c y ON x.entity <> y.entity GROUP BY 1, 2, 3),
+s AS (SELECT entity, max(m) FILTER (c = o) AS own, min(m) FILTER (c <> o) AS near FROM t GROUP BY 1) SELECT round(avg((near - own) / greatest(near, own)), 4) AS silhouette, count(*) AS n FROM s WHERE own IS NOT NULL AND near IS NOT NULL""")
+def region_silhouette(spark, sf_dir):
+    """How well the regions part the nations by their orders."""
+    clusters = table(spark, sf_dir, "nation").select(F.col("n_name").alias("entity"), F.col("n_regionkey").cast("int").alias("cluster"))
+    return rounded(similar.silhouette(features(spark, sf_dir), clusters, 8))
