@@ -8,8 +8,8 @@ matrix product, unless the sizes of their sets are too far apart for any link. A
 spanning forest. Classes are the connected components of those edges.
 
 Cases: a text of 1 to N - 1 words has one n-gram, all its words; null texts and texts without a word
-have no n-gram, no link, and are a class of their own; rows with a null doc_id are not searched, have
-a null class and no link; repeated rows are copies of each other; very long texts are hashed whole, in
+have no n-gram, no link, and are a class of their own; rows with a null doc_id have their links, and the least doc_id
+of their class, which is null where all its ids are; repeated rows are copies of each other; very long texts are hashed whole, in
 blocks of whole texts; at the similarity itself there is a link, and of equal labels the least doc_id names
 the class; an empty table gives an empty result; further columns, whatever their names, are ignored.
 """
@@ -206,8 +206,16 @@ def _blocks(shared: DataFrame, similarity: float) -> DataFrame:
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = N) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and n_links (other documents that reach the
     similarity) of every row."""
-    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    signed = common.stage(signatures(known, similarity, recall, n))
+    docs = docs.select("doc_id", "text")
+    if docs.where("doc_id IS NULL").isEmpty():
+        return _join(docs, similarity, recall, n)
+    out = _join(common.keyed(docs), similarity, recall, n)
+    return out.select("doc_id.id", "class_id.id", "n_links").toDF("doc_id", "class_id", "n_links")
+
+
+def _join(docs: DataFrame, similarity: float, recall: float, n: int) -> DataFrame:
+    """The same for ids of any type that are never null."""
+    signed = common.stage(signatures(docs, similarity, recall, n))
     nodes = common.stage(signed.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("grams").alias("grams"), F.first("bands").alias("bands")))
     bands = nodes.select("node", "grams", F.explode("bands").alias("band"))
     popular = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -228,15 +236,13 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
     info = common.stage(info.where("copies > 1 OR links > 0").select("node", F.coalesce("label", "node").alias("label"), "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     firsts = info.groupBy("label").agg(F.min("first_id").alias("class_id"))
     info = common.stage(info.join(firsts, "label").select("node", "class_id", "n_links"))
-    out = signed.select("doc_id", "node").join(info, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    unknown = docs.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return out.unionAll(unknown)
+    return signed.select("doc_id", "node").join(info, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without those that aren't the first of their class, whatever their ids."""
     docs = common.keyed(docs)
-    classes = common.stage(join(docs))
+    classes = common.stage(_join(docs.select("doc_id", "text"), SIMILARITY, RECALL, N))
     kept = common.without(docs, classes.where("doc_id <> class_id").select("doc_id"))
     if not classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").isEmpty():
         # Rows that share an id and a text: a single one stays.

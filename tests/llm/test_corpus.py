@@ -194,6 +194,14 @@ def test_jaccard_join(docs, empty):
     assert Counter(kept) == Counter([None, *{v for v in first.values()}])
 
 
+def test_jaccard_join_of_rows_without_an_id(spark):
+    """Null ids have their links; a class is named by its least id, or by none."""
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, a), (7, a), (9, a + " more"), (None, b), (None, b), (None, "alone here"), (None, None), (3, "x")]
+    got = jaccard_join.join(spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, node string"))
+    assert Counter(map(tuple, got.collect())) == Counter([(None, 7, 2), (7, 7, 2), (9, 7, 2), (None, None, 1), (None, None, 1), (None, None, 0), (None, None, 0), (3, 3, 0)])
+
+
 def test_jaccard_join_of_split_groups(spark, monkeypatch):
     """A group of near copies of many sizes, in blocks of three: every link between blocks is found."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
