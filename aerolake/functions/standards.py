@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
 # European index bands (upper bound included) and the levels.
 LEVELS = ["优", "良", "轻度污染", "中度污染", "重度污染", "严重污染"]
@@ -98,25 +97,28 @@ def china_aqi_level(v: Column) -> Column:
     return _banded(v, CHINA_BOUNDS, LEVELS)
 
 
-def _segment(v: Column, ends: list[float]) -> Column:
-    """The number, from 1, of the first end that v doesn't exceed; one more than the ends beyond the last. A search in
-    a sorted array: chains of conditions over all sub-indices make a method that the JVM won't compile."""
-    at = InternalFunction.array_binary_search(F.lit([float(x) for x in ends]), v)
-    return F.when(at >= 0, at + 1).otherwise(-at)
-
-
-def _line(v: Column, i: Column, from_: list[float], low: list[float], width: list[float], rise: list[float]) -> Column:
-    """from_ + (v - low) / width * rise, of segment i."""
-    of = lambda xs: F.get(F.lit([float(x) for x in xs]), i - 1)
-    return of(from_) + (v - of(low)) / of(width) * of(rise)
+def _pieces(v: Column, ends: list[float], lines: list[Column]) -> Column:
+    """The line of the first end that v doesn't exceed; nothing beyond the last."""
+    out = None
+    for end, line in zip(ends, lines, strict=True):
+        out = F.when(v <= end, line) if out is None else out.when(v <= end, line)
+    return out
 
 
 def pollutant_load(v: Column, pollutant: str) -> Column:
     """Position among the breakpoints: piecewise linear, 6 above the last, null if negative."""
     ends = LOAD_POINTS[pollutant]
-    low = [0.0, *ends[:-1]]
-    line = _line(v, _segment(v, ends), list(range(len(ends))), low, [b - a for a, b in zip(low, ends, strict=True)], [1.0] * len(ends))
-    return F.when(~F.isnan(v) & (v >= 0), F.when(v > ends[-1], float(len(ends) + 1)).otherwise(line))
+    lines = [i + (v - lo) / (hi - lo) for i, (lo, hi) in enumerate(zip([0.0, *ends[:-1]], ends, strict=True))]
+    return F.when(~F.isnan(v) & (v >= 0), F.coalesce(_pieces(v, ends, lines), F.lit(float(len(ends) + 1))))
+
+
+def compilable(df: DataFrame) -> DataFrame:
+    """df in a session that has no method beyond 8,000 bytes generated: the JVM compiles none of those but interprets
+    them, some five times as slow. Expressions of many break points are split into smaller methods then."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if int(df.sparkSession.conf.get(key)) > 8000:
+        df.sparkSession.conf.set(key, "8000")
+    return df
 
 
 def _best(values: list[Column]) -> Column:
@@ -153,7 +155,7 @@ def iaqi(v: Column, pollutant: str) -> Column:
     x = v / 1000.0 if pollutant == "carbon_monoxide" else v
     # Segments without a width are only reached by the end of the one before.
     parts = [(lo, hi, a, b) for lo, hi, a, b in zip(IAQI_POINTS[pollutant], IAQI_POINTS[pollutant][1:], IAQI_SCALE, IAQI_SCALE[1:], strict=False) if hi > lo]
-    line = _line(x, _segment(x, [p[1] for p in parts]), [p[2] for p in parts], [p[0] for p in parts], [p[1] - p[0] for p in parts], [p[3] - p[2] for p in parts])
+    line = _pieces(x, [p[1] for p in parts], [a + (x - lo) / (hi - lo) * (b - a) for lo, hi, a, b in parts])
     return F.when(~F.isnan(v) & (v >= 0), F.when(x >= IAQI_POINTS[pollutant][-1], 500.0).otherwise(F.round(line, 2)))
 
 

@@ -39,7 +39,11 @@ def summed(df: DataFrame, by: list[str], order: list[str], amount: Column, befor
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "p", total: str | None = None) -> DataFrame:
-    """df with the number (from 1) of each row in its group's order, and the rows of the group."""
+    """df with the number (from 1) of each row in its group's order, and the rows of the group. Groups of up to HOT rows
+    are numbered by plain windows."""
+    if by and largest(df, by) <= HOT:
+        d = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
+        return d.withColumn(total, F.count("*").over(Window.partitionBy(*by))) if total else d
     d = summed(df, by, order, F.lit(1), name, total)
     return d.withColumn(name, F.col(name) + 1)
 

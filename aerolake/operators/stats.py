@@ -75,14 +75,20 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def average_ranks(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """Ranks with ties averaged, one column ``rank_<c>`` for each: the distinct values of all groups are dealt by ranges, counted,
-    and each begins after what the ranges before hold of its group, so that neither a value's rows nor a group's
-    values need meet. Few distinct values (their bytes are counted) are broadcast to the rows."""
-    out = df
+    """Ranks with ties averaged, one column ``rank_<c>`` for each. In groups of up to ``places.HOT`` rows the counts of the distinct
+    values are put in order by group. Beyond, they are dealt by ranges, and each begins after what the ranges before hold of
+    its group, so that neither a value's rows nor a group's values need meet; few distinct values (their bytes are
+    counted) are broadcast to the rows."""
+    hot, out = places.largest(df, by) > places.HOT, df
     for c in columns:
-        counts = places.summed(df.groupBy(*by, c).agg(F.count("*").alias("_n")), by, [c], F.col("_n"), "_before")
-        ranks = rounds.small(rounds.cut(counts.select(*by, c, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(f"rank_{c}"))))
-        out = places.on(out, ranks, [*by, c])
+        counts = df.groupBy(*by, c).agg(F.count("*").alias("_n"))
+        if hot:
+            ranks = places.summed(counts, by, [c], F.col("_n"), "_before")
+        else:
+            before = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+            ranks = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        ranks = ranks.select(*by, c, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(f"rank_{c}"))
+        out = places.on(out, rounds.small(rounds.cut(ranks)) if hot else ranks, [*by, c])
     return out
 
 

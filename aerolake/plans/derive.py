@@ -25,7 +25,7 @@ def fused(forecast: DataFrame, archive: DataFrame, air: DataFrame) -> DataFrame:
 def hourly(df: DataFrame) -> DataFrame:
     """Indices, levels and weather measures of every hour; particles as means of 24 rows, ozone of 8. The
     largest sub-index and load are columns of a projection of their own, so that each is computed once."""
-    d = trailing_means(df, {"_pm25": ("pm2_5", 24), "_pm10": ("pm10", 24), "_o3": ("ozone", 8)}, "city_id")
+    d = trailing_means(S.compilable(df), {"_pm25": ("pm2_5", 24), "_pm10": ("pm10", 24), "_o3": ("ozone", 8)}, "city_id")
     d = d.withColumns({"_iaqi": S.best_iaqi(_indices(F.col("_pm25"), F.col("_pm10"), F.col("_o3"))), "_load": S.best_load({k: F.col(k) for k in S.LOAD_POINTS})})
     china = S.china_of(F.col("_iaqi"), list(S.IAQI_POINTS))
     d = d.withColumns({

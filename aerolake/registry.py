@@ -338,7 +338,7 @@ bl AS (SELECT rid, CASE WHEN max(x) > 0.5 THEN arg_max(label, struct_pack(x := x
 
 @query(f"WITH {GRID}, {_sql_indices('g', 'g')} SELECT l_orderkey, l_linenumber, round(aqi, 1) AS aqi, {_CHINA.format(c='aqi', null=repr(''))} AS level, {_EURO.format(c='european_aqi')} AS european_level, load_primary FROM g LEFT JOIN bi USING (rid) LEFT JOIN bl USING (rid)")
 def air_indices(spark, sf_dir):
-    d = grid(spark, sf_dir)
+    d = S.compilable(grid(spark, sf_dir))
     d = d.withColumns({"best": S.best_iaqi({k: F.col(k) for k in S.IAQI_POINTS}), "load": S.best_load({k: F.col(k) for k in S.LOAD_POINTS})})
     c = S.china_of(F.col("best"), list(S.IAQI_POINTS))
     return rounded(d.select("l_orderkey", "l_linenumber", c["aqi"].alias("aqi"), c["level"].alias("level"), S.aqi_level(F.col("european_aqi")).alias("european_level"), S.primary_of(F.col("load"), list(S.LOAD_POINTS)).alias("load_primary")), 1)

@@ -52,7 +52,9 @@ def test_statistics_of_hot_groups(spark, monkeypatch):
     assert make() == plain
 
 
-def test_ranks(spark):
+@pytest.mark.parametrize("hot", [10, 2_000_000])
+def test_ranks(spark, monkeypatch, hot):
+    monkeypatch.setattr(places, "HOT", hot)
     rows = [(k, v, float(i % 5)) for k, vs in samples().items() for i, v in enumerate(vs)]
     df = spark.createDataFrame(rows, "k string, v double, w double").cache()
     own = lambda c: F.rank().over(Window.partitionBy("k").orderBy(c)) + (F.count("*").over(Window.partitionBy("k", c)) - 1) / 2.0
@@ -73,8 +75,9 @@ def series(spark):
     return spark.createDataFrame(rows, "entity string, time long, value double, p_ double").repartition(6).cache(), rows
 
 
-@pytest.mark.parametrize("piece", [100, 100_000])
-def test_trailing_means_in_pieces(spark, piece):
+@pytest.mark.parametrize(("piece", "hot"), [(100, 10), (100_000, 2_000_000)])
+def test_trailing_means_in_pieces(spark, monkeypatch, piece, hot):
+    monkeypatch.setattr(places, "HOT", hot)
     df, _ = series(spark)
     got = patterns.trailing_means(df, {"a": ("value", 24), "b": ("p_", 8)}, piece=piece)
     assert sorted(got.columns) == sorted([*df.columns, "a", "b"])
@@ -84,9 +87,10 @@ def test_trailing_means_in_pieces(spark, piece):
         assert (x["entity"], x["time"]) == (y["entity"], y["time"]) and (x["a"] == pytest.approx(y["a"]) if y["a"] is not None else x["a"] is None) and (x["b"] == pytest.approx(y["b"]) if y["b"] is not None else x["b"] is None)
 
 
-@pytest.mark.parametrize(("piece", "threshold"), [(4, 40.0), (100, 40.0), (100_000, 40.0), (100, -1.0), (100, 1e9)])
-def test_episodes_in_pieces(spark, piece, threshold):
+@pytest.mark.parametrize(("piece", "threshold", "hot"), [(4, 40.0, 10), (100, 40.0, 2_000_000), (100_000, 40.0, 10), (100, -1.0, 10), (100, 1e9, 10)])
+def test_episodes_in_pieces(spark, monkeypatch, piece, threshold, hot):
     """A series in 64 and more pieces; episodes over several pieces, bridges over borders, and none at all."""
+    monkeypatch.setattr(places, "HOT", hot)
     df, rows = series(spark)
     want = set()
     for e in {r[0] for r in rows}:
@@ -108,8 +112,9 @@ def test_episodes_in_pieces(spark, piece, threshold):
     assert [r["place"] for r in order] == list(range(1, len(got) + 1))
 
 
-def test_no_task_gets_a_whole_group(spark):
+def test_no_task_gets_a_whole_group(spark, monkeypatch):
     """One entity with all rows: its rows lie in many tasks after the numbering."""
+    monkeypatch.setattr(places, "HOT", 10)
     df = spark.range(0, 50_000, 1, 8).select(F.lit("one").alias("k"), F.col("id").alias("t"))
     sizes = [r["count"] for r in places.numbered(df, ["k"], ["t"]).withColumn("part", F.expr("p % 1")).groupBy(F.floor((F.col("p") - 1) / 1000)).count().collect()]
     assert sizes == [1000] * 50
