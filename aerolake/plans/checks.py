@@ -400,7 +400,8 @@ def outcome(df: DataFrame, asset: Asset, checks: list[Compiled]) -> DataFrame:
             return S.linear_score(F.least(F.lit(1.0), F.try_divide("own", "checked") / c.rates[0]), 1.0, c.rates[1] / c.rates[0])
         return F.when(F.col("owners") > 0, F.try_divide("own", "owners")).otherwise(line(c))
 
-    d = total.withColumn("score", F.round(F.when(F.col("checked") > 0, of(score, F.lit(0.0))), 2))
+    # A little up, so that a mean that should lie on a half isn't moved by the order of its sum.
+    d = total.withColumn("score", F.round(F.when(F.col("checked") > 0, of(score, F.lit(0.0))) + 1e-9, 2))
     status = F.when(F.col("score").isNull(), "skipped").when(F.col("score") >= quality.PASS, "passed").when(F.col("score") >= quality.WARN, "warning").otherwise("failed")
     message = F.when(F.col("score").isNull(), "nothing to judge").otherwise(F.concat_ws(" ", F.col("failed").cast("string"), F.lit("of"), F.col("checked").cast("string"), F.lit("fail")))
     return d.select("check", of(lambda c: F.lit(c.dimension), F.lit("")).alias("dimension"), of(lambda c: F.lit(c.severity), F.lit("")).alias("severity"), status.alias("status"), "score", F.coalesce("checked", F.lit(0)).cast("bigint").alias("checked"), F.coalesce("failed", F.lit(0)).cast("bigint").alias("failed"), "samples", message.alias("message"))

@@ -124,10 +124,10 @@ _STATUS = "CASE WHEN score IS NULL THEN 'skipped' WHEN score >= 90 THEN 'passed'
 
 
 @query(f"""WITH {_JUDGED},
-r AS (SELECT asset, "check", ROUND(CASE WHEN "check" = 'completeness.null_rate' THEN each ELSE greatest(0, least(100, ROUND((fail - failed / checked) / (fail - warn) * 100, 2))) END, 2) AS score, checked, failed, coalesce(samples, '') AS samples FROM c LEFT JOIN s USING (asset, "check")
-UNION ALL SELECT us.asset, 'uniqueness.primary_key', ROUND(greatest(0, least(100, (0.5 - failed / checked) / 0.499 * 100)), 2), checked, failed, coalesce(ds.samples, '') FROM us LEFT JOIN ds USING (asset)
-UNION ALL SELECT 'served.hours', 'completeness.time_coverage', ROUND(avg(100.0 * n / 96), 2), 96 * count(*), sum(96 - n), '' FROM cv
-UNION ALL SELECT 'served.hours', 'timeliness.freshness', ROUND(avg(score), 2), count(*), count(*) FILTER (score < 100), coalesce(string_agg('|' || entity || '|' || strftime(last, '%Y-%m-%d %H:%M:%S') || '|latest', '; ' ORDER BY entity) FILTER (score < 100), '') FROM fs
+r AS (SELECT asset, "check", ROUND(CASE WHEN "check" = 'completeness.null_rate' THEN each ELSE greatest(0, least(100, ROUND((fail - failed / checked) / (fail - warn) * 100, 2))) END + 1e-9, 2) AS score, checked, failed, coalesce(samples, '') AS samples FROM c LEFT JOIN s USING (asset, "check")
+UNION ALL SELECT us.asset, 'uniqueness.primary_key', ROUND(greatest(0, least(100, (0.5 - failed / checked) / 0.499 * 100)) + 1e-9, 2), checked, failed, coalesce(ds.samples, '') FROM us LEFT JOIN ds USING (asset)
+UNION ALL SELECT 'served.hours', 'completeness.time_coverage', ROUND(avg(100.0 * n / 96) + 1e-9, 2), 96 * count(*), sum(96 - n), '' FROM cv
+UNION ALL SELECT 'served.hours', 'timeliness.freshness', ROUND(avg(score) + 1e-9, 2), count(*), count(*) FILTER (score < 100), coalesce(string_agg('|' || entity || '|' || strftime(last, '%Y-%m-%d %H:%M:%S') || '|latest', '; ' ORDER BY entity) FILTER (score < 100), '') FROM fs
 UNION ALL SELECT * FROM (VALUES ('stream.events', 'validity.type_conformance', 83.33, 6, 1, '||gone: double, None'), ('served.hours', 'validity.type_conformance', 100, 1, 0, ''), ('sales.orders', 'validity.type_conformance', 66.67, 3, 1, '||o_orderkey: string, bigint'),
     ('served.hours', 'completeness.null_rate', NULL, 0, 0, ''), ('served.hours', 'validity.enum', NULL, 0, 0, ''), ('stream.events', 'consistency.pm25_le_pm10', NULL, 0, 0, ''), ('served.hours', 'consistency.pm25_le_pm10', NULL, 0, 0, ''), ('sales.orders', 'consistency.pm25_le_pm10', NULL, 0, 0, '')) v)
 SELECT asset, "check", {_STATUS} AS status, CAST(score AS DOUBLE) AS score, CAST(checked AS BIGINT) AS checked, CAST(failed AS BIGINT) AS failed, samples FROM r""")
