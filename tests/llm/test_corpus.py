@@ -451,6 +451,34 @@ def test_quality_model_knows_inflected_and_repeated_words(spark):
     assert quality_model.shares({0: 10, 1: 100, 2: 1000}, 210) == {0: 1.0, 1: 1.0, 2: 0.1}
 
 
+def test_quality_model_learns_from_every_rating(spark):
+    """More ratings than the earlier sample of 6,000: no small change of a parameter lowers the loss over all rows that
+    aren't held back, the limit is the quantile of all that are, and neither depends on how rows are dealt out."""
+    rng, chances = np.random.default_rng(8), ([0.6, 0.2, 0.2], [0.3, 0.4, 0.3], [0.2, 0.2, 0.6])
+    grades = rng.choice(3, 9000, p=[0.2, 0.3, 0.5])
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "ef"], 1 + i % 4, p=chances[g])), int(g)) for i, g in enumerate(grades)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, g int")
+    m, other = (quality_model.train(d.repartition(k, "doc_id"), d.select("doc_id", F.col("g").alias("grade"))) for k in (1, 5))
+    assert m.weights.tolist() == other.weights.tolist() and m.thresholds.tolist() == other.thresholds.tolist() and m.min_clean == other.min_clean
+    held = {r[0] for r in d.where(F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(1000)) < 250).select("doc_id").collect()}
+    found, value, at = quality_model.features(pa.array([t for _, t, _ in rows], pa.large_string()))
+    used = np.unique(found)
+    x = np.zeros((len(rows), len(used)))
+    x[np.repeat(np.arange(len(rows)), np.diff(at)), np.searchsorted(used, found)] = value
+    learned = np.array([i not in held for i, _, _ in rows])
+    assert len(used) == 3 and 6000 < learned.sum() < len(rows)
+
+    def loss(p):
+        cum = 1 / (1 + np.exp(-(np.array([-np.inf, p[0], p[1], np.inf])[None, :] - (x[learned] @ p[2:])[:, None])))
+        own = np.arange(learned.sum()), grades[learned]
+        return -np.log(cum[own[0], own[1] + 1] - cum[own]).mean() + quality_model.PENALTY * np.abs(p[2:]).sum()
+
+    best = np.concatenate([m.thresholds, m.weights[used]])
+    assert all(loss(best + step * one) > loss(best) - 2e-6 for one in np.eye(5) for step in (-0.004, 0.004))
+    p = m.tails(x[~learned] @ best[2:])[:, 0]
+    assert abs(m.min_clean - np.quantile(p[grades[~learned] == 2], quality_model.LOSS)) < 1e-6
+
+
 def test_quality_rules(docs, empty):
     want = Counter()
     for i, t in texts(docs):
