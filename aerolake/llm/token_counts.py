@@ -18,6 +18,7 @@ repeated rows stay; an empty table gives an empty result; further columns, whate
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ def model_path(name: str) -> str:
 class Pieces:
     """A sentencepiece model, and the ids of every pre-token met so far."""
 
-    def __init__(self, model: str, frequent: tuple[np.ndarray, np.ndarray] | None = None, keep_ids: bool = False):
+    def __init__(self, model: str, frequent: tuple[np.ndarray, np.ndarray] | None = None, keep_ids: bool = False, cache: int = CACHE_SIZE):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_path(model))
@@ -53,12 +54,12 @@ class Pieces:
         self.mark = self.sp.piece_to_id(MARK)
         probe = self.sp.encode("a  b", out_type=str)
         self.cuts = probe[0] == f"{MARK}a" and "".join(probe) == f"{MARK}a{MARK}{MARK}b" and not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.frequent, self.keep_ids = frequent, keep_ids
+        self.frequent, self.keep_ids, self.cache = frequent, keep_ids, cache
         self.reset()
 
     def reset(self) -> None:
-        self.table = common.HashTable(2 * CACHE_SIZE)
-        self.lengths = np.zeros(2 * CACHE_SIZE, np.int32)
+        self.table = common.HashTable(2 * self.cache)
+        self.lengths = np.zeros(2 * self.cache, np.int32)
         self.ids = common.Ragged("<u2")
         if self.frequent and not self.keep_ids:
             self.table.add(*self.frequent[:2])
@@ -66,7 +67,10 @@ class Pieces:
 
     def encode(self, pretokens: list[str]) -> list[list[int]]:
         """The ids of pre-tokens without their first space; an empty one is a space at a text's end."""
-        return [x if p else [self.mark] for p, x in zip(pretokens, self.sp.encode(pretokens, num_threads=1), strict=True)]
+        ids = self.sp.encode(pretokens, num_threads=1)
+        if "" in pretokens:
+            ids = [x if p else [self.mark] for p, x in zip(pretokens, ids, strict=True)]
+        return ids
 
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number, in ``lengths`` and ``ids``, of each pre-token of texts that can be cut, and
@@ -82,7 +86,7 @@ class Pieces:
         counted = ~begins
         counted[firsts] = True
         starts = np.flatnonzero(begins)
-        if self.table.used + len(starts) > 2 * CACHE_SIZE or self.table.used > CACHE_SIZE:
+        if self.table.used + len(starts) > 2 * self.cache or self.table.used > self.cache:
             self.reset()
         found = []
         for lo, hi in common.segments(begins, at):
@@ -95,19 +99,21 @@ class Pieces:
         found = self.table.find(hashes, checks)
         if len(missing := np.flatnonzero(found < 0)):
             one = missing[common.distinct_pairs(hashes[missing], checks[missing])]
-            ends = np.append(starts[1:], len(raw))
-            data = raw.tobytes()
-            names = [data[i:j].decode() for i, j in zip((starts[one] + ~counted[starts[one]]).tolist(), ends[one].tolist(), strict=True)]
+            firsts = starts[one] + ~counted[starts[one]]
+            sizes = np.append(starts[1:], len(raw))[one] - firsts
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            data = raw[np.repeat(firsts - at[:-1], sizes) + np.arange(at[-1])]
+            names = pa.LargeStringArray.from_buffers(len(one), pa.py_buffer(at), pa.py_buffer(data)).to_numpy(zero_copy_only=False).tolist()
             ids, used = self.encode(names), self.table.used
+            lengths = np.fromiter(map(len, ids), np.int32, len(ids))
             if used + len(one) > len(self.lengths):
                 self.lengths = np.concatenate([self.lengths, np.zeros(len(one), np.int32)])
                 self.table, old = common.HashTable(2 * (used + len(one))), self.table
                 self.table.add(*old.all())
             self.table.add(hashes[one], checks[one])
-            self.lengths[used : self.table.used] = [len(x) for x in ids]
+            self.lengths[used : self.table.used] = lengths
             if self.keep_ids:
-                lengths = np.array([len(x) for x in ids])
-                self.ids.append(np.fromiter((i for x in ids for i in x), np.int64, int(lengths.sum())), lengths)
+                self.ids.append(np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum())), lengths)
             found[missing] = self.table.find(hashes[missing], checks[missing])
         return found
 

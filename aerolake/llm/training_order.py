@@ -42,6 +42,8 @@ ROUNDS = 6
 END = 2
 #: The runs table is broadcast up to this many rows (one for each task of the scan), else joined.
 MOST_RUNS = 200_000
+#: Pre-tokens of a worker's cache.
+CACHE_SIZE = 1_000_000
 
 
 def slots(index: np.ndarray, total: int, key: str = KEY) -> np.ndarray:
@@ -60,7 +62,8 @@ def slots(index: np.ndarray, total: int, key: str = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_workers: dict[tuple[str, bool], Pieces] = {}
+#: A worker's cache serves both passes.
+_workers: dict[str, Pieces] = {}
 
 
 def _plain(docs: DataFrame) -> bool:
@@ -83,13 +86,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def sequences(rows: DataFrame, tokens: bool, model: str = MODEL, length: int = LENGTH) -> DataFrame:
-    """task, piece (the number of a run in its task), run_file and run_row (where it begins) and local (a sequence's
-    number in its run), with the tokens of each sequence or with its doc_id, part and n_tokens."""
+    """task, piece (the number of a run in its task) and local (a sequence's number in its run), with the tokens of each
+    sequence or with its doc_id, part and n_tokens and with run_file and run_row, where the run begins."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (pieces := _workers.get((model, tokens))) is None:
-            pieces = _workers[model, tokens] = Pieces(model, keep_ids=tokens)
+        if (pieces := _workers.get(model)) is None:
+            pieces = _workers[model] = Pieces(model, keep_ids=True, cache=CACHE_SIZE)
         if pieces.sp.get_piece_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits don't fit the records")
         task, piece = TaskContext.get().partitionId(), -1
@@ -106,26 +109,26 @@ def sequences(rows: DataFrame, tokens: bool, model: str = MODEL, length: int = L
                 part = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
                 starts = at[owner] + part * length
                 ends = np.minimum(starts + length, at[owner + 1])
-                files, places = b.column(2).slice(i, j - i).to_pylist(), b.column(3).slice(i, j - i).to_pylist()
-                own_file, own_row, own_piece, number = [], [], [], []
-                for f, r, n in zip(files, places, per.tolist(), strict=True):
+                place = zip(b.column(2).slice(i, j - i).to_pylist(), b.column(3).slice(i, j - i).to_pylist(), strict=True)
+                run_of, firsts = np.empty((4, j - i), np.int64), [run[0]]  # of each row: where in firsts its run's file is, the run's row, piece, and number of its first sequence
+                for k, ((f, r), n) in enumerate(zip(place, per.tolist(), strict=True)):
                     if f != last[0] or r <= last[1]:  # gaps (rows that a filter dropped) don't end a run
                         run, local, piece = (f, r), 0, piece + 1
+                        firsts.append(f)
                     last = (f, r)
-                    own_file += [run[0]] * n
-                    own_row += [run[1]] * n
-                    own_piece += [piece] * n
-                    number += range(local, local + n)
+                    run_of[:, k] = len(firsts) - 1, run[1], piece, local
                     local += n
-                out = {"task": pa.array(np.full(len(number), task, np.int32)), "piece": pa.array(own_piece, pa.int32()), "run_file": pa.array(own_file, pa.string()), "run_row": pa.array(own_row, pa.int64()), "local": pa.array(number, pa.int64())}
+                file, row, own_piece, begin = np.repeat(run_of, per, axis=1)
+                out = {"task": pa.array(np.full(len(owner), task, np.int32)), "piece": pa.array(own_piece.astype(np.int32)), "local": pa.array(begin + part)}
                 if tokens:
                     offsets = np.append(starts, ends[-1:]).astype(np.int32) * 2
                     out["tokens"] = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
                 else:
+                    out |= {"run_file": pa.array(firsts, pa.string()).take(pa.array(file)), "run_row": pa.array(row)}
                     out |= {"doc_id": b.column(0).slice(i, j - i).take(pa.array(owner)), "part": pa.array(part, pa.int32()), "n_tokens": pa.array(ends - starts, pa.int32())}
                 yield pa.RecordBatch.from_pydict(out)
 
-    return common.map_batches(rows, work, "task int, piece int, run_file string, run_row bigint, local bigint, " + ("tokens binary" if tokens else f"doc_id {kind}, part int, n_tokens int"))
+    return common.map_batches(rows, work, "task int, piece int, local bigint, " + ("tokens binary" if tokens else f"run_file string, run_row bigint, doc_id {kind}, part int, n_tokens int"))
 
 
 @contextmanager

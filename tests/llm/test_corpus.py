@@ -93,6 +93,20 @@ def test_hash_table_tells_pairs_apart():
     assert set(zip(*(x.tolist() for x in table.all()), strict=True)) == set(zip(keys.tolist(), checks.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("cache", [5, 1000])
+def test_one_cache_serves_counts_and_ids(cache):
+    """A pass for ids after one for counts encodes nothing again, unless the cache was full; results are the library's anyway."""
+    p = token_counts.Pieces(token_counts.MODEL, keep_ids=True, cache=cache)
+    own = pa.array([*ODD, "ñandú  größer\nx " * 3, "one two   three "], pa.large_string())
+    want, encoded, encode = [p.sp.encode(t or "") for t in own.to_pylist()], [], p.encode
+    p.encode = lambda names: encoded.extend(names) or encode(names)
+    assert p.counts(own).tolist() == [len(x) for x in want] and len(encoded) > 20
+    first = len(encoded)
+    ids, at = p.stream(own, 2)
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == [[*x, 2] for x in want]
+    assert (len(encoded) == first) == (cache == 1000)
+
+
 def test_training_order(docs, empty, tmp_path):
     assert sorted(training_order.slots(np.arange(997), 997)) == list(range(997))
     assert training_order.slots(np.arange(50), 50, "a").tolist() != training_order.slots(np.arange(50), 50, "b").tolist()
