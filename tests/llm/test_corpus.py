@@ -107,6 +107,22 @@ def test_one_cache_serves_counts_and_ids(cache):
     assert (len(encoded) == first) == (cache == 1000)
 
 
+def test_second_pass_encodes_nothing_again(docs, monkeypatch):
+    """The pass that writes tokens finds the pre-tokens of the counting pass in the worker's cache."""
+    encoded, encode = [], token_counts.Pieces.encode
+    monkeypatch.setattr(token_counts.Pieces, "encode", lambda self, names: encoded.extend(names) or encode(self, names))
+    monkeypatch.setattr(training_order, "_workers", {})
+    monkeypatch.setattr(training_order.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(training_order.common, "map_batches", lambda rows, work, schema: work)
+    own = [t for _, t in texts(docs)]
+    batch = pa.record_batch([pa.array(range(len(own))), pa.array(own), pa.array(["f"] * len(own)), pa.array(range(len(own)))], ["doc_id", "text", "file", "row"])
+    counted = pa.Table.from_batches(training_order.sequences(docs, False)(iter([batch])))
+    first = len(encoded)
+    written = pa.Table.from_batches(training_order.sequences(docs, True)(iter([batch])))
+    assert len(encoded) == first > 0
+    assert [len(t) // 2 for t in written["tokens"].to_pylist()] == counted["n_tokens"].to_pylist() and counted["local"].to_pylist() == written["local"].to_pylist() == list(range(len(written)))
+
+
 def test_training_order(docs, empty, tmp_path):
     assert sorted(training_order.slots(np.arange(997), 997)) == list(range(997))
     assert training_order.slots(np.arange(50), 50, "a").tolist() != training_order.slots(np.arange(50), 50, "b").tolist()
