@@ -1,7 +1,8 @@
 """Token counts of whole texts with a two-tier lookup on the map side.
 
-A text is cut before every run of spaces that follows something else. No piece of the model spans
-such a cut (checked when the model is loaded), so a text has as many tokens as its pre-tokens
+A text is cut before every run of spaces that follows something else, and where letters and other
+characters meet. No piece of the model spans such a cut (checked when the model is loaded; cuts of the second kind
+also ask that texts aren't normalised and no character is unknown), so a text has as many tokens as its pre-tokens
 have. A broadcast hash table gives the lengths of frequent pre-tokens under two independent 64-bit
 hashes; what it lacks is encoded once and kept in a cache of the Python worker. No pre-token is shuffled.
 
@@ -43,6 +44,39 @@ def model_path(name: str) -> str:
     return name if "/" in name else public_tokenizers.path(name)
 
 
+#: Bytes by kind: 0 spaces, 1 other ASCII characters that aren't letters, 2 letters of ASCII and, by their first
+#: bytes, of U+00C0 to U+017F, 3 anything else.
+_KINDS = np.repeat(np.array([1, 3], np.uint8), 128)
+_KINDS[32] = 0
+_KINDS[65:91] = _KINDS[97:123] = _KINDS[0xC3:0xC6] = 2
+#: Whether a text may be cut between two kinds (4 x the first + the second): before spaces, or there and between 1 and 2.
+_AT_SPACES = np.isin(np.arange(16), (4, 8, 12))
+_AT_KINDS = _AT_SPACES | np.isin(np.arange(16), (6, 9))
+#: What stands before a pre-token that goes on with a word while it is encoded, by kind.
+_BEFORE = ("", "a", ".")
+
+
+def kinds_of(raw: np.ndarray) -> np.ndarray:
+    kinds = _KINDS[raw]
+    kinds[np.flatnonzero((kinds == 2) & (raw > 127)) + 1] = 2
+    return kinds
+
+
+def cuts_by_kind(sp) -> bool:  # noqa: ANN001
+    """Whether texts can also be cut between letters and other characters: they are encoded as they stand, no character
+    is unknown and no piece has both side by side."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:
+        return False
+    model = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto())
+    if model.normalizer_spec.precompiled_charsmap or not model.trainer_spec.byte_fallback:
+        return False
+    own = [p.piece.replace(MARK, " ").encode() for p in model.pieces if p.type in (p.NORMAL, p.USER_DEFINED, p.UNUSED)]
+    kinds = [kinds_of(np.frombuffer(p, np.uint8)) for p in own]
+    return not any(_AT_KINDS[4 * k[:-1] + k[1:]].any() for k in kinds)
+
+
 class Pieces:
     """A sentencepiece model, and the ids of every pre-token met so far."""
 
@@ -54,12 +88,15 @@ class Pieces:
         self.mark = self.sp.piece_to_id(MARK)
         probe = self.sp.encode("a  b", out_type=str)
         self.cuts = probe[0] == f"{MARK}a" and "".join(probe) == f"{MARK}a{MARK}{MARK}b" and not any(MARK in p.lstrip(MARK) for p in pieces)
+        self.may_cut = _AT_KINDS if self.cuts and cuts_by_kind(self.sp) else _AT_SPACES
+        self.before = np.array([len(self.sp.encode(x)) for x in _BEFORE])
         self.frequent, self.keep_ids, self.cache = frequent, keep_ids, cache
+        self.room = cache + cache // 4
         self.reset()
 
     def reset(self) -> None:
-        self.table = common.HashTable(2 * self.cache)
-        self.lengths = np.zeros(2 * self.cache, np.int32)
+        self.table = common.HashTable(self.room)
+        self.lengths = np.zeros(self.room, np.int32)
         self.ids = common.Ragged("<u2")
         if self.frequent and not self.keep_ids:
             self.table.add(*self.frequent[:2])
@@ -78,34 +115,33 @@ class Pieces:
         raw, at = common.utf8(texts)
         if not len(raw):
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
-        begins = raw == 32
-        begins[1:] &= raw[:-1] != 32
+        kinds, begins = kinds_of(raw), np.ones(len(raw), bool)
+        begins[1:] = self.may_cut[4 * kinds[:-1] + kinds[1:]]
         firsts = at[:-1][np.diff(at) > 0]
         begins[firsts] = True
-        # A text's first pre-token has no space before it, and its own leading spaces count.
-        counted = ~begins
-        counted[firsts] = True
         starts = np.flatnonzero(begins)
-        if self.table.used + len(starts) > 2 * self.cache or self.table.used > self.cache:
+        # A text's first pre-token has no space before it, and its own leading spaces count.
+        spaced = raw[starts] == 32
+        inner = ~spaced
+        opening = np.searchsorted(starts, firsts)
+        spaced[opening] = inner[opening] = False
+        if self.table.used + len(starts) > self.room or self.table.used > self.cache:
             self.reset()
         found = []
         for lo, hi in common.segments(begins, at):
             i, j = np.searchsorted(starts, [lo, hi])
-            found.append(self._numbers(raw[lo:hi], starts[i:j] - lo, counted[lo:hi]))
+            found.append(self._numbers(raw[lo:hi], starts[i:j] - lo, spaced[i:j], inner[i:j]))
         return np.concatenate(found), np.searchsorted(starts, at)
 
-    def _numbers(self, raw: np.ndarray, starts: np.ndarray, counted: np.ndarray) -> np.ndarray:
-        hashes, checks = common.hash_pairs(raw, starts, counted)
+    def _numbers(self, raw: np.ndarray, starts: np.ndarray, spaced: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """``spaced``: the first byte is the space that parts words; ``inner``: it goes on with a word."""
+        firsts, sizes = starts + spaced, np.diff(starts, append=len(raw)) - spaced
+        hashes, checks = common.name_pairs(raw, firsts, sizes, inner)
         found = self.table.find(hashes, checks)
         if len(missing := np.flatnonzero(found < 0)):
             one = missing[common.distinct_pairs(hashes[missing], checks[missing])]
-            firsts = starts[one] + ~counted[starts[one]]
-            sizes = np.append(starts[1:], len(raw))[one] - firsts
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            data = raw[np.repeat(firsts - at[:-1], sizes) + np.arange(at[-1])]
-            names = pa.LargeStringArray.from_buffers(len(one), pa.py_buffer(at), pa.py_buffer(data)).to_numpy(zero_copy_only=False).tolist()
-            ids, used = self.encode(names), self.table.used
-            lengths = np.fromiter(map(len, ids), np.int32, len(ids))
+            ids, used = self._encoded(raw, firsts[one], sizes[one], inner[one]), self.table.used
+            lengths = ids[1]
             if used + len(one) > len(self.lengths):
                 self.lengths = np.concatenate([self.lengths, np.zeros(len(one), np.int32)])
                 self.table, old = common.HashTable(2 * (used + len(one))), self.table
@@ -113,10 +149,28 @@ class Pieces:
             self.table.add(hashes[one], checks[one])
             self.lengths[used : self.table.used] = lengths
             if self.keep_ids:
-                self.ids.append(np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum())), lengths)
+                self.ids.append(*ids)
             found[missing] = self.table.find(hashes[missing], checks[missing])
         return found
 
+    def _encoded(self, raw: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these pre-tokens one after the other, and how many each has. One that goes on with a word is
+        encoded behind a character of the other kind, whose ids then go."""
+        kind = np.where(inner, _KINDS[raw[np.minimum(firsts, len(raw) - 1)]], 0)
+        at = np.concatenate([[0], np.cumsum(sizes + inner)])
+        data = raw[np.repeat(firsts - inner - at[:-1], sizes + inner) + np.arange(at[-1])]
+        for k in (1, 2):
+            data[at[:-1][kind == k]] = ord(_BEFORE[k])
+        names = pa.LargeStringArray.from_buffers(len(firsts), pa.py_buffer(at), pa.py_buffer(data)).to_numpy(zero_copy_only=False).tolist()
+        ids = self.encode(names)
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
+        begin, gone = np.cumsum(lengths) - lengths, self.before[kind]
+        keep = np.ones(len(flat), bool)
+        for k in range(gone.max()):
+            keep[begin[gone > k] + k] = False
+        return flat[keep], (lengths - gone).astype(np.int32)
+
     def whole(self, texts: pa.Array) -> list[int]:
         """Rows whose text can't be cut at spaces."""
         if not self.cuts:

@@ -93,6 +93,46 @@ def test_hash_table_tells_pairs_apart():
     assert set(zip(*(x.tolist() for x in table.all()), strict=True)) == set(zip(keys.tolist(), checks.tolist(), strict=True))
 
 
+def test_names_of_any_size_have_their_own_hashes():
+    """Size, flag and every byte count, zeros as well, wherever the name lies."""
+    raw = np.concatenate([np.zeros(200, np.uint8), np.random.default_rng(8).integers(0, 256, 400).astype(np.uint8)])
+    names = [(at, size, flag) for at in (0, 200, 201, 400) for size in (*range(20), 63, 64, 65, 128, 200) for flag in (False, True)]
+    for k in (0, 7, 8, 15, 63, 64, 120):
+        raw[400:600] = raw[200:400]
+        raw[400 + k] ^= 1
+        keys = list(zip(*(x.tolist() for x in common.name_pairs(raw, *map(np.array, zip(*names, strict=True)))), strict=True))
+        for h in zip(*keys, strict=True):
+            assert 0 not in h and len(set(h)) == len({(raw[a : a + n].tobytes(), f) for a, n, f in names})
+        moved = common.name_pairs(np.concatenate([raw[:3], raw]), *map(np.array, zip(*((a + 3, n, f) for a, n, f in names), strict=True)))
+        assert keys == list(zip(*(x.tolist() for x in moved), strict=True))
+
+
+def test_words_are_encoded_once_whatever_stands_beside_them():
+    p = token_counts.Pieces(token_counts.MODEL, keep_ids=True)
+    encoded, encode = [], p.encode
+    p.encode = lambda names: encoded.extend(names) or encode(names)
+    own = pa.array(["loser größer", "loser, größer.\nloser", " loser) größer)) (loser"], pa.large_string())
+    ids, at = p.stream(own, 2)
+    assert [ids[i : j - 1].tolist() for i, j in zip(at, at[1:], strict=False)] == [p.sp.encode(t) for t in own.to_pylist()]
+    assert sorted(x for x in encoded if "größer" in x) == ["größer"] and len([x for x in encoded if "loser" in x]) == 3
+
+
+def test_cuts_between_kinds_are_the_librarys():
+    """Random texts of parts that pieces join (quotes and full stops, spaces and brackets) or can't join."""
+    p, rng = token_counts.Pieces(token_counts.MODEL, keep_ids=True), np.random.default_rng(9)
+    parts = [*"ab.,\n\t0’”»²—ÄßœĿſƀΩж中é\u0301\u00ad\x00\x1f\x7f😀▁<", " ", "  ", "   ", "the", "s", "ing", "&&", "...", "</s>", "<0x0A>", "’,", "”.", " (", "don't", "20", "×÷", "a" * 70, "." * 70]
+    own = [None, "", *parts, *("".join(rng.choice(parts, n)) for n in rng.integers(1, 40, 3000))]
+    texts = pa.array(own, pa.large_string())
+    want = [p.sp.encode(t or "") for t in own]
+    for _ in range(2):
+        ids, at = p.stream(texts, 2)
+        assert [ids[i : j - 1].tolist() for i, j in zip(at, at[1:], strict=False)] == want
+        assert p.counts(texts).tolist() == list(map(len, want))
+    p.may_cut = token_counts._AT_SPACES
+    p.reset()
+    assert p.counts(texts).tolist() == list(map(len, want))
+
+
 @pytest.mark.parametrize("cache", [5, 1000])
 def test_one_cache_serves_counts_and_ids(cache):
     """A pass for ids after one for counts encodes nothing again, unless the cache was full; results are the library's anyway."""
