@@ -72,9 +72,9 @@ def cuts_by_kind(sp) -> bool:  # noqa: ANN001
     model = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto())
     if model.normalizer_spec.precompiled_charsmap or not model.trainer_spec.byte_fallback:
         return False
-    own = [p.piece.replace(MARK, " ").encode() for p in model.pieces if p.type in (p.NORMAL, p.USER_DEFINED, p.UNUSED)]
-    kinds = [kinds_of(np.frombuffer(p, np.uint8)) for p in own]
-    return not any(_AT_KINDS[4 * k[:-1] + k[1:]].any() for k in kinds)
+    own = [p.piece.replace(MARK, " ") for p in model.pieces if p.type in (p.NORMAL, p.USER_DEFINED, p.UNUSED)]
+    kinds = kinds_of(np.frombuffer(" ".join(own).encode(), np.uint8))
+    return not (_AT_KINDS & ~_AT_SPACES)[4 * kinds[:-1] + kinds[1:]].any()
 
 
 class Pieces:

@@ -62,10 +62,17 @@ def slots(index: np.ndarray, total: int, key: str = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-#: A worker's cache serves both passes.
 _workers: dict[str, Pieces] = {}
 
 
+def _pieces(model: str) -> Pieces:
+    """A worker's cache, which serves its tasks of both passes. A function of the module finds it; what a task's own
+    function names is sent with it and would be new in each task."""
+    if (pieces := _workers.get(model)) is None:
+        pieces = _workers[model] = Pieces(model, keep_ids=True, cache=CACHE_SIZE)
+    return pieces
+
+
 def _plain(docs: DataFrame) -> bool:
     """Whether docs are rows of files as a scan gives them, the same in the same order at every reading."""
     plan = docs._jdf.queryExecution().analyzed()
@@ -91,8 +98,7 @@ def sequences(rows: DataFrame, tokens: bool, model: str = MODEL, length: int = L
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (pieces := _workers.get(model)) is None:
-            pieces = _workers[model] = Pieces(model, keep_ids=True, cache=CACHE_SIZE)
+        pieces = _pieces(model)
         if pieces.sp.get_piece_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits don't fit the records")
         task, piece = TaskContext.get().partitionId(), -1

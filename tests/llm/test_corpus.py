@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and held-out accuracy on small fixtures."""
 
 import hashlib
+import os
 import re
 from collections import Counter
 from pathlib import Path
@@ -163,6 +164,23 @@ def test_second_pass_encodes_nothing_again(docs, monkeypatch):
     assert [len(t) // 2 for t in written["tokens"].to_pylist()] == counted["n_tokens"].to_pylist() and counted["local"].to_pylist() == written["local"].to_pylist() == list(range(len(written)))
 
 
+def test_a_workers_cache_lasts_from_task_to_task(spark):
+    """Tasks that a worker runs one after the other, of either pass, meet one cache."""
+    common.ship(spark)
+    rows = spark.range(0, 4, 1, 1).selectExpr("id AS doc_id", "'a b' AS text", "'f' AS file", "id AS row")
+    for tokens in (False, True):
+        assert training_order.sequences(rows, tokens).count() == 4
+
+    def held(batches):
+        from aerolake.llm import training_order as module
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([sum(p.table.used for p in module._workers.values())])], ["pid", "n"])
+
+    found = {r["pid"]: r["n"] for _ in range(3) for r in rows.mapInArrow(held, "pid bigint, n bigint").collect()}
+    assert max(found.values()) >= 2
+
+
 def test_training_order(docs, empty, tmp_path):
     assert sorted(training_order.slots(np.arange(997), 997)) == list(range(997))
     assert training_order.slots(np.arange(50), 50, "a").tolist() != training_order.slots(np.arange(50), 50, "b").tolist()
