@@ -194,7 +194,7 @@ def _blocks(shared: DataFrame, similarity: float) -> DataFrame:
         homes = homes.join(jump, "next", "left").select("band", "size", F.coalesce("jumped", "next").alias("next"))
     before = Window.partitionBy("next", F.col("size") > BLOCK).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     packed = F.when(F.col("size") > BLOCK, -1).otherwise(F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / BLOCK))
-    homes = common.stage(homes.withColumn("chunk", packed.cast("long")))
+    homes = homes.withColumn("chunk", packed.cast("long"))
     step = F.floor(F.log("grams") / (-log(similarity) / 2)).cast("int")
     home = home.withColumn("step", step)
     steps = home.groupBy("band", "step").agg(F.count("*").alias("in_step"))
@@ -225,7 +225,7 @@ def _join(docs: DataFrame, similarity: float, recall: float, n: int) -> DataFram
     there = shared.select("node", "band").join(blocks, "node").groupBy("band", "block").agg(F.min("grams").alias("least"), F.max("grams").alias("most"))
     side = lambda name: there.select("band", F.col("block").alias(name), F.col("least").alias(f"least_{name}"), F.col("most").alias(f"most_{name}"))
     near = (F.col("most_one") >= similarity * F.col("least_two") - 1e-6) & (F.col("most_two") >= similarity * F.col("least_one") - 1e-6)
-    meet = common.stage(side("one").join(side("two"), "band").where(F.col("one") <= F.col("two")).where(near).select("one", "two").distinct())
+    meet = side("one").join(side("two"), "band").where(F.col("one") <= F.col("two")).where(near).select("one", "two").distinct()
     uses = common.stage(meet.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block")))
     wanted = common.stage(nodes.drop("bands", "grams").join(blocks.drop("grams"), "node").select(F.col("first_id").alias("doc_id"), "node", "block", "copies"))
     sets = _sets(docs, common.small(wanted), n).join(common.small(uses), "block")
@@ -235,7 +235,7 @@ def _join(docs: DataFrame, similarity: float, recall: float, n: int) -> DataFram
     info = nodes.select("node", "copies", "first_id").join(counts, "node", "left").join(labels, "node", "left")
     info = common.stage(info.where("copies > 1 OR links > 0").select("node", F.coalesce("label", "node").alias("label"), "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     firsts = info.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    info = common.stage(info.join(firsts, "label").select("node", "class_id", "n_links"))
+    info = info.join(firsts, "label").select("node", "class_id", "n_links")
     return signed.select("doc_id", "node").join(info, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 

@@ -282,6 +282,15 @@ def test_jaccard_join(docs, empty):
     assert Counter(kept) == Counter([None, *{v for v in first.values()}])
 
 
+def test_jaccard_join_stages_no_table_that_is_read_once(docs, monkeypatch):
+    """Every file of a staged table costs an executor commands of its own (chmod) on a local file system."""
+    made, stage = [], common.stage
+    monkeypatch.setattr(common, "stage", lambda df, keep=None: (made.append(df.columns), stage(df, keep))[1])
+    jaccard_join.join(docs).count()
+    assert made
+    assert not [c for c in made if c in (["one", "two"], ["node", "class_id", "n_links"]) or "chunk" in c]
+
+
 def test_jaccard_join_of_rows_without_an_id(spark):
     """Null ids have their links; a class is named by its least id, or by none."""
     a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
