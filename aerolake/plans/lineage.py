@@ -60,16 +60,17 @@ def depths(e: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def trace(e: DataFrame, node: str, direction: str = "down", most: int = 10) -> DataFrame:
-    """Nodes reached from ``node`` down, up or both ways, and the fewest steps, level by level."""
+    """Nodes reached from ``node`` down, up or both ways, and the fewest steps, level by level. Edges and levels are
+    tables of their own, so that a level's plan holds those before it as scans, not as plans that double each time."""
     ways = {"down": [("upstream", "downstream")], "up": [("downstream", "upstream")], "both": [("upstream", "downstream"), ("downstream", "upstream")]}[direction]
     step = e.select(F.col(ways[0][0]).alias("a"), F.col(ways[0][1]).alias("b"))
     for a, b in ways[1:]:
         step = step.unionAll(e.select(F.col(a).alias("a"), F.col(b).alias("b")))
-    step = step.distinct()
-    seen = e.sparkSession.createDataFrame([(node, 0)], "node string, level int")
-    front = seen
+    step = rounds.cut(step.distinct())
+    seen = front = e.sparkSession.range(1).select(F.lit(node).alias("node"), F.lit(0).alias("level"))
     for level in range(1, most + 1):
-        front = front.join(step, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(level).alias("level"))
+        front = front.join(step, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = rounds.cut(front.select("node", F.lit(level).alias("level")))
         if front.isEmpty():
             break
         seen = seen.unionAll(front)

@@ -51,6 +51,30 @@ def test_depths(spark, kind):
         assert lineage.depths(e).count() == 0
 
 
+def brute_trace(edges, node, direction, most):
+    near = defaultdict(set)
+    for a, b in edges:
+        if direction != "up":
+            near[a].add(b)
+        if direction != "down":
+            near[b].add(a)
+    level, front = {node: 0}, [node]
+    for k in range(1, most + 1):
+        front = {m for n in front for m in near[n]} - set(level)
+        level |= dict.fromkeys(front, k)
+    return level
+
+
+@pytest.mark.parametrize(("node", "direction", "most"), [("c20", "both", 5), ("d3", "down", 3), ("tail3", "up", 10), ("nowhere", "both", 4)])
+def test_trace(spark, node, direction, most):
+    edges = graphs()["all"]
+    e = lineage.edges(spark, [(a, b, "t") for a, b in edges + edges[:3]])
+    traced = lineage.trace(e, node, direction, most)
+    got = traced.collect()
+    assert {r["node"]: r["level"] for r in got} == brute_trace(edges, node, direction, most) and len(got) == len({r["node"] for r in got})
+    assert "Join" not in traced._jdf.queryExecution().optimizedPlan().toString()  # else a level's plan holds those before it twice
+
+
 def km(a, b):
     p, q = math.radians(a[0]), math.radians(b[0])
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
