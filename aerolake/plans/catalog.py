@@ -168,9 +168,10 @@ def recent_results(results: DataFrame, n: int = 100, **equal: str | None) -> Dat
 
 def overview(assets: DataFrame, scores: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
     """kpi and value: assets, breached agreements, mean score, grades, runs of the last day and their success.
-    assets come with latest_data_time and latest_run_at."""
+    assets come with latest_data_time and latest_run_at. Of an asset's newest scores the highest counts, of several
+    such the first grade, so that the grades don't depend on how rows are dealt out."""
     state = quality.freshness_state(assets, now)
-    last = patterns.latest(scores, [F.col("scored_at").desc_nulls_last(), F.col("total").desc()], ["asset_key"])
+    last = patterns.latest(scores, [F.col("scored_at").desc_nulls_last(), F.col("total").desc(), F.col("grade").asc_nulls_last()], ["asset_key"])
     day = runs.where(F.col("started_at") >= now - F.expr("INTERVAL 24 HOUR"))
     rows = lambda d, kpi, value: d.select(kpi.alias("kpi"), value.cast("double").alias("value"))
     one = state.agg(F.count("*").alias("a"), F.count_if(F.col("breached") & (F.col("status") == "active")).alias("b"))

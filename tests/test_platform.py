@@ -166,6 +166,16 @@ def test_upserts_read_touched_partitions_alone(spark, tmp_path):
     assert (r["rows_received"], r["rows_without_time"], r["rows_merged"], r["rows_written"], r["duplicates_removed"], r["partitions_written"]) == (3, 1, 2, 2, 2, 2)
 
 
+def test_overview_of_tied_scores(spark):
+    assets = spark.createDataFrame([("a", "raw", "air", "active", 60, "time", NOW, NOW)], "asset_key string, layer string, domain string, status string, sla_minutes int, time_column string, latest_data_time timestamp_ntz, latest_run_at timestamp_ntz")
+    runs = spark.createDataFrame([("success", NOW)], "status string, started_at timestamp_ntz")
+    scores = [("a", NOW, 90.0, g) for g in ("B", "A", None, "C")] + [("a", NOW, 80.0, "A0"), ("a", None, 99.0, "A0"), ("b", NOW, None, "D"), ("b", NOW, 10.0, "E")]
+    for rows in (scores, scores[::-1]):
+        s = spark.createDataFrame(rows, "asset_key string, scored_at timestamp_ntz, total double, grade string").coalesce(1)
+        got = {r["kpi"]: r["value"] for r in catalog.overview(assets, s, runs, F.lit(str(NOW)).cast("timestamp_ntz")).collect()}
+        assert got == {"assets": 1, "sla_breaches": 0, "avg_quality_score": 50, "runs_24h": 1, "success_rate_24h": 100, "layer:raw": 1, "domain:air": 1, "grade:A": 1, "grade:E": 1}
+
+
 def test_exports(spark, tmp_path):
     d = spark.createDataFrame([(f"c{i}", dt.datetime(2026, 1, 1, i), [i], None if i == 2 else 1.5) for i in range(4)], "city_id string, time timestamp_ntz, tags array<int>, v double")
     exports.csv(d, str(tmp_path / "csv"), 3)
